@@ -22,5 +22,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
