@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strictbefore.llm import exact_dedup, mixing
+from strictbefore.llm import bpe, chat, exact_dedup, lang_id, mixing, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +82,143 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Conversation -7 of the contract: what a text may hold that looks like a template's marks.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op7_chat_format",
+    r"""
+    WITH m AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length(role || text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + length('<turn ' || '>.' || '</turn>.'))::BIGINT AS formatted_chars
+    FROM m GROUP BY conv_id
+    """,
+)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text")
+    )
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_texts(said))
+
+
+def dated_list(hosts: DataFrame) -> DataFrame:
+    """A blocklist's log by a fixed rule over host names, as the tables have none: key, list, at, added."""
+    code = lambda i: F.ascii(F.substring(F.md5("host"), i, 1))
+    day = ((code(1) * 16 + code(2)) % 300).cast("int")
+    put = lambda key, name, days, added: F.struct(key.alias("key"), F.lit(name).alias("list"), F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), days)).alias("at"), F.lit(added).alias("added"))
+    spam = F.when(code(3) % 3 == 0, F.array(put(F.col("host"), "spam", day, True), put(F.col("host"), "spam", day + 45, False), put(F.col("host"), "spam", day + 60, True)))
+    path = F.concat("host", F.lit("/"), F.when(code(4) % 2 == 0, "en").otherwise("de"))
+    paths = F.when(code(5) % 4 == 0, F.array(put(path, "mirror", day, True)))
+    own = hosts.select("host").filter("host is not null").distinct().select(F.explode(F.concat(F.coalesce(spam, F.array()), F.coalesce(paths, F.array()))).alias("e")).select("e.*")
+    parents = hosts.sparkSession.sql(
+        """SELECT * FROM VALUES ('example.net', 'parked', timestamp'2024-06-01', true), ('example.net', 'parked', timestamp'2024-08-01', false),
+           ('example.org', 'parked', timestamp'2024-11-15', true) AS t(key, list, at, added)"""
+    )
+    return own.unionByName(parents)
+
+
+@query(
+    "op8_url_filter",
+    r"""
+    WITH c AS (
+      SELECT page_id, url, TIMESTAMP '2024-01-01' + INTERVAL (page_id % 366) DAY AS fetched,
+             nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.|\.$', '', 'g'), '') AS host,
+             regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?', 1), '/+', '/', 'g') AS path
+      FROM pages),
+    h AS (
+      SELECT host, ascii(substr(md5(host), 1, 1)) * 16 + ascii(substr(md5(host), 2, 1)) AS d, ascii(substr(md5(host), 3, 1)) AS c3,
+             ascii(substr(md5(host), 4, 1)) AS c4, ascii(substr(md5(host), 5, 1)) AS c5 FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
+    e AS (
+      SELECT host AS key, 'spam' AS list, TIMESTAMP '2024-01-01' + INTERVAL (d % 300) DAY AS f, TIMESTAMP '2024-01-01' + INTERVAL (d % 300 + 45) DAY AS t FROM h WHERE c3 % 3 = 0
+      UNION ALL SELECT host, 'spam', TIMESTAMP '2024-01-01' + INTERVAL (d % 300 + 60) DAY, NULL FROM h WHERE c3 % 3 = 0
+      UNION ALL SELECT host || '/' || CASE WHEN c4 % 2 = 0 THEN 'en' ELSE 'de' END, 'mirror', TIMESTAMP '2024-01-01' + INTERVAL (d % 300) DAY, NULL FROM h WHERE c5 % 4 = 0
+      UNION ALL SELECT 'example.net', 'parked', TIMESTAMP '2024-06-01', TIMESTAMP '2024-08-01'
+      UNION ALL SELECT 'example.org', 'parked', TIMESTAMP '2024-11-15', NULL),
+    m AS (
+      SELECT c.page_id, e.* FROM c JOIN e ON fetched >= f AND (t IS NULL OR fetched < t)
+        AND (host = key OR ends_with(host, '.' || key) OR (contains(key, '/') AND starts_with(rtrim(host || path, '/') || '/', key || '/')))),
+    g AS (
+      SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+             arg_min(key, CASE WHEN contains(key, '/') THEN 1000 + length(key) ELSE -length(key) END) AS key FROM m GROUP BY page_id)
+    SELECT page_id, host, fetched, key IS NOT NULL AS blocked, coalesce(lists, '') AS lists, key FROM c LEFT JOIN g USING (page_id)
+    """,
+)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    captures = pages.withColumn("fetched", fetched)
+    listed = url_filter.intervals(dated_list(captures.select(url_filter.host_of(F.col("url")).alias("host"))))
+    out = url_filter.evaluate(captures, listed, "page_id", "url", "fetched")
+    return out.select(F.col("id").alias("page_id"), "host", "fetched", "blocked", F.array_join("lists", ",").alias("lists"), "key")
+
+
+def vocabulary(name: str) -> str:
+    """Where this installation keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = lang_id.predict(docs, lang_id.learn(docs))
+    return said.select(F.col("id").alias("doc_id"), lang_id.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+@query("op3_bpe_round_trip")
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op4_simhash_components")
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op5_topk_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), token_files.fresh_folder(spark))
+    return token_files.read(manifest).select(
+        F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
