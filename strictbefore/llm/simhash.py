@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strictbefore.llm.common import materialise
+from strictbefore.llm.common import drop_rows_by_id, materialise
 
 SHINGLE = 3
 SEED = 42
@@ -155,3 +155,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = points.select(F.col("fp").alias("_fp"), F.col("id").alias("_own"))
     ids = own.join(placed, "_fp", "left").select("_fp", F.when(F.col("_linked"), F.col("_root")).otherwise(F.col("_own")).alias("component_id"))
     return found.join(ids, F.col("fp") == F.col("_fp")).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which each component keeps the one of smallest id.
+
+    Rows are named by their id: a row without one stays, and an id goes only if all its rows are to go.
+    """
+    made = near_duplicates(docs, id_col, text_col).filter("id is not null")
+    gone = made.groupBy("id").agg(F.min(F.col("component_id") != F.col("id")).alias("goes")).filter("goes").select("id")
+    gone = materialise(gone, "near-drops")
+    return drop_rows_by_id(docs, id_col, gone, gone.count())
