@@ -1,7 +1,7 @@
 import pytest
 
 from strictbefore.llm import queries
-from tests.llm.compare import duck_rows, spark_rows
+from tests.compare import duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
 
