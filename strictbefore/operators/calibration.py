@@ -2,7 +2,7 @@
 
 Platt's descent needs, per step, two sums over all samples: with the samples' log odds grouped to rounded bins, the steps
 run on the bins, whose number doesn't grow with the data; one group per cohort holds its bins only. Isotonic
-regression pools sorted samples and is folded per cohort.
+regression pools sorted places, which are rounded likewise.
 """
 
 from __future__ import annotations
@@ -30,13 +30,17 @@ def fit_platt(logit: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[f
     return a, b
 
 
-def platt_fits(samples: DataFrame, *cohort: str) -> DataFrame:
-    """Per cohort and outcome: a, b and samples, from columns p and y; no row where a fit isn't possible."""
+def grouped(samples: DataFrame, *keys: str) -> DataFrame:
+    """Samples by rounded log odds: n and positive. From here on the size of a group is bounded by the rounding."""
     safe = F.least(F.greatest("p", F.lit(EPS)), F.lit(1 - EPS))
-    bins = samples.groupBy(*cohort, "outcome", F.round(F.ln(safe / (1 - safe)), DECIMALS).alias("logit")).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("positive"))
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    return samples.groupBy(*keys, "outcome", F.round(F.ln(safe / (1 - safe)), DECIMALS).alias("logit")).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("positive"))
+
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+def fit_groups(bins: DataFrame, *cohort: str) -> DataFrame:
+    """Per cohort and outcome: a, b and samples; no row where a fit isn't possible."""
+    kinds = {f.name: f.dataType.simpleString() for f in bins.schema}
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("logit")
         got = fit_platt(rows.logit.to_numpy(), rows.n.to_numpy(), rows.positive.to_numpy())
         return pd.DataFrame([(*key, *got, int(rows.n.sum()))] if got else [], columns=[*cohort, "outcome", "a", "b", "samples"])
@@ -45,29 +49,39 @@ def platt_fits(samples: DataFrame, *cohort: str) -> DataFrame:
     return bins.groupBy(*cohort, "outcome").applyInPandas(fit, schema)
 
 
+def platt_fits(samples: DataFrame, *cohort: str) -> DataFrame:
+    """Per cohort and outcome, from columns outcome, p and y: a, b and samples."""
+    return fit_groups(grouped(samples, *cohort), *cohort)
+
+
 def walk_forward(samples: DataFrame, period: str, *cohort: str) -> DataFrame:
     """Each sample with the fit of its cohort's earlier periods and its calibrated probability; status APPLIED or UNAVAILABLE.
 
-    Samples count by period first; a period's training set is every earlier period of its cohort, so a sample is
-    read once per later period at most, and periods (seasons) are few.
+    Samples are grouped by period first: a later period trains on its predecessors' groups, not on their rows.
     """
     from strictbefore.functions.model import platt
 
-    later = samples.select(*cohort, period).distinct().withColumnRenamed(period, "_at")
-    train = samples.join(later.withColumnsRenamed({c: f"_{c}" for c in cohort}), [F.col(c) == F.col(f"_{c}") for c in cohort] + [F.col(period) < F.col("_at")]) if cohort else samples.join(F.broadcast(later), F.col(period) < F.col("_at"))
-    fits = platt_fits(train, *cohort, "_at").withColumnRenamed("_at", period)
+    bins = grouped(samples, *cohort, period)
+    later = samples.select(*cohort, period).distinct().select(*[F.col(c).alias(f"_{c}") for c in cohort], F.col(period).alias("_at"))
+    earlier = F.col(period) < F.col("_at")
+    for c in cohort:
+        earlier = earlier & (F.col(c) == F.col(f"_{c}"))
+    train = bins.join(later, earlier).groupBy(*cohort, "_at", "outcome", "logit").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    fits = fit_groups(train, *cohort, "_at").withColumnRenamed("_at", period)
     got = samples.join(fits, [*cohort, period, "outcome"], "left")
     return got.withColumn("calibrated", platt(F.col("p"), F.col("a"), F.col("b"))).withColumn("status", F.when(F.col("a").isNull(), "UNAVAILABLE").otherwise("APPLIED"))
 
 
-def fit_isotonic(p: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]] | None:
-    """Pooled adjacent violators: places and values; a pool's place is the midpoint of what it joins."""
-    if len(p) < MIN_SAMPLES:
+def fit_isotonic(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[list[float], list[float]] | None:
+    """Pooled adjacent violators over sorted places p with mean outcomes y of n samples each: places and values.
+
+    A pool's place is the midpoint of what it joins.
+    """
+    if n.sum() < MIN_SAMPLES:
         return None
-    order = np.argsort(p, kind="stable")
     pools: list[list[float]] = []
-    for x, v in zip(p[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([x, float(v), 1.0])
+    for x, v, w in zip(p.tolist(), y.tolist(), n.tolist(), strict=True):
+        pools.append([x, v, float(w)])
         while len(pools) > 1 and pools[-2][1] > pools[-1][1]:
             x2, v2, w2 = pools.pop()
             x1, v1, w1 = pools[-1]
@@ -76,16 +90,17 @@ def fit_isotonic(p: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]
 
 
 def isotonic_fits(samples: DataFrame, *cohort: str) -> DataFrame:
-    """Per cohort and outcome: xs and ys of the fitted steps."""
+    """Per cohort and outcome: xs and ys of the fitted steps; probabilities equal to six decimals count as one place, which bounds a group."""
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["p", "y"])
-        got = fit_isotonic(rows.p.to_numpy(), rows.y.to_numpy())
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("p")
+        got = fit_isotonic(rows.p.to_numpy(), rows.y.to_numpy(), rows.n.to_numpy())
         return pd.DataFrame([(*key, *got)] if got else [], columns=[*cohort, "outcome", "xs", "ys"])
 
+    places = samples.groupBy(*cohort, "outcome", F.round("p", 6).alias("p")).agg(F.avg(F.col("y").cast("double")).alias("y"), F.count("*").alias("n"))
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in cohort), "outcome string, xs array<double>, ys array<double>"])
-    return samples.select(*cohort, "outcome", "p", F.col("y").cast("int").alias("y")).groupBy(*cohort, "outcome").applyInPandas(fit, schema)
+    return places.groupBy(*cohort, "outcome").applyInPandas(fit, schema)
 
 
 def isotonic_value(p, xs, ys):

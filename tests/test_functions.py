@@ -75,8 +75,10 @@ def test_calibration_fits():
         a, b = a - 0.05 * (e * logit).mean(), b - 0.05 * e.mean()
     assert calibration.fit_platt(logit, np.ones(400), y) == pytest.approx((a, b))
     assert calibration.fit_platt(logit[:10], np.ones(10), y[:10]) is None and calibration.fit_platt(logit, np.ones(400), np.zeros(400)) is None
-    xs, ys = calibration.fit_isotonic(p, y)
-    assert ys == sorted(ys) and calibration.fit_isotonic(p[:5], y[:5]) is None
+    order = np.argsort(p)
+    xs, ys = calibration.fit_isotonic(p[order], y[order].astype(float), np.ones(400))
+    assert ys == sorted(ys) and xs == sorted(xs) and calibration.fit_isotonic(p[:5], y[:5], np.ones(5)) is None
+    assert calibration.fit_isotonic(np.array([0.1, 0.2, 0.3]), np.array([1.0, 0.0, 1.0]), np.array([10, 10, 10]))[1] == [0.5, 1.0]
 
 
 def test_isotonic_values(spark):
