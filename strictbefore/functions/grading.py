@@ -9,7 +9,7 @@ from strictbefore.functions.policy import outcome
 
 # Lines of the markets.
 TOTAL_LINES, TEAM_LINES = (1.5, 2.5, 3.5, 4.5, 5.5), (0.5, 1.5, 2.5)
-CORNER_LINES, CARD_LINES = (8.5, 9.5, 10.5), (3.5, 4.5, 5.5)
+CORNER_LINES, CARD_LINES = (7.5, 8.5, 9.5, 10.5), (2.5, 3.5, 4.5, 5.5)
 
 
 def name_of(prefix: str, line: float) -> str:
@@ -35,9 +35,10 @@ def total_against_line(total: Column, line: Column) -> Column:
 
 
 def statistic(stats: Column, side: Column, labels: tuple[str, ...]) -> Column:
-    """The first number under one of the labels among array<struct<team_id, type, value>>."""
-    mine = F.filter(stats, lambda s: (s["team_id"] == side) & F.lower(s["type"]).isin(*labels) & s["value"].isNotNull())
-    return F.get(mine, F.lit(0))["value"]
+    """The first figure under one of the labels among array<struct<team_id, type, value>>; null if it is missing or negative."""
+    mine = F.filter(stats, lambda s: (s["team_id"] == side) & F.lower(F.trim(s["type"])).isin(*labels))
+    value = F.get(mine, F.lit(0))["value"]
+    return F.when(value >= 0, value)
 
 
 def statistical_markets(stats: Column, home: Column, away: Column) -> dict[str, Column]:

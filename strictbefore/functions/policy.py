@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Status codes by meaning.
 FINISHED = {"football": ("FT", "AET", "PEN"), "basketball": ("FT", "AOT")}
-LIVE = {"football": ("1H", "HT", "2H", "ET", "BT", "P", "LIVE"), "basketball": ("Q1", "Q2", "Q3", "Q4", "OT", "BT", "HT")}
-CALLED_OFF = ("PST", "CANC", "ABD", "AWD", "WO", "SUSP", "INT")
+LIVE = {"football": ("1H", "2H", "HT", "ET", "BT", "P", "SUSP", "INT"), "basketball": ("Q1", "Q2", "Q3", "Q4", "OT", "HT", "BT")}
+CALLED_OFF = {"football": ("PST", "CANC", "ABD", "AWD", "WO"), "basketball": ("PST", "CANC", "ABD")}
 
 
 def is_finished(status: Column, sport: str = "football") -> Column:
@@ -19,8 +19,8 @@ def is_live(status: Column, sport: str = "football") -> Column:
     return F.coalesce(status.isin(*LIVE[sport]), F.lit(False))
 
 
-def is_called_off(status: Column) -> Column:
-    return F.coalesce(status.isin(*CALLED_OFF), F.lit(False))
+def is_called_off(status: Column, sport: str = "football") -> Column:
+    return F.coalesce(status.isin(*CALLED_OFF[sport]), F.lit(False))
 
 
 def strict_int(text: Column) -> Column:
@@ -58,16 +58,22 @@ def reject_reason(row: dict[str, Column], league: Column, season: Column, cutoff
     """Why a fixture isn't taken in, the first reason that holds; null for one that is."""
     completed = is_finished(row["status_short"])
     invalid = lambda g: F.coalesce(g < 0, F.lit(False))
+    nameless = lambda side: (F.coalesce(F.trim(row[f"{side}_team"]), F.lit("")) == "") if f"{side}_team" in row else F.lit(False)
+    no_id = lambda name: row[name].isNull() | (row[name] <= 0)
     checks = [
-        (row["fixture_id"].isNull() | (row["fixture_id"] <= 0), "missing_fixture_id"),
-        (row["kickoff_at"].isNull(), "missing_kickoff"),
-        (~(row["kickoff_at"] < cutoff), "not_before_cutoff"),
-        (row["home_id"].isNull() | row["away_id"].isNull(), "missing_team_ids"),
-        (row["home_id"] == row["away_id"], "identical_teams"),
-        (row["league_id"].isNull() | (row["league_id"] != league), "league_mismatch"),
-        (row["season"].isNull() | (row["season"] != season), "season_mismatch"),
-        (~completed if require_completed else F.lit(False), "not_completed"),
-        (invalid(row["home_goals"]) | invalid(row["away_goals"]), "invalid_goals"),
-        (completed & (row["home_goals"].isNull() | row["away_goals"].isNull()), "completed_without_goals"),
+        (no_id("fixture_id"), "missing_invalid_or_non_positive_fixture_id"),
+        (row["kickoff_at"].isNull(), "missing_kickoff_timestamp"),
+        (~(row["kickoff_at"] < cutoff), "kickoff_not_before_cutoff"),
+        (no_id("home_id"), "missing_invalid_or_non_positive_home_team_id"),
+        (no_id("away_id"), "missing_invalid_or_non_positive_away_team_id"),
+        (row["home_id"] == row["away_id"], "identical_home_and_away_team_ids"),
+        (nameless("home"), "missing_or_empty_home_team_name"),
+        (nameless("away"), "missing_or_empty_away_team_name"),
+        (row["league_id"] != league, "conflicting_league_id"),
+        (row["season"] != season, "conflicting_season"),
+        (~completed if require_completed else F.lit(False), "fixture_not_completed"),
+        (invalid(row["home_goals"]), "invalid_or_negative_home_goals"),
+        (invalid(row["away_goals"]), "invalid_or_negative_away_goals"),
+        (completed & (row["home_goals"].isNull() | row["away_goals"].isNull()), "completed_fixture_missing_goals"),
     ]
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(reason)) for bad, reason in checks])

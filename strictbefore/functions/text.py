@@ -14,6 +14,7 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzst"
 NOISE = ("fc", "cf", "afc", "sc", "club")
 SUFFIXES = (" fc", " afc", " cf", " sc", " bc", " basketball", " football club")
+NOT_SENIOR = ("u18", "u19", "u20", "u21", "u23", "youth", "reserve", "women", "ladies", "academy", "friendly")
 NATIONAL = ("national team", "football team", "national", "team")
 
 
@@ -112,8 +113,10 @@ def clean_number(text: Column) -> Column:
 
 
 def side_kind(name: Column) -> Column:
-    """What marks a side as not the first team: age groups, women's and reserve sides, in order; empty for a first team."""
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"\b(u\d{2}|women|ladies|ii|b|reserves)\b"), F.lit(1)))), ",")
+    """What marks a side as not the first team, in order and joined by commas; empty for a first team."""
+    low = fold(name)
+    marks = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in NOT_SENIOR]))
+    return F.array_join(F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"u\d{2}"), F.lit(0)), marks))), ",")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strictbefore.functions import text
 
 # Words that a name may drop within one league.
-LEAGUE_NOISE = ("fc", "cf", "bsc", "afc", "sv", "sc", "ac", "as", "us", "ssc", "cd", "ud", "rc", "vfb", "tsg")
+LEAGUE_NOISE = ("fc", "cf", "bsc", "afc", "sv", "sc", "fk", "sk", "cd", "ud", "rcd", "rc", "as", "ss", "us")
 
 
 def stripped(name):

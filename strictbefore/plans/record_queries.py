@@ -313,8 +313,8 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fixture_rejections",
-    f"""WITH {MATCHES_SQL} SELECT CASE WHEN fixture_id <= 0 THEN 'missing_fixture_id' WHEN NOT kickoff_at < TIMESTAMP '1999-01-01' THEN 'not_before_cutoff' WHEN league_id <> 2 THEN 'league_mismatch' WHEN season <> 1997 THEN 'season_mismatch' WHEN status_short = 'NS' THEN 'not_completed'
-      WHEN home_goals IS NULL OR away_goals IS NULL THEN 'completed_without_goals' END AS reason, count(*) AS n FROM matches GROUP BY ALL""",
+    f"""WITH {MATCHES_SQL} SELECT CASE WHEN fixture_id <= 0 THEN 'missing_invalid_or_non_positive_fixture_id' WHEN NOT kickoff_at < TIMESTAMP '1999-01-01' THEN 'kickoff_not_before_cutoff' WHEN home_id <= 0 THEN 'missing_invalid_or_non_positive_home_team_id' WHEN away_id <= 0 THEN 'missing_invalid_or_non_positive_away_team_id' WHEN league_id <> 2 THEN 'conflicting_league_id' WHEN season <> 1997 THEN 'conflicting_season' WHEN status_short = 'NS' THEN 'fixture_not_completed'
+      WHEN home_goals IS NULL OR away_goals IS NULL THEN 'completed_fixture_missing_goals' END AS reason, count(*) AS n FROM matches GROUP BY ALL""",
 )
 def fixture_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(spark, sf_dir)

@@ -85,3 +85,12 @@ def test_isotonic_values(spark):
     xs, ys = F.array(F.lit(0.2), F.lit(0.4)), F.array(F.lit(0.1), F.lit(0.5))
     row = one(spark, *[calibration.isotonic_value(F.lit(p), xs, ys) for p in (0.1, 0.2, 0.3, 0.4, 0.9)])
     assert row[:] == pytest.approx((0.1, 0.1, 0.3, 0.5, 0.5))
+
+
+def test_side_kinds_and_rejections(spark):
+    assert one(spark, text.side_kind(F.lit("Ajax U19 Women")), text.side_kind(F.lit("Ajax")), text.side_kind(F.lit("Inter U17")))[:] == ("u19,women", "", "u17")
+    row = {"fixture_id": F.lit(1), "kickoff_at": F.lit("2024-01-01").cast("timestamp"), "home_id": F.lit(1), "away_id": F.lit(2), "home_team": F.lit("A"), "away_team": F.lit(" "), "league_id": F.lit(3), "season": F.lit(2024), "status_short": F.lit("FT"), "home_goals": F.lit(1), "away_goals": F.lit(None).cast("int")}
+    why = lambda **more: policy.reject_reason(row | more, F.lit(3), F.lit(2024), F.lit("2025-01-01").cast("timestamp"))
+    got = one(spark, why(), why(away_team=F.lit("B")), why(away_team=F.lit("B"), away_goals=F.lit(0)), why(home_id=F.lit(2)), why(away_team=F.lit("B"), status_short=F.lit("NS")), why(away_team=F.lit("B"), away_goals=F.lit(-1)))
+    assert got[:] == ("missing_or_empty_away_team_name", "completed_fixture_missing_goals", None, "identical_home_and_away_team_ids", "fixture_not_completed", "invalid_or_negative_away_goals")
+    assert one(spark, policy.is_live(F.lit("SUSP")), policy.is_called_off(F.lit("AWD"), "basketball"), policy.is_finished(F.lit("AOT"), "basketball"))[:] == (True, False, True)
