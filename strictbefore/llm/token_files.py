@@ -48,6 +48,17 @@ def widths(values: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int8)
 
 
+def all_of_next(flags: np.ndarray, count: int) -> np.ndarray:
+    """Whether all of the ``count`` flags from each place on are set; what lies beyond the end counts as set."""
+    held = np.concatenate([flags, np.ones(count, bool)])
+    width = 1
+    while width < count:  # windows of twice the width, at last the exact one
+        more = min(width, count - width)
+        held = held[:-more] & held[more:]
+        width += more
+    return held[: len(flags)]
+
+
 def encode_block(values: np.ndarray) -> np.ndarray:
     """Words of one block; the last word may stand for more ids than there are, which the count settles."""
     n = len(values)
@@ -55,12 +66,11 @@ def encode_block(values: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     need = widths(values)
     choice = np.full(n, ESCAPE, np.int8)
-    place = np.arange(n)
     for selector in range(len(SELECTORS) - 1, -1, -1):  # from few to many ids, so that the most ids win
         count, bits = SELECTORS[selector]
-        over = np.where(need > bits, place, n + count)  # a block's end fits anything
-        stop = np.minimum.accumulate(over[::-1])[::-1]
-        choice[stop - place >= count] = selector
+        fits = need <= bits
+        if np.count_nonzero(fits) >= min(count, n):
+            np.copyto(choice, np.int8(selector), where=all_of_next(fits, count))
     counts = np.array([c for c, _ in SELECTORS] + [1])
     step = counts[choice].tolist()
     starts, at = [], 0
@@ -156,7 +166,7 @@ class Encoder(dict):
     The vocabulary's normaliser and pre-tokeniser never reach across white space, so a text's ids are those of its runs.
     """
 
-    CACHED, CACHED_CHARS = 300_000, 64
+    CACHED, CACHED_CHARS = 600_000, 64
     WORD = re.compile(r"([a-z]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
@@ -167,6 +177,7 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.older: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def __missing__(self, run: str) -> bytes:
         found = self.older.get(run)
@@ -176,7 +187,7 @@ class Encoder(dict):
             if word and word[2]:
                 found = self[word[1]] + self[word[2]]
             elif word and word[1] == run:
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
+                found = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(run)])
             elif word:
                 found = self[word[1]]
             else:
