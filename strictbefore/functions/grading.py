@@ -47,3 +47,15 @@ def statistical_markets(stats: Column, home: Column, away: Column) -> dict[str,
     yellow = statistic(stats, home, ("yellow cards",)) + statistic(stats, away, ("yellow cards",))
     red = statistic(stats, home, ("red cards",)) + statistic(stats, away, ("red cards",))
     return {name_of("corners_over", x): corners > x for x in CORNER_LINES} | {name_of("cards_over", x): yellow + red > x for x in CARD_LINES}
+
+
+def actual_double_chance(home: Column, away: Column) -> Column:
+    """The double chance that came true, the home side's first."""
+    return F.when(home >= away, "home_or_draw").when(away > home, "away_or_draw")
+
+
+def pick_alias(text: Column) -> Column:
+    """A stored pick under its canonical name; other labels in snake case."""
+    plain = F.lower(F.trim(text))
+    known = F.when(plain.isin("home_win", "home win", "home", "h"), "home_win").when(plain.isin("draw", "tie", "x"), "draw").when(plain.isin("away_win", "away win", "away", "a"), "away_win")
+    return F.coalesce(known, F.translate(plain, "- ", "__"))

@@ -152,3 +152,15 @@ def _close_words(a: pd.Series, b: pd.Series) -> pd.Series:
         return any(min(len(p), len(q)) >= 5 and difflib.SequenceMatcher(None, p, q).ratio() >= 0.72 for p in (x or "").split() for q in (y or "").split())
 
     return pd.Series([close(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+
+def pair_similarity(home_a: Column, away_a: Column, home_b: Column, away_b: Column) -> Column:
+    """How alike two pairs of names are, in the better of both orders."""
+    n = team_name
+    forward = (ratio(n(home_a), n(home_b)) + ratio(n(away_a), n(away_b))) / 2
+    reverse = (ratio(n(home_a), n(away_b)) + ratio(n(away_a), n(home_b))) / 2
+    return F.greatest(forward, reverse)
+
+
+def normal_text(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")

@@ -93,3 +93,19 @@ def fill_forward(rows: DataFrame, cohort: list[str], order: str, *cols: str) ->
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, the same for the same seed."""
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def midnight_twins(rows: DataFrame, least: float) -> DataFrame:
+    """Fixtures stored at midnight, with the kickoff of their one twin: same league, season and day, names alike enough.
+
+    fixture_id, twin_id, kickoff_at; two candidates or none leave a fixture as it is. Pairs meet by league, season and day.
+    """
+    from strictbefore.functions.text import pair_similarity
+    from strictbefore.functions.time import is_midnight
+
+    slim = rows.select("fixture_id", "league_id", "season", F.to_date("kickoff_at").alias("day"), "kickoff_at", "home_team", "away_team")
+    bare = slim.filter(is_midnight(F.col("kickoff_at"))).drop("kickoff_at")
+    full = slim.filter(~is_midnight(F.col("kickoff_at"))).select("league_id", "season", "day", F.col("fixture_id").alias("twin_id"), "kickoff_at", F.col("home_team").alias("_h"), F.col("away_team").alias("_a"))
+    pairs = bare.join(full, ["league_id", "season", "day"]).filter(pair_similarity(F.col("home_team"), F.col("away_team"), F.col("_h"), F.col("_a")) >= least)
+    w = Window.partitionBy("fixture_id")
+    return pairs.withColumn("_n", F.count("*").over(w)).filter("_n = 1").select("fixture_id", "twin_id", "kickoff_at")
