@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert library.QUERIES[name](spark, SF).count() > 0
+    assert library.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0  # fits need more matches than the smallest tables have
 
 
 def test_entry(spark):
