@@ -126,7 +126,7 @@ def pieces(streams: DataFrame, quota: DataFrame, block: int = BLOCK) -> DataFram
     cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), last)))
     begin = F.greatest(F.col("first"), F.col("block") * block)
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.select("row", "id", "place", "block", (begin - F.col("first")).alias("offset"), (end - begin).alias("words"))
+    return cut.select("row", "id", "size", "place", "block", (begin - F.col("first")).alias("offset"), (end - begin).alias("words"))
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,7 +134,8 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: in
     spark = docs.sparkSession
     streams = materialise(ranged(sized(docs, id_col, text_col, source_col), int(spark.conf.get("spark.sql.shuffle.partitions"))), "streams")
     quota = materialise(quotas(targets(streams), block), "quotas")
-    return streams, quota, pieces(streams, quota, block).join(slots(quota), ["place", "block"])
+    # both sides grow with the corpus, though Spark can't tell from a table of quotas: neither may be broadcast
+    return streams, quota, pieces(streams, quota, block).hint("merge").join(slots(quota).hint("merge"), ["place", "block"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     streams, quota, taken = plan(docs, id_col, text_col, source_col, block)
     used = taken.groupBy("row").agg(F.sum("words").alias("taken")).withColumnRenamed("row", "_row")
     per = quota.select(F.col("source").alias("_source"), "source_size", "target")
-    out = streams.join(used, F.col("row") == F.col("_row"), "left").join(per, F.col("source").eqNullSafe(F.col("_source")))
+    out = streams.join(used.hint("merge"), F.col("row") == F.col("_row"), "left").join(per, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -163,15 +164,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         single = docs.join(odd, same, "left_anti")
     _, _, taken = plan(single, id_col, text_col, source_col, block)
     runs = taken.groupBy(F.col("id").alias("_tid"), F.col("pass").alias("_pass")).agg(
-        F.array_sort(F.collect_list(F.struct("offset", "words"))).alias("_runs"), F.sum("words").alias("_words")
+        F.array_sort(F.collect_list(F.struct("offset", "words"))).alias("_runs"), (F.sum("words") == F.first("size")).alias("_whole")
     )
-    joined = single.join(runs, single[id_col] == F.col("_tid"))
+    joined = single.join(runs.hint("merge"), single[id_col] == F.col("_tid"))
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.expr("concat_ws('', flatten(transform(_runs, r -> slice(_tokens, int(r.offset + 1), int(r.words)))))")
-    whole = F.col("_words") == F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-    text = F.when(whole, F.col(text_col)).otherwise(cut)
-    out = joined.withColumn("_tokens", tokens).withColumn(text_col, text)
+    # the one-element array binds the words, so that they are found once however many runs are cut from them
+    cut = F.get(F.transform(F.array(tokens), lambda t: F.concat_ws("", F.flatten(F.transform("_runs", lambda r: F.slice(t, (r["offset"] + 1).cast("int"), r["words"].cast("int")))))), F.lit(0))
+    out = joined.withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    out = out.select(*names)
+    out = out.select(*[F.col(f"`{c}`") for c in names])
     return out if rest is None else out.unionByName(rest)
