@@ -40,6 +40,8 @@ SEED = 42
 RADIUS = 2
 #: Distinct fingerprints of a cell that are compared pair by pair: up to 65 a midpoint star would take more rows.
 CELL = 65
+#: Fingerprints of at least 1 / COMMON of all rows are joined by broadcast, COMMON rows at most.
+COMMON = 1000
 #: Shingles hashed at a time, so that memory doesn't grow with a text.
 STEP = 1 << 16
 
@@ -146,7 +148,7 @@ def components(edges: DataFrame, order: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
     found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = materialise(found.groupBy("fp").agg(F.min("id").alias("id")), "points")
+    points = materialise(found.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "points")
     # ids rank the fingerprints; one that only rows without an id have ranks after all ids, by itself
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", "fp").alias("at"))
     order = points.select("fp", rank.alias("rank"))
@@ -154,7 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = order.join(roots, "rank").select(F.col("fp").alias("_fp"), F.when(~F.col("root.none"), F.col("root.at")).alias("_root"), F.lit(True).alias("_linked"))
     own = points.select(F.col("fp").alias("_fp"), F.col("id").alias("_own"))
     ids = own.join(placed, "_fp", "left").select("_fp", F.when(F.col("_linked"), F.col("_root")).otherwise(F.col("_own")).alias("component_id"))
-    return found.join(ids, F.col("fp") == F.col("_fp")).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = materialise(ids, "component-ids")
+    # no more than COMMON fingerprints stand for that share of all rows: they are sent to the rows, the rest meet by shuffle
+    total = points.agg(F.sum("n")).first()[0] or 0
+    common = points.filter(F.col("n") * COMMON >= total).filter("n > 1").select(F.col("fp").alias("_common"))
+    often = F.broadcast(ids.join(F.broadcast(common), F.col("_fp") == F.col("_common"), "left_semi"))
+    by_send = found.join(often, F.col("fp") == F.col("_fp"))
+    by_shuffle = found.join(F.broadcast(common), F.col("fp") == F.col("_common"), "left_anti").join(ids.hint("merge"), F.col("fp") == F.col("_fp"))
+    return by_send.unionByName(by_shuffle).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
