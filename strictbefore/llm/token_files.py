@@ -160,6 +160,10 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, upto, (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype("<u4")
 
 
+#: Marks that end a word and are no part of a contraction.
+MARKS = ".,;:!?"
+
+
 class Encoder(dict):
     """Runs without ASCII white space to ids as bytes, through the tokenizers library; a bounded cache in two halves.
 
@@ -167,7 +171,6 @@ class Encoder(dict):
     """
 
     CACHED, CACHED_CHARS = 600_000, 64
-    WORD = re.compile(r"([a-z]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -183,15 +186,15 @@ class Encoder(dict):
         found = self.older.get(run)
         if found is None:
             # a plain word and the marks after it are pre-tokens of their own, whatever the case
-            word = self.WORD.fullmatch(run.lower()) if run.isascii() else None
-            if word and word[2]:
-                found = self[word[1]] + self[word[2]]
-            elif word and word[1] == run:
-                found = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(run)])
-            elif word:
-                found = self[word[1]]
-            else:
+            word = run.rstrip(MARKS) if run.isascii() else ""
+            if not word.isalpha():
                 found = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            elif len(word) < len(run):
+                found = self[word] + self[run[len(word) :]]
+            elif word.islower():
+                found = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(word)])
+            else:
+                found = self[word.lower()]
             if len(run) > self.CACHED_CHARS:
                 return found
         if len(self) >= self.CACHED:
