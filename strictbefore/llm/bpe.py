@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens of up to CACHED_BYTES are kept, CACHED of them at least and twice as many at most per worker.
-CACHED, CACHED_BYTES = 400_000, 64
+#: Pre-tokens of up to CACHED_BYTES are kept, CACHED of them at least and twice as many at most per worker, and as many pairs.
+CACHED, CACHED_BYTES = 150_000, 64
 #: Bytes between two looks for what is stable, and characters of a text that are split at a time.
 LOOK, PART = 256, 1 << 18
 #: Rows in an output batch.
@@ -83,7 +83,7 @@ class Merges:
         """Whether the two tokens' bytes encode to just these two."""
         found = self._valid.get((left, right))
         if found is None:
-            if len(self._valid) >= 4 * CACHED:
+            if len(self._valid) >= 2 * CACHED:
                 self._valid.clear()
             found = self._valid[left, right] = self._uncrossed(left, right)
         return found
