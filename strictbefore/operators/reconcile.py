@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strictbefore.functions import text
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int = 1) -> DataFrame:
     """Pairs that agree on the keys and whose days differ by at most ``days``: the left side names every day it accepts.
@@ -30,6 +32,34 @@ def unique_best(pairs: DataFrame, key: str, score: Column, least: float | None =
     return top.withColumn("_ties", F.count("*").over(w)).filter("_ties = 1").drop("_score", "_top", "_ties")
 
 
+def best_names(left: DataFrame, right: DataFrame, cohort: str, left_name: str, right_name: str, least: float = 0.85) -> DataFrame:
+    """Rows of ``left`` with the row of ``right`` in their cohort whose name scores best, if at least ``least`` and no other row reaches it.
+
+    Distinct names meet by equality: one is a substring of the other (three letters or more) or equals it, or they share
+    the first four letters of a word, as equal words and stems do. These are all tiers of name_score() from 0.85 up; the
+    ratio alone, which no equality finds, makes no pair. Rows join by their name's one match, so common names don't multiply.
+    """
+    tight = lambda c: F.replace(text.fold(F.trim(c)), F.lit(" "), F.lit(""))
+    starts = lambda c: F.array_distinct(F.transform(F.filter(F.split(text.fold(F.trim(c)), "[^a-z0-9]+"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
+    cuts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(F.length(c) - i + 1, F.lit(3))), lambda n: F.substr(c, i, n)))))
+
+    def keys(side: DataFrame, *offers: tuple[str, Column]) -> DataFrame:
+        marked = F.concat(*[F.transform(values, lambda v, m=mark: F.concat(F.lit(m), v)) for mark, values in offers])
+        return side.withColumn("_key", F.explode(F.array_distinct(marked)))
+
+    a = left.filter(F.col(left_name).isNotNull()).select(F.col(cohort).alias("_cohort"), F.col(left_name).alias("_a")).distinct()
+    b = right.filter(F.col(right_name).isNotNull()).groupBy(F.col(cohort).alias("_cohort"), F.col(right_name).alias("_b")).agg(F.count("*").alias("_rows"))
+    x, y = tight(F.col("_a")), tight(F.col("_b"))
+    offered = keys(a, ("w", starts(F.col("_a"))), ("l", F.array(x)), ("r", F.concat(cuts(x), F.array(x))))
+    asked = keys(b, ("w", starts(F.col("_b"))), ("r", F.array(y)), ("l", F.concat(cuts(y), F.array(y))))
+    pairs = offered.join(asked, ["_cohort", "_key"]).select("_cohort", "_a", "_b", "_rows").distinct()
+    scored = pairs.withColumn("score", text.name_score(F.col("_a"), F.col("_b"))).withColumn("_name", F.struct("_cohort", "_a"))
+    best = unique_best(scored, "_name", F.col("score"), least).filter("_rows = 1").select("_cohort", "_a", "_b", "score")
+    own = left.join(best, (F.col(cohort) == F.col("_cohort")) & (F.col(left_name) == F.col("_a"))).drop("_cohort", "_a")
+    other = right.withColumnRenamed(cohort, "_cohort")
+    return own.join(other, (F.col(cohort) == F.col("_cohort")) & (F.col("_b") == F.col(right_name))).drop("_cohort", "_b")
+
+
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs whose left and right appear in no other pair."""
     a, b = Window.partitionBy(left), Window.partitionBy(right)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.operators import calibration, identity
+from strictbefore.operators import calibration, identity, reconcile
 from strictbefore.plans.catalog import query
 from strictbefore.plans.matches import MATCHES_SQL, matches, played, table
 from strictbefore.plans.model_queries import logged, outcome_samples
@@ -77,14 +77,29 @@ def resolved_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(raw, ids.unionByName(named), aliases).select("s_suppkey", "canonical_id", "step")
 
 
+def named_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers by nation with names to match.
+
+    The tables' names differ in their number only, so towns are spelt from a digest of the whole key, fifteen customers to
+    a supplier's town, with marks, accents and stems by key.
+    """
+    town = lambda k: F.translate(F.substring(F.md5(k.cast("long").cast("string").cast("binary")), 1, 8), "0123456789abcdef", "bdfgklmnprstvzao")
+    ck, sk = F.col("c_custkey"), F.col("s_suppkey")
+    home = town(F.floor(ck / 15))
+    mine = F.when(ck % 4 == 0, F.concat(F.initcap(home), F.lit(" FC"))).when(ck % 4 == 1, F.upper(home)).when(ck % 4 == 2, F.concat(F.lit("AS "), home)).otherwise(F.concat(F.substring(home, 1, 5), F.lit("ine")))
+    theirs = F.when(sk % 3 == 0, F.initcap(town(sk))).when(sk % 3 == 1, F.concat(town(sk), F.lit(" SC"))).otherwise(F.concat(F.lit("FK "), F.translate(town(sk), "ao", "áö")))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", mine.alias("c_name"))
+    return customers, table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), theirs.alias("s_name"))
+
+
 @query("matched_names")
 def matched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of one nation and segment that nearly agree: the score with no SQL form, on pairs that an equality brings together."""
-    from strictbefore.functions.text import name_score
+    """Customers with the one supplier of their nation whose name agrees best: the score with no SQL form, on distinct names that an equality brings together.
 
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_name")
-    return c.join(s, "c_nationkey").filter("c_custkey % 97 = s_suppkey % 97").withColumn("score", name_score(F.col("c_name"), F.col("s_name")))
+    Suppliers have no segment, so it can't be part of the key.
+    """
+    customers, suppliers = named_sides(spark, sf_dir)
+    return reconcile.best_names(customers, suppliers, "c_nationkey", "c_name", "s_name")
 
 
 @query("finished_by_season", f"WITH {MATCHES_SQL} SELECT season, count(*) AS finished, max(kickoff_at) AS latest FROM played GROUP BY season")
