@@ -152,6 +152,24 @@ def alias_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "k").filter(text.same_odds_name(F.col("a"), F.col("b"))).select("s_suppkey", "c_custkey").distinct()
 
 
+@query(
+    "alias_suffix_names",
+    """WITH a AS (SELECT s_suppkey % 4 AS kind, 'club ' || (s_suppkey % 60) || CASE s_suppkey % 4 WHEN 0 THEN ' FC' WHEN 1 THEN ' A.F.C' WHEN 2 THEN ' cf' ELSE '' END AS n FROM supplier), b AS (SELECT 'Club-' || (c_custkey % 90) AS n FROM customer)
+    SELECT a.n AS supplier_name, b.n AS customer_name, any_value(suppliers) AS suppliers, any_value(customers) AS customers FROM (SELECT n, kind, count(*) AS suppliers FROM a GROUP BY ALL) a JOIN (SELECT n, count(*) AS customers FROM b GROUP BY ALL) b
+    ON replace(lower(b.n), '-', ' ') = CASE WHEN kind = 0 THEN replace(a.n, ' FC', '') WHEN kind = 2 THEN replace(a.n, ' cf', '') ELSE lower(replace(a.n, '.', ' ')) END GROUP BY ALL""",
+)
+def alias_suffix_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of alias_suffix_matches over the whole tables: distinct names are matched and their rows counted, as rows by rows would multiply."""
+    tail = F.when(F.col("s_suppkey") % 4 == 0, " FC").when(F.col("s_suppkey") % 4 == 1, " A.F.C").when(F.col("s_suppkey") % 4 == 2, " cf").otherwise("")
+    a = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("club "), F.col("s_suppkey") % 60, tail).alias("supplier_name")).agg(F.count("*").alias("suppliers"))
+    b = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("Club-"), F.col("c_custkey") % 90).alias("customer_name")).agg(F.count("*").alias("customers"))
+    bare = lambda c: F.regexp_replace(text.odds_name(c), "(" + "|".join(text.SUFFIXES) + ")$", "")
+    offers = lambda c: F.array_distinct(F.array(text.odds_name(c), bare(c)))
+    left, right = a.withColumn("k", F.explode(offers(F.col("supplier_name")))), b.withColumn("k", F.explode(offers(F.col("customer_name"))))
+    pairs = left.join(right, "k").filter(text.same_odds_name(F.col("supplier_name"), F.col("customer_name")))
+    return pairs.select("supplier_name", "customer_name", "suppliers", "customers").distinct()
+
+
 @query(
     "source_cohort",
     """SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 9 AND (o_orderkey % 4 = 0 OR (o_orderkey % 4 = 3 AND (o_orderkey % 5 = 1 OR o_orderkey % 3 = 2)))""",

@@ -38,3 +38,13 @@ def test_matched_names_against_all_pairs(spark):
     assert {(r["c_custkey"], r["s_suppkey"], r["score"]) for r in found} == brute(left, right)
     assert len(found) > 20 and {r["score"] for r in found} == {0.85, 0.95, 1.0}
     assert any(r["c_custkey"] % 97 != r["s_suppkey"] % 97 for r in found)
+
+
+def test_alias_names_cover_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    found = library.QUERIES["alias_suffix_names"](spark, sf).collect()
+    numbers = {int(r["customer_name"].split("-")[1]): r["customers"] for r in found}
+    counts = spark.read.parquet(f"{sf}/customer.parquet").groupBy((F.col("c_custkey") % 90).alias("n")).count().collect()
+    assert numbers and all(numbers[r["n"]] == r["count"] for r in counts if r["n"] in numbers)
+    pairs = {(r["s_suppkey"] % 60, r["c_custkey"] % 90) for r in library.QUERIES["alias_suffix_matches"](spark, sf).collect()}
+    assert pairs <= {(int(r["supplier_name"].split()[1]), int(r["customer_name"].split("-")[1])) for r in found}
