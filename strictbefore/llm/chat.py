@@ -1,4 +1,4 @@
-"""Chat formatting over typed content parts, in DataFrame operations only.
+"""Chat formatting over typed content parts, in DataFrame operations; only the check digests of read_back() are folded in Arrow.
 
 A message's content is an ordered array of parts ``struct<kind, text, ref, tokens>``. A visitor (``visit``) flattens
 them: a text part becomes its escaped text, an image, audio or document part an ordered placeholder
@@ -9,8 +9,9 @@ Texts and roles are escaped reversibly: a backslash becomes ``\\b`` and a less-t
 no less-than sign, so nothing in it can look like a mark of the template or a placeholder, and every backslash in it
 begins an escape.
 
-A conversation of more than CHUNK_TURNS turn numbers is laid out in consecutive rows of so many, each with the loss
-mask of its own text: spans (0-based start, length) in code points over ``formatted`` of what the model is to write.
+A conversation of more than CHUNK_TURNS turn numbers is laid out in consecutive rows (``chunk``) of so many, and a chunk with
+more messages than that, as turns may repeat or be null, or with more than PART_CHARS characters, in consecutive parts
+(``part``). Each row has the loss mask of its own text: spans (0-based start, length) in code points over ``formatted`` of what the model is to write.
 
 Defined cases: null role, text and parts count as empty; a null turn comes first; equal turn numbers are ordered by role
 and text, and repeated rows are turns of their own; a null conversation id is a conversation. Extra columns play no part. An
@@ -19,11 +20,18 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Turn numbers laid out in one row.
 CHUNK_TURNS = 256
+#: Characters after which a row's messages go on in another row.
+PART_CHARS = 1 << 20
 #: Tokens that an attachment expands to when the part states none.
 PART_TOKENS = {"image": 256, "audio": 128, "document": 512}
 #: The role whose texts the loss covers.
@@ -68,22 +76,25 @@ def visit(parts: Column, first: Column) -> Column:
     return F.aggregate(F.coalesce(parts, F.expr(f"cast(array() as array<{PART}>)")), start, step)
 
 
-def format_parts(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, parts_col: str, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """One row per conversation and chunk: conv, chunk, n_turns, formatted, loss_spans, attachments, expanded_tokens.
+def format_parts(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, parts_col: str, chunk_turns: int = CHUNK_TURNS, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per conversation, chunk and part: conv, chunk, part, n_turns, formatted, loss_spans, attachments, expanded_tokens.
 
-    ``parts_col`` is an array of PART. Rows of one chunk meet in one group, whose size chunk_turns bounds.
+    ``parts_col`` is an array of PART. Rows of one part meet in one group: chunk_turns messages at most, begun within
+    part_chars characters. They are numbered by a sorted pass over the chunk, which may spill.
     """
+    no_parts = F.expr(f"cast(array() as array<{PART}>)")
     rows = messages.select(
         messages[conv_col].alias("conv"),
         F.floor(messages[turn_col] / chunk_turns).alias("chunk"),
-        F.struct(
-            messages[turn_col].alias("turn"),
-            F.coalesce(messages[role_col], F.lit("")).alias("role"),
-            F.coalesce(messages[parts_col].cast(f"array<{PART}>"), F.expr(f"cast(array() as array<{PART}>)")).alias("parts"),
-        ).alias("message"),
+        F.struct(messages[turn_col].alias("turn"), F.coalesce(messages[role_col], F.lit("")).alias("role"), F.coalesce(messages[parts_col].cast(f"array<{PART}>"), no_parts).alias("parts")).alias("message"),
     )
-    grouped = rows.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list("message")).alias("messages"))
-    return lay_out(grouped)
+    said = F.aggregate("message.parts", F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.char_length(p["text"]), F.lit(0)))
+    order = Window.partitionBy("conv", "chunk").orderBy("message")
+    before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # both terms never fall, so equal sums are equal terms
+    part = F.floor((F.row_number().over(order) - 1) / chunk_turns) + F.floor(before / part_chars)
+    numbered = rows.withColumn("chars", said + F.char_length("message.role")).withColumn("part", part)
+    return lay_out(numbered.groupBy("conv", "chunk", "part").agg(F.array_sort(F.collect_list("message")).alias("messages")))
 
 
 def lay_out(grouped: DataFrame) -> DataFrame:
@@ -114,6 +125,7 @@ def lay_out(grouped: DataFrame) -> DataFrame:
         .select(
             "conv",
             "chunk",
+            "part",
             F.size("messages").cast("long").alias("n_turns"),
             formatted.alias("formatted"),
             F.aggregate("_blocks", nothing, walk)["spans"].alias("loss_spans"),
@@ -140,22 +152,46 @@ def turns_of(formatted: Column) -> Column:
     return F.transform(blocks, turn)
 
 
+def digests(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches sorted by conversation, a row per conversation; only its running sums and hash states are held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, sums, begun = None, None, False
+
+        def row() -> pa.RecordBatch:
+            n, chars, loss, turns_hash, loss_hash = sums
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((conv, n, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), chars), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for of, n, chars, turns, loss in zip(*batch.columns, strict=True):
+                of = of.as_py()
+                if not begun or of != conv:
+                    if begun:
+                        yield row()
+                    conv, sums, begun = of, [0, 0, 0, hashlib.sha256(), hashlib.sha256()], True
+                said = loss.as_py()
+                sums[0] += n.as_py()
+                sums[1] += chars.as_py()
+                sums[2] += len(said)
+                sums[3].update(turns.as_py().encode())
+                sums[4].update(said.encode())
+        if begun:
+            yield row()
+
+    return fold
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the output says per conversation: digests of all turns and of all text under the loss mask.
 
-    Only digested text meets per conversation; a digest over a whole conversation needs its text in one row.
+    A digest needs its text in order but not in one row: the rows of a conversation are sorted in one partition, which
+    may spill, and hashed as a stream. DataFrame operations have no running SHA-256, so the fold is an Arrow function.
     """
     masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     said = F.array_join(F.transform(turns_of(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = formatted.select("conv", "n_turns", F.char_length("formatted").cast("long").alias("chars"), F.struct("chunk", said.alias("turns"), F.array_join(masked, "").alias("loss")).alias("said"))
-    per = rows.groupBy("conv").agg(F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("said")).alias("said"))
-    loss = F.array_join(F.transform("said", lambda s: s["loss"]), "")
-    turns = F.array_join(F.transform("said", lambda s: s["turns"]), "")
-    return per.select(
-        F.col("conv").alias("conv_id"),
-        "n_turns",
-        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    rows = formatted.select("conv", "chunk", "part", "n_turns", F.char_length("formatted").cast("long").alias("chars"), said.alias("turns"), F.array_join(masked, "").alias("loss"))
+    kind = to_arrow_type(rows.schema["conv"].dataType)
+    schema = pa.schema([("conv_id", kind), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    dealt = rows.repartition("conv").sortWithinPartitions("conv", "chunk", "part").select("conv", "n_turns", "chars", "turns", "loss")
+    names = f"conv_id {rows.schema['conv'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return dealt.mapInArrow(digests(schema), names)
