@@ -147,10 +147,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def spans(runs: Column) -> Column:
+    """Sorted pieces (offset, words) of a document, the adjoining ones made one."""
+    end = lambda i: F.get(runs, i)["offset"] + F.get(runs, i)["words"]
+    places = F.sequence(F.lit(0), F.size(runs) - 1)
+    firsts = F.filter(places, lambda i: (i == 0) | (F.get(runs, i)["offset"] != end(i - 1)))
+    lasts = F.filter(places, lambda i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["offset"] != end(i)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(F.get(runs, a)["offset"].alias("offset"), (end(b) - F.get(runs, a)["offset"]).alias("words")))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """The mix as documents: per document and pass, the words taken, verbatim with the white space before them.
+    """The mix as documents: per document, pass and run of adjoining blocks taken, its words, verbatim with the white space before them.
 
-    A document that a pass takes whole keeps its text as it is; one that the mix doesn't take is gone. Ids must be
+    A document that a pass takes whole keeps its text as it is; one that the mix doesn't take is gone; one that is taken in
+    part gives a row per run, so that no text is joined over a gap. Ids must be
     unique and not null here, as the takes are joined to the texts by them: rows without an id or whose id repeats
     stay out of the mix's arithmetic and are returned once, as they came.
     """
@@ -169,8 +179,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = single.join(runs.hint("merge"), single[id_col] == F.col("_tid"))
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     # the one-element array binds the words, so that they are found once however many runs are cut from them
-    cut = F.get(F.transform(F.array(tokens), lambda t: F.concat_ws("", F.flatten(F.transform("_runs", lambda r: F.slice(t, (r["offset"] + 1).cast("int"), r["words"].cast("int")))))), F.lit(0))
-    out = joined.withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut))
+    cut = F.get(F.transform(F.array(tokens), lambda t: F.transform(spans(F.col("_runs")), lambda r: F.array_join(F.slice(t, (r["offset"] + 1).cast("int"), r["words"].cast("int")), ""))), F.lit(0))
+    texts = F.when(F.col("_whole"), F.array(text_col)).otherwise(cut)
+    out = joined.select(*[F.col(f"`{c}`") for c in names if c != text_col], F.explode(texts).alias(text_col))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     out = out.select(*[F.col(f"`{c}`") for c in names])
