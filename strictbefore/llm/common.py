@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one long column that may be broadcast: 2 million ids are about 16 MB.
-BROADCAST_ROWS = 2_000_000
+#: Row keys that may be broadcast: 500,000 take about 50 MB.
+BROADCAST_ROWS = 500_000
+#: Bytes and rows of an Arrow batch between Spark and a worker, so that neither holds more than a few texts at a time.
+ARROW_BYTES, ARROW_ROWS = "4m", "2000"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or on a local master an own one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,11 +47,40 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def drop_rows_by_id(docs: DataFrame, id_col: str, gone: DataFrame, gone_rows: int) -> DataFrame:
-    """Rows of ``docs`` whose id isn't in the one-column ``gone``; a broadcast up to BROADCAST_ROWS, a shuffled anti join beyond."""
-    gone = gone.toDF("_gone_id")
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small: a worker's memory then follows a batch, not a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def _one_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file: a scan with nothing but projections and filters above it."""
+    nodes = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    return all(re.match(r"[\s:+\-]*(Project|Filter|SubqueryAlias|Relation)\b", line) for line in nodes)
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that tells its rows apart and stays the same whenever they are read again.
+
+    Rows of a Parquet scan are named by their file and place in it. Other rows are numbered and written once.
+    """
+    if _one_scan(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            path = meta["file_path"]
+            return docs.withColumn(name, F.struct(F.xxhash64(path).alias("file"), F.xxhash64(F.reverse(path)).alias("check"), meta["row_index"].alias("at")))
+        except AnalysisException:  # a scan of a format that doesn't number its rows
+            pass
+    zero = F.lit(0).cast("long")
+    return materialise(docs.withColumn(name, F.struct(zero.alias("file"), zero.alias("check"), F.monotonically_increasing_id().alias("at"))), "keyed")
+
+
+def drop_rows(docs: DataFrame, key: str, gone: DataFrame, gone_rows: int) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` isn't in the one-column ``gone``, without that column; a broadcast up to BROADCAST_ROWS, a shuffled anti join beyond."""
+    (other,) = fresh(docs, "gone")
+    gone = gone.toDF(other)
     gone = F.broadcast(gone) if gone_rows <= BROADCAST_ROWS else gone.hint("merge")
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    return docs.join(gone, docs[key] == gone[other], "left_anti").drop(key)
 
 
 def without_white(text: Column) -> Column:

@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strictbefore.llm.common import drop_rows_by_id, materialise, without_white
+from strictbefore.llm.common import drop_rows, fresh, keyed, materialise, without_white
 
 #: Misra-Gries counters of each task; digests of over 2 / (COUNTERS + 1) of all rows are certain to be found.
 COUNTERS = 1024
@@ -37,11 +37,11 @@ def misra_gries(keys: Iterator[bytes], counters: int) -> dict[bytes, int]:
     return kept
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def digests(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
     """The narrow table that everything else reads: row, id, digest, code points."""
     text = docs[text_col]
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         docs[id_col].cast("long").alias("id"),
         F.sha2(without_white(text).cast("binary"), 256).alias("digest"),
         F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("points"),
@@ -77,7 +77,12 @@ def frequent(narrow: DataFrame, counters: int) -> DataFrame:
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    narrow = materialise(digests(docs, id_col, text_col), "digests")
+    return decided(digests(docs, id_col, text_col, F.monotonically_increasing_id()), counters).drop("row")
+
+
+def decided(narrow: DataFrame, counters: int) -> DataFrame:
+    """decide() over the narrow table, with each row's key."""
+    narrow = materialise(narrow, "digests")
     heavy = materialise(frequent(narrow, counters), "frequent")
     order = (F.desc("points"), F.asc_nulls_last("id"), F.asc("row"))
     best = F.min_by(F.struct("row", "id"), F.struct(-F.col("points"), F.col("id").isNull(), F.col("id"), F.col("row")))
@@ -87,9 +92,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
         .agg(best.alias("best"), F.count("*").alias("group_size"))
     )
     winners = F.broadcast(materialise(winners, "winners"))  # counters + 1 rows at most
-    out = ("id", "keep_id", "group_size", "kept", "text_sha256")
     common = narrow.join(winners, "digest").select(
-        "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256")
+        "row", "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256")
     )
     group = Window.partitionBy("digest")
     rare = (
@@ -97,31 +101,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
         .withColumn("place", F.row_number().over(group.orderBy(*order)))
         .withColumn("keep_id", F.first("id").over(group.orderBy(*order)))
         .withColumn("group_size", F.count("*").over(group))
-        .select("id", "keep_id", "group_size", (F.col("place") == 1).alias("kept"), F.col("digest").alias("text_sha256"))
+        .select("row", "id", "keep_id", "group_size", (F.col("place") == 1).alias("kept"), F.col("digest").alias("text_sha256"))
     )
-    return common.unionByName(rare).select(*out)
+    return common.unionByName(rare)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows are named by their id: those without an id stay, and of rows that repeat an id as many stay as were kept,
-    picked among that id's rows in the order of decide().
-    """
-    made = materialise(decide(docs, id_col, text_col, counters), "exact-decisions").filter("id is not null")
-    per_id = made.groupBy("id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
-    per_id = materialise(per_id.filter("stay < rows"), "exact-drops")
-    gone, part = per_id.filter("stay = 0").select("id"), per_id.filter("stay > 0").select("id")
-    left = drop_rows_by_id(docs, id_col, gone, gone.count())
-    repeated = part.count()
-    if not repeated:
-        return left
-    # ids that stand on kept and on dropped rows: their few rows are settled by themselves
-    whole = drop_rows_by_id(left, id_col, part, repeated)
-    own = left.join(part.toDF("_part_id"), left[id_col] == F.col("_part_id"), "left_semi")
-    names = own.columns
-    tagged = own.withColumn("_digest", F.sha2(without_white(own[text_col]).cast("binary"), 256)).withColumn("_points", F.coalesce(F.char_length(text_col), F.lit(0)))
-    keepers = made.filter("kept").select(F.col("id").alias("_kid"), F.col("text_sha256").alias("_kdigest"))
-    kept = tagged.join(keepers, (tagged[id_col] == F.col("_kid")) & (F.col("_digest") == F.col("_kdigest")), "left_semi")
-    first = Window.partitionBy(id_col, "_digest").orderBy(F.desc("_points"), F.col(text_col))
-    return whole.unionByName(kept.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*names))
+    """The rows of ``docs`` that stay, with all their columns; rows are named by a key of their own, so ids may be null or repeat."""
+    (row,) = fresh(docs, "row")
+    docs = keyed(docs, row)
+    made = decided(digests(docs, id_col, text_col, docs[row]), counters)
+    gone = materialise(made.filter(~F.col("kept")).select("row"), "exact-drops")
+    return drop_rows(docs, row, gone, gone.count())

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strictbefore.llm.common import fresh
+
 #: Bytes of a window, units of each direction, windows that run side by side.
 WINDOW, UNITS, BATCH = 192, 8, 2048
 #: The bounds of the training sample: documents per language (twice as many at most), windows per document, languages by rows.
@@ -29,9 +31,9 @@ DOCS_PER_LANG, WINDOWS, LANGS = 500, 6, 256
 #: Training: windows per step, steps, learning rate.
 TRAIN_BATCH, STEPS, RATE = 96, 350, 0.02
 PAD = 256
+#: How far above chance, as a share of what is left to 1, a score has to be for keep_known() to keep a document.
+MARGIN = 0.05
 UNKNOWN = "und"
-#: A score below which the pipeline's stage rejects a document.
-LEAST_SCORE = 0.4
 
 
 @dataclass
@@ -252,8 +254,22 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return said.select("id", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
 
 
-def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` or more, all columns as they are."""
+def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The documents that have a language, all columns as they are.
+
+    ``und`` goes, and so does a text whose best score is no more than chance, 1 / languages, and ``margin`` of what is left up
+    to 1. Where nothing could be learned, all that have a letter stay.
+    """
+    if net is None:
+        return docs.filter(F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)))
     names = docs.columns
-    said = docs.withColumn("_said", guess(net, docs[text_col]))
-    return said.filter((F.col("_said.lang") != UNKNOWN) & (F.col("_said.score") >= least)).select(*[F.col(f"`{c}`") for c in names])
+    (said,) = fresh(docs, "said")
+    labelled = docs.withColumn(said, guess(net, docs[text_col]))
+    known = (F.col(said)["lang"] != UNKNOWN) & (F.col(said)["score"] >= least_score(net, margin))
+    return labelled.filter(known).select(*[F.col(f"`{c}`") for c in names])
+
+
+def least_score(net: Network, margin: float = MARGIN) -> float:
+    """The score that keep_known() asks for; a float's error of one language's certain score is allowed for."""
+    chance = 1 / len(net.langs)
+    return chance + margin * (1 - chance) - 1e-6

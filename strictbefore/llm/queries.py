@@ -59,25 +59,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (
       SELECT lv.*, coalesce(least(most::DOUBLE, (SELECT level FROM lv JOIN f USING (pos)) * weight), most::DOUBLE) AS target FROM lv),
     b AS (
-      SELECT *, CAST(ceil(source_size / {mixing.BLOCK}.0) AS BIGINT) AS blocks FROM t),
+      SELECT *, CAST(ceil(source_size / {mixing.BLOCK}.0) AS BIGINT) AS blocks,
+             CASE WHEN target >= most THEN most ELSE CAST(round(target) AS BIGINT) END AS words FROM t),
     q AS (
-      SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN target >= most THEN blocks * 3
-                     ELSE least(CAST(round(target / {mixing.BLOCK}) AS BIGINT), blocks * 3) END AS take FROM b),
+      SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * blocks + rest_blocks END AS take,
+             CASE WHEN rest_blocks > 0 THEN rest - (rest_blocks - 1) * {mixing.BLOCK} ELSE {mixing.BLOCK} END AS last_words
+      FROM (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words % source_size END AS rest, CAST(ceil(rest / {mixing.BLOCK}.0) AS BIGINT) AS rest_blocks FROM b)),
+    u AS (
+      SELECT *, coalesce(sum(take) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (sum(take) OVER ())::BIGINT AS slots FROM q),
+    k AS (
+      SELECT place, blocks, k, k % blocks AS nth, start + k AS ball, slots, CASE WHEN k = take - 1 THEN last_words ELSE {mixing.BLOCK} END AS lim
+      FROM (SELECT *, unnest(range(take)) AS k FROM u WHERE take > 0)),
+    walk AS (
+      SELECT 0 AS round, place, k, 'slots' AS key, ball AS idx, slots AS n FROM k
+      UNION ALL SELECT 0, place, k, 'blocks-' || place, nth, blocks - 1 FROM k WHERE nth < blocks - 1
+      UNION ALL
+      SELECT round, place, k, key, CASE WHEN substr(md5(key || ':' || round || ':' || greatest(idx, image)), 1, 1) < '8' THEN image ELSE idx END AS idx, n
+      FROM (SELECT round + 1 AS round, place, k, key, idx, n, ((('0x' || substr(md5(key || ':' || (round + 1)), 1, 12))::BIGINT % n - idx) % n + n) % n AS image FROM walk WHERE round < {mixing.ROUNDS})),
     uses AS (
-      SELECT place, ((i % blocks) * step + {mixing.STEPS[2]} % blocks) % blocks AS block, count(*) AS times
-      FROM (SELECT place, blocks, unnest(range(take)) AS i,
-                   CASE WHEN blocks % {mixing.STEPS[0]} <> 0 THEN {mixing.STEPS[0]} WHEN blocks % {mixing.STEPS[1]} <> 0 THEN {mixing.STEPS[1]} ELSE {mixing.STEPS[2]} END AS step
-            FROM q WHERE take > 0) GROUP BY ALL),
+      SELECT place, k.k, coalesce(b.idx, nth) AS block, s.idx AS slot, lim
+      FROM k JOIN (FROM walk WHERE round = {mixing.ROUNDS} AND key = 'slots') s USING (place, k)
+      LEFT JOIN (FROM walk WHERE round = {mixing.ROUNDS} AND key <> 'slots') b USING (place, k)),
     d AS (
       SELECT n.*, q.place, q.source_size, q.target,
              coalesce(sum(size) OVER (PARTITION BY q.place ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source),
     p AS (
       SELECT doc_id, place, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block FROM d WHERE size > 0),
-    k AS (
-      SELECT doc_id, sum(times * (least(start + size, (p.block + 1) * {mixing.BLOCK}) - greatest(start, p.block * {mixing.BLOCK})))::BIGINT AS taken
-      FROM p JOIN uses USING (place, block) GROUP BY doc_id)
-    SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken FROM d LEFT JOIN k USING (doc_id)
+    g AS (
+      SELECT doc_id, slot, least(start + size, (p.block + 1) * {mixing.BLOCK}, p.block * {mixing.BLOCK} + lim) - greatest(start, p.block * {mixing.BLOCK}) AS words
+      FROM p JOIN uses USING (place, block)),
+    m AS (SELECT doc_id, sum(words)::BIGINT AS taken, min(slot) AS slot FROM g WHERE words > 0 GROUP BY doc_id)
+    SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken, slot // {mixing.SHARD_SLOTS} AS shard, slot FROM d LEFT JOIN m USING (doc_id)
     """,
 )
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

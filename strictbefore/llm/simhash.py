@@ -6,9 +6,10 @@ the whole sequence; none: fingerprint zero); a bit is set if it is set in over h
 Links are pairs at RADIUS or fewer differing bits. Each fingerprint is mapped to the bit counts of its 32 two-bit
 segments. Counts are held in unary in the segment's own two bits, so the Manhattan distance of two embeddings is the
 popcount of an xor, and it is a lower bound of the fingerprints' distance. The embedding's axes form RADIUS + 2 groups;
-a Manhattan distance of RADIUS or less leaves at least two groups without a difference, so each point lies in one cell
-of the grid on every pair of groups and every link's ends share a cell. Within a cell the Manhattan bound and then the
-exact distance decide.
+a Manhattan distance of RADIUS or less leaves at least two groups without a difference. So there is a grid for every pair of
+groups: its cells are of width 1 on these groups' axes, and of width RADIUS + 1 on one more, the sum of all other counts,
+which differs by RADIUS at most. The ends of every link lie in one cell of some grid or in two neighbouring ones of
+it: a point is joined with its cell and with the next. There the Manhattan bound and then the exact distance decide.
 
 Documents enter the join as distinct fingerprints. A cell of over CELL of these doesn't compare its pairs: its
 fingerprints are linked through midpoints instead. Two fingerprints within two bits have a common neighbour within one
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strictbefore.llm.common import drop_rows_by_id, materialise
+from strictbefore.llm.common import bounded_batches, materialise
 
 SHINGLE = 3
 SEED = 42
@@ -75,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
             found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(mapped, "id long, fp long")
 
 
@@ -106,10 +108,12 @@ def links(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     counts = placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1")
     counts = materialise(counts, "cells")
     few, many = counts.filter(F.col("n") <= cell).select("grid", "cell"), counts.filter(F.col("n") > cell).select("grid", "cell")
-    held = placed.join(few, ["grid", "cell"])
-    other = held.select("grid", "cell", F.col("fp").alias("fp2"), F.col("emb").alias("emb2"))
+    rest = F.bit_count("emb") - F.bit_count("cell")
+    held = placed.join(few, ["grid", "cell"]).withColumn("slab", F.floor(rest / (radius + 1)))
+    other = held.select("grid", "cell", F.col("fp").alias("fp2"), F.col("emb").alias("emb2"), F.posexplode(F.array("slab", F.col("slab") - 1)).alias("next", "slab"))
     near = (F.bit_count(F.col("emb").bitwiseXOR(F.col("emb2"))) <= radius) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-    pairs = held.join(other, ["grid", "cell"]).filter((F.col("fp") < F.col("fp2")) & near).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    met = held.join(other, ["grid", "cell", "slab"]).filter(((F.col("next") == 1) | (F.col("fp") < F.col("fp2"))) & near)
+    pairs = met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
     if radius == 0:
         return pairs
     crowded = placed.join(many, ["grid", "cell"], "left_semi").select("fp").distinct()
@@ -122,14 +126,13 @@ def links(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """fp, root for every fingerprint on an edge; ``order`` (fp, rank) ranks them and a component's root has the least rank.
+def components(links: DataFrame) -> DataFrame:
+    """node, root for every node on a link (a, b); a component's root is its least node.
 
     Large-star and small-star in turns until nothing moves: rounds grow with the logarithm of a component, and no
     step gathers a component: a hot node's neighbours are only reduced to their minimum, then joined back.
     """
-    ranked = edges.join(order.select(F.col("fp").alias("a"), F.col("rank").alias("u")), "a").join(order.select(F.col("fp").alias("b"), F.col("rank").alias("v")), "b")
-    pairs = materialise(ranked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    pairs = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -141,7 +144,8 @@ def components(edges: DataFrame, order: DataFrame) -> DataFrame:
         # every node points to one other and no root points on: done when a round changes nothing
         state = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
-            return pairs.select(F.col("u").alias("rank"), F.col("v").alias("root"))
+            found = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
         before = state
 
 
@@ -152,8 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # ids rank the fingerprints; one that only rows without an id have ranks after all ids, by itself
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", "fp").alias("at"))
     order = points.select("fp", rank.alias("rank"))
-    roots = components(links(points, radius, cell), order)
-    placed = order.join(roots, "rank").select(F.col("fp").alias("_fp"), F.when(~F.col("root.none"), F.col("root.at")).alias("_root"), F.lit(True).alias("_linked"))
+    edges = links(points, radius, cell).join(order.toDF("a", "u"), "a").join(order.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    placed = order.join(components(edges).withColumnRenamed("node", "rank"), "rank").select(F.col("fp").alias("_fp"), F.when(~F.col("root.none"), F.col("root.at")).alias("_root"), F.lit(True).alias("_linked"))
     own = points.select(F.col("fp").alias("_fp"), F.col("id").alias("_own"))
     ids = own.join(placed, "_fp", "left").select("_fp", F.when(F.col("_linked"), F.col("_root")).otherwise(F.col("_own")).alias("component_id"))
     ids = materialise(ids, "component-ids")
@@ -164,14 +168,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_send = found.join(often, F.col("fp") == F.col("_fp"))
     by_shuffle = found.join(F.broadcast(common), F.col("fp") == F.col("_common"), "left_anti").join(ids.hint("merge"), F.col("fp") == F.col("_fp"))
     return by_send.unionByName(by_shuffle).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, of which each component keeps the one of smallest id.
-
-    Rows are named by their id: a row without one stays, and an id goes only if all its rows are to go.
-    """
-    made = near_duplicates(docs, id_col, text_col).filter("id is not null")
-    gone = made.groupBy("id").agg(F.min(F.col("component_id") != F.col("id")).alias("goes")).filter("goes").select("id")
-    gone = materialise(gone, "near-drops")
-    return drop_rows_by_id(docs, id_col, gone, gone.count())
