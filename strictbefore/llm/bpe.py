@@ -3,10 +3,12 @@
 Encoding reads bytes left to right. For every prefix exactly one token can be the last of its encoding: the one that is
 a suffix of the prefix and forms a valid pair with the last token of the prefix before it. A pair is valid if no merge
 of higher priority would have crossed its boundary; ``valid_pair`` undoes the two tokens' merges in time order to see. So
-each byte adds one state, and each state points back to the one its token follows. The final encoding passes through
-one of the last ``longest`` states; whatever lies before their common ancestor is the same in all continuations, is emitted
-and forgotten. How far a merge's effect can travel left is bounded by the merge list: ``lookahead`` computes the bound once,
-and with it the memory a stream can need.
+each byte adds one state, and each state points back to the one its token follows. The tokens that end at a byte come, longest
+first, from an automaton over the vocabulary that follows links to the next shorter suffix.
+
+How far a merge's effect can travel left is bounded by the merge list: ``lookahead`` computes the bound once. A token
+boundary with so many bytes read behind it is stable: what lies before it is emitted and forgotten, so a pre-token of
+any length is encoded in memory that the merge list alone bounds.
 
 Pre-tokens are runs of the vocabulary's published pattern; short ones keep their encoding in a bounded cache.
 
@@ -22,20 +24,24 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens of up to CACHED_BYTES are kept, CACHED of them at least and twice as many at most per worker, and as many pairs.
-CACHED, CACHED_BYTES = 150_000, 64
-#: Bytes between two looks for what is stable, and characters of a text that are split at a time.
-LOOK, PART = 256, 1 << 18
-#: Rows in an output batch.
-ROWS = 1000
+from strictbefore.llm.common import bounded_batches
+
+#: Pre-tokens of up to CACHED_BYTES are kept, CACHED of them at least and twice as many at most per worker, and up to PAIRS pairs.
+CACHED, CACHED_BYTES, PAIRS = 100_000, 64, 200_000
+#: Bytes between two looks for what is stable, and characters of a text or a pre-token that are handled at a time.
+LOOK, PART = 1024, 1 << 16
 NEVER = 1 << 60
 BASE = -1
 
@@ -62,7 +68,13 @@ class Merges:
                 self.rank[pair] = rank
                 self.made.setdefault(vocab[a + b], (rank, *pair))
         self.lookahead = self._lookahead(merges)
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._valid: dict[int, bool] = {}  # by left * 2^32 + right
+        # bytes as Latin-1 letters; yields (end, (token, length)) in the order of ends, the longest token of an end first
+        self.automaton = ahocorasick.Automaton()
+        for token in self.made:
+            raw = self.bytes_of[token]
+            self.automaton.add_word(raw.decode("latin-1"), (token, len(raw)))
+        self.automaton.make_automaton()
 
     def _lookahead(self, merges: list[tuple[bytes, bytes]]) -> int:
         """Bytes to the right of a token boundary that can still move it.
@@ -81,11 +93,11 @@ class Merges:
 
     def valid_pair(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes encode to just these two."""
-        found = self._valid.get((left, right))
+        found = self._valid.get(left << 32 | right)
         if found is None:
-            if len(self._valid) >= 2 * CACHED:
+            if len(self._valid) >= PAIRS:
                 self._valid.clear()
-            found = self._valid[left, right] = self._uncrossed(left, right)
+            found = self._valid[left << 32 | right] = self._uncrossed(left, right)
         return found
 
     def _uncrossed(self, x: int, y: int) -> bool:
@@ -104,12 +116,42 @@ class Merges:
                 y_until, y = y_rank, y_left
 
 
+def states(merges: Merges, letters: str, known: int, last: list[int], back: list[int], before: int) -> None:
+    """Add the states of the prefixes of ``letters`` longer than ``known``; what went before only matters as far as a token is long."""
+    valid, get = merges.valid_pair, merges._valid.get
+    start = max(0, known - merges.longest + 1)
+    done = known
+    for end, (token, length) in merges.automaton.iter(letters, start):
+        if end < done:
+            continue
+        begin = end + 1 - length
+        previous = last[begin] if begin else before
+        if previous != -1:
+            fits = get(previous << 32 | token)
+            if not (valid(previous, token) if fits is None else fits):
+                continue
+        last.append(token)
+        back.append(begin)
+        done = end + 1
+    if len(last) <= len(letters):
+        raise ValueError("the vocabulary lacks a byte")
+
+
+def chain(last: list[int], back: list[int], end: int) -> list[int]:
+    """The tokens of the prefix of ``end`` bytes."""
+    out = []
+    while end:
+        out.append(last[end])
+        end = back[end]
+    return out[::-1]
+
+
 class Transducer:
     """One pre-token's bytes in, its ids out as soon as no continuation can change them."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.held = b""  # bytes since the last stable boundary
+        self.held = ""  # letters since the last stable boundary
         self.last: list[int] = [-1]  # per prefix of held: its last token, and where that begins
         self.back: list[int] = [0]
         self.before = -1  # the token before held
@@ -118,53 +160,28 @@ class Transducer:
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
         for at in range(0, len(data), LOOK):
-            self._read(data[at : at + LOOK])
-            if len(self.held) > self.merges.longest:
-                out += self._stable()
+            known = len(self.held)
+            self.held += data[at : at + LOOK].decode("latin-1")
+            self.most_held = max(self.most_held, len(self.held))
+            states(self.merges, self.held, known, self.last, self.back, self.before)
+            out += self._stable()
         return out
 
-    def _read(self, data: bytes) -> None:
-        held, last, back = self.held + data, self.last, self.back
-        id_of, valid, longest = self.merges.id_of, self.merges.valid_pair, self.merges.longest
-        for end in range(len(self.held) + 1, len(held) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = id_of.get(held[begin:end])
-                if token is None or token not in self.merges.made:
-                    continue
-                previous = last[begin] if begin else self.before
-                if previous == -1 or valid(previous, token):
-                    last.append(token)
-                    back.append(begin)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        self.held = held
-        self.most_held = max(self.most_held, len(held))
-
-    def _emit(self, end: int) -> list[int]:
-        out, at = [], end
-        while at:
-            out.append(self.last[at])
-            at = self.back[at]
-        return out[::-1]
-
     def _stable(self) -> list[int]:
-        n = len(self.held)
-        ends = set(range(max(0, n - self.merges.longest + 1), n + 1))
-        while len(ends) > 1:
-            far = max(ends)
-            ends.remove(far)
-            ends.add(self.back[far])
-        (at,) = ends
-        out = self._emit(at)
-        if at:
-            self.before, self.held = out[-1], self.held[at:]
-            self.last = [-1, *self.last[at + 1 :]]
-            self.back = [0, *(b - at for b in self.back[at + 1 :])]
+        """Emit what ends ``lookahead`` bytes before the last one read, or earlier."""
+        at, far = len(self.held), len(self.held) - self.merges.lookahead
+        while at > far and at:
+            at = self.back[at]
+        if not at:
+            return []
+        out = chain(self.last, self.back, at)
+        self.before, self.held = out[-1], self.held[at:]
+        self.last = [-1, *self.last[at + 1 :]]
+        self.back = [0, *(b - at for b in self.back[at + 1 :])]
         return out
 
     def finish(self) -> list[int]:
-        out = self._emit(len(self.held))
+        out = chain(self.last, self.back, len(self.held))
         self.__init__(self.merges)
         return out
 
@@ -181,64 +198,81 @@ class Encoder(dict):
         self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in file["model"]["merges"]]
         self.merges = Merges({raw(t): i for t, i in file["model"]["vocab"].items()}, [(raw(a), raw(b)) for a, b in pairs])
-        self.texts = [self.merges.bytes_of.get(i, b"") for i in range(max(max(self.merges.bytes_of), *self.added.values(), 0) + 1)]
+        texts = [self.merges.bytes_of.get(i, b"") for i in range(max(max(self.merges.bytes_of), *self.added.values(), 0) + 1)]
         for text, i in self.added.items():
-            self.texts[i] = text.encode()
+            texts[i] = text.encode()
+        self.sizes = np.array([*map(len, texts), 0])  # ids beyond the vocabulary stand for nothing
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(texts), np.uint8)
         # fixed value: the published pre-tokenisation pattern of this vocabulary
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # the same over ASCII without the four separators that the two engines class differently
+        self.plain_pieces = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
+            if len(piece) > PART:
+                return b"".join(self._long(piece))
             data = piece.encode()
-            transducer = Transducer(self.merges)
-            found = np.array(transducer.feed(data) + transducer.finish(), "<u4").tobytes()
             if len(data) > CACHED_BYTES:
-                return found
+                transducer = Transducer(self.merges)
+                return packed(transducer.feed(data) + transducer.finish())
+            last, back = [-1], [0]
+            states(self.merges, data.decode("latin-1"), 0, last, back, -1)
+            found = packed(chain(last, back, len(data)))
         if len(self) >= CACHED:
             self.older = dict(self)
             self.clear()
         self[piece] = found
         return found
 
-    def parts(self, text: str) -> Iterator[str]:
-        """The text cut before spaces that follow a non-space, where no pre-token reaches across."""
-        at = 0
-        while len(text) - at > PART:
-            cut = text.find(" ", at + PART)
-            while cut > 0 and text[cut - 1].isspace():
-                cut = text.find(" ", cut + 1)
-            if cut < 0:
-                break
-            yield text[at:cut]
-            at = cut
-        yield text[at:] if at else text
+    def _long(self, piece: str) -> Iterator[bytes]:
+        """A pre-token of any length, PART characters at a time."""
+        transducer = Transducer(self.merges)
+        for at in range(0, len(piece), PART):
+            yield packed(transducer.feed(piece[at : at + PART].encode()))
+        yield packed(transducer.finish())
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        get = self.__getitem__
         if self.marks and any(x in text for x in self.added):
             found = []
             for i, span in enumerate(self.marks(text)):
-                found.append(np.array([self.added[span]], "<u4").tobytes() if i % 2 else self._plain(span, get))
+                found.append(packed([self.added[span]]) if i % 2 else self._plain(span))
             return b"".join(found)
-        return self._plain(text, get)
+        return self._plain(text)
 
-    def _plain(self, text: str, get) -> bytes:
+    def _plain(self, text: str) -> bytes:
+        plain = text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        pieces = self.plain_pieces if plain else self.pieces
         if len(text) <= PART:
-            return b"".join([self[p] for p in self.pieces(text)])
-        return b"".join(b"".join([self[p] for p in self.pieces(part)]) for part in self.parts(text))
+            return b"".join(map(self.__getitem__, pieces.findall(text)))
+        out = bytearray()
+        for found in pieces.finditer(text):
+            out += self[found[0]]
+        return bytes(out)
 
     def decode(self, ids: bytes) -> str:
-        machine, texts = ByteText(), self.texts
+        machine = ByteText()
         values = np.frombuffer(ids, "<u4")
-        if len(values) <= PART:
-            return machine.feed(b"".join([texts[i] for i in np.minimum(values, len(texts) - 1).tolist()]) if not len(values) or values.max() < len(texts) else b"".join(texts[i] for i in values.tolist() if i < len(texts))) + machine.finish()
-        out = [machine.feed(b"".join([texts[i] for i in values[at : at + PART].tolist() if i < len(texts)])) for at in range(0, len(values), PART)]
-        return "".join(out) + machine.finish()
+        parts = [machine.feed(self.bytes_of(values[at : at + PART])) for at in range(0, len(values), PART)]
+        return "".join(parts) + machine.finish()
+
+    def bytes_of(self, values: np.ndarray) -> bytes:
+        """The tokens' bytes, gathered at once."""
+        values = np.minimum(values, len(self.sizes) - 1)
+        sizes = self.sizes[values]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[values] - ends + sizes, sizes)].tobytes()
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 class ByteText:
@@ -260,20 +294,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (little-endian unsigned 32-bit integers): one row per document."""
 
     def mapped(batches):
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x.as_py()) for x in batch.column(1)], pa.binary())], names=["id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(mapped, "id long, ids binary")
 
 
@@ -282,9 +311,10 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str =
 
     def mapped(batches):
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or b"") for x in batch.column(1)], pa.string())], names=["id", "decoded"])
 
+    bounded_batches(encoded.sparkSession)
     return encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].cast("binary").alias("ids")).mapInArrow(mapped, "id long, decoded string")
 
 
@@ -293,8 +323,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def mapped(batches):
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in batches:
             ids = [own.encode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], names=["id", "ids", "decoded"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(mapped, "id long, ids binary, decoded string")
