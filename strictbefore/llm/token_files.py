@@ -8,16 +8,17 @@ so any block decodes by itself and all of them with a few vectorised steps.
 A file, little-endian 64-bit words throughout: magic, documents, ids, blocks; the documents' ids (null: the smallest
 long) and the running count of their tokens; the blocks' first words, and one past the last; the packed words.
 
-Files hold a range of document ids each. Ranges follow from quantiles of the ids alone; the texts are then shuffled once,
+Files hold a range of document ids each; an id that many rows bear may be spread over ranges. The texts are shuffled once,
 straight to their range, sorted, encoded and written. A task writes under a name of its own, so a task that runs twice
 leaves a file that nothing refers to; the manifest, a table, names the files that count.
 
 Defined cases: a null text encodes like an empty one, to the end id alone. A null document id comes first. Rows that repeat
-an id stand side by side, by text. Extra columns play no part. An empty table writes no file and reads back empty.
+an id stand side by side, by their first HEAD characters, then by hash. Extra columns play no part. An empty table writes no file and reads back empty.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,18 +26,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strictbefore.llm.common import materialise, shared_dir
+from strictbefore.llm.bpe import byte_letters
+from strictbefore.llm.common import bounded_batches, materialise, shared_dir
 
 #: Fixed values: (ids, bits) by selector; 15 is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 MAGIC = int.from_bytes(b"S8B-IDS1", "little")
 BLOCK_IDS = 8192
+#: Blocks that are packed or unpacked side by side.
+BLOCKS = 16
 #: Ids in a file, after which a task begins the next.
 FILE_IDS = 1 << 23
+#: Characters of a text by which rows of one id are ordered.
+HEAD = 64
 NULL_ID = -(1 << 63)
 END_ID = 1
 
@@ -44,62 +51,82 @@ END_ID = 1
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
     low = (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    high = (values >> np.uint64(32)).astype(np.float64)
-    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int8)
+    high = values >> np.uint64(32)
+    found = np.frexp(low)[1].astype(np.int8)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], found).astype(np.int8) if high.any() else found
 
 
 def all_of_next(flags: np.ndarray, count: int) -> np.ndarray:
-    """Whether all of the ``count`` flags from each place on are set; what lies beyond the end counts as set."""
-    held = np.concatenate([flags, np.ones(count, bool)])
+    """Whether all of the ``count`` flags from each place of a row on are set; what lies beyond the end counts as set."""
+    held = np.concatenate([flags, np.ones((len(flags), count), bool)], 1)
     width = 1
     while width < count:  # windows of twice the width, at last the exact one
         more = min(width, count - width)
-        held = held[:-more] & held[more:]
+        held = held[:, :-more] & held[:, more:]
         width += more
-    return held[: len(flags)]
+    return held[:, : flags.shape[1]]
 
 
-def encode_block(values: np.ndarray) -> np.ndarray:
-    """Words of one block; the last word may stand for more ids than there are, which the count settles."""
+def encode_blocks(values: np.ndarray, size: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
+    """Words of consecutive blocks of ``size`` values, the last may be short, and how many words each block has.
+
+    A block's last word may stand for more ids than there are, which the count settles.
+    """
     n = len(values)
     if not n:
-        return np.zeros(0, np.uint64)
-    need = widths(values)
-    choice = np.full(n, ESCAPE, np.int8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocks, most = -(-n // size), SELECTORS[0][0]
+    size = min(size, n)
+    rows = np.zeros((blocks, size + most), np.uint64)  # each row ends in zeros for the last word to take
+    flat = np.zeros(blocks * size, np.uint64)
+    flat[:n] = values
+    rows[:, :size] = flat.reshape(blocks, size)
+    need = widths(rows[:, :size])
+    choice = np.full((blocks, size), ESCAPE, np.int8)
     for selector in range(len(SELECTORS) - 1, -1, -1):  # from few to many ids, so that the most ids win
         count, bits = SELECTORS[selector]
         fits = need <= bits
-        if np.count_nonzero(fits) >= min(count, n):
+        if fits.all(1).any() or np.count_nonzero(fits) >= min(count, n):
             np.copyto(choice, np.int8(selector), where=all_of_next(fits, count))
     counts = np.array([c for c, _ in SELECTORS] + [1])
-    step = counts[choice].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
+    step = counts[choice].ravel().tolist()
+    starts, per = [], []
+    for block in range(blocks):
+        at, end = block * size, min((block + 1) * size, n)
+        had = len(starts)
+        while at < end:
+            starts.append(at)
+            at += step[at]
+        per.append(len(starts) - had)
     starts = np.array(starts)
-    chosen = choice[starts]
+    chosen = choice.ravel()[starts]
     room = np.where(chosen == ESCAPE, 2, 1)
     slot = np.cumsum(room) - room
     words = np.zeros(int(room.sum()), np.uint64)
-    padded = np.concatenate([values, np.zeros(240, np.uint64)])
+    padded, places = rows.ravel(), starts + starts // size * most
     for selector in np.unique(chosen).tolist():
-        mine = chosen == selector
+        mine = np.flatnonzero(chosen == selector)
         head = np.uint64(selector << 60)
+        at = places[mine]
         if selector == ESCAPE:
             words[slot[mine]] = head
-            words[slot[mine] + 1] = values[starts[mine]]
+            words[slot[mine] + 1] = padded[at]
             continue
         count, bits = SELECTORS[selector]
-        packed = np.full(int(mine.sum()), head, np.uint64)
+        packed = np.full(len(mine), head, np.uint64)
         for k in range(count if bits else 0):
-            packed |= padded[starts[mine] + k] << np.uint64(k * bits)
+            packed |= padded[at + k] << np.uint64(k * bits)
         words[slot[mine]] = packed
-    return words
+    return words, np.add.reduceat(room, np.cumsum([0, *per[:-1]]))
 
 
-def decode_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The n values of a block's words."""
+def encode_block(values: np.ndarray) -> np.ndarray:
+    """Words of one block."""
+    return encode_blocks(values, max(len(values), 1))[0]
+
+
+def decode_blocks(words: np.ndarray, ends: np.ndarray, n: int, size: int = BLOCK_IDS) -> np.ndarray:
+    """The n values of consecutive blocks; ``ends`` has each block's first word and one past the last."""
     if not n:
         return np.zeros(0, np.uint64)
     selectors = (words >> np.uint64(60)).astype(np.int64)
@@ -110,20 +137,34 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
     chosen = selectors[heads]
     counts = np.array([c for c, _ in SELECTORS] + [1])[chosen]
     first = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), np.uint64)
+    block = np.searchsorted(ends, heads, "right") - 1
+    begins = np.searchsorted(heads, ends[:-1])
+    first = first - first[begins][block] + block * size  # what a block's last word has too much is overwritten or cut off
+    out = np.zeros(len(begins) * size + SELECTORS[0][0], np.uint64)
+    beyond = (block + 1) * size
     for selector in np.unique(chosen).tolist():
-        mine = chosen == selector
+        mine = np.flatnonzero(chosen == selector)
         if selector == ESCAPE:
             out[first[mine]] = words[heads[mine] + 1]
             continue
         count, bits = SELECTORS[selector]
         if bits:
-            mask, word = np.uint64((1 << bits) - 1), words[heads[mine]]
+            mask, word, at, end = np.uint64((1 << bits) - 1), words[heads[mine]], first[mine], beyond[mine]
+            tail = at + count > end
+            whole = np.flatnonzero(~tail)
             for k in range(count):
-                out[first[mine] + k] = (word >> np.uint64(k * bits)) & mask
+                out[at[whole] + k] = (word[whole] >> np.uint64(k * bits)) & mask
+            for i in np.flatnonzero(tail).tolist():  # one word a block at most
+                for k in range(int(end[i] - at[i])):
+                    out[at[i] + k] = (word[i] >> np.uint64(k * bits)) & mask
     return out[:n]
 
 
+def decode_block(words: np.ndarray, n: int) -> np.ndarray:
+    """The n values of one block's words."""
+    return decode_blocks(words, np.array([0, len(words)]), n, max(n, 1))
+
+
 def _heads(selectors: list[int]) -> Iterator[int]:
     at = 0
     while at < len(selectors):
@@ -133,9 +174,10 @@ def _heads(selectors: list[int]) -> Iterator[int]:
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks, and each block's first word with one past the last."""
-    blocks = [encode_block(ids[at : at + BLOCK_IDS].astype(np.uint64)) for at in range(0, len(ids), BLOCK_IDS)]
-    ends = np.cumsum([0, *map(len, blocks)]).astype(np.uint64)
-    return (np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)), ends
+    step = BLOCK_IDS * BLOCKS
+    made = [encode_blocks(ids[at : at + step].astype(np.uint64)) for at in range(0, len(ids), step)]
+    ends = np.cumsum(np.concatenate([[0], *[per for _, per in made]])).astype(np.uint64)
+    return (np.concatenate([w for w, _ in made]) if made else np.zeros(0, np.uint64)), ends
 
 
 def to_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -156,45 +198,58 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upto, at = np.frombuffer(data, "<u8", docs, at).astype(np.int64), at + 8 * docs
     ends, at = np.frombuffer(data, "<u8", blocks + 1, at).astype(np.int64), at + 8 * (blocks + 1)
     words = np.frombuffer(data, "<u8", int(ends[-1]), at)
-    parts = [decode_block(words[ends[b] : ends[b + 1]], min(BLOCK_IDS, n - b * BLOCK_IDS)) for b in range(blocks)]
+    parts = []
+    for b in range(0, blocks, BLOCKS):
+        own = ends[b : b + BLOCKS + 1]
+        parts.append(decode_blocks(words[own[0] : own[-1]], own - own[0], min(BLOCK_IDS * BLOCKS, n - b * BLOCK_IDS)))
     return names, upto, (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype("<u4")
 
 
 #: Marks that end a word and are no part of a contraction.
 MARKS = ".,;:!?"
+#: Letters below this are lower-cased alike everywhere and their words need no normalisation, but for one.
+PLAIN, NOT_PLAIN = "\u0250", "\u0130"
 
 
 class Encoder(dict):
     """Runs without ASCII white space to ids as bytes, through the tokenizers library; a bounded cache in two halves.
 
-    The vocabulary's normaliser and pre-tokeniser never reach across white space, so a text's ids are those of its runs.
+    The vocabulary's normaliser and pre-tokeniser never reach across white space, so a text's ids are those of its runs;
+    that and the short cut for plain words hold for files of KIND only, others are refused.
     """
 
-    CACHED, CACHED_CHARS = 600_000, 64
+    CACHED, CACHED_CHARS = 400_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        with open(path, encoding="utf-8") as f:
+            if (found := kind(json.load(f))) != KIND:
+                raise ValueError(f"token files need a vocabulary that treats runs between white space one by one; {path} has {found}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        letters = byte_letters()
+        self.letters = {b: c for c, b in letters.items()}
 
     def __missing__(self, run: str) -> bytes:
         found = self.older.get(run)
         if found is None:
             # a plain word and the marks after it are pre-tokens of their own, whatever the case
-            word = run.rstrip(MARKS) if run.isascii() else ""
-            if not word.isalpha():
+            word = run.rstrip(MARKS)
+            if not word.isalpha() or max(word) >= PLAIN or NOT_PLAIN in word:
                 found = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
             elif len(word) < len(run):
                 found = self[word] + self[run[len(word) :]]
-            elif word.islower():
-                found = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(word)])
-            else:
+            elif not word.islower():
                 found = self[word.lower()]
+            else:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                found = b"".join([self.raw[t.id] for t in self.tokenize(letters)])
             if len(run) > self.CACHED_CHARS:
                 return found
         if len(self) >= self.CACHED:
@@ -204,7 +259,28 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join([self[run] for run in runs(text)]) if text else b""
+        return b"".join(map(self.__getitem__, runs(text))) if text else b""
+
+
+#: The steps before the model in a vocabulary file of the kind that is understood here.
+KIND = (
+    ("NFC", "Replace", "Lowercase"), r"\s+", " ",
+    ("Split", "ByteLevel"), r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True, False,
+    "BPE", "</w>", False,
+)
+
+
+def kind(file: dict) -> tuple | None:
+    """What KIND states, as a vocabulary file has it."""
+    try:
+        before, cut, model = file["normalizer"]["normalizers"], file["pre_tokenizer"]["pretokenizers"], file["model"]
+        return (
+            tuple(x["type"] for x in before), before[1]["pattern"]["Regex"], before[1]["content"],
+            tuple(x["type"] for x in cut), cut[0]["pattern"]["Regex"], cut[0]["behavior"], cut[0]["invert"], cut[1]["add_prefix_space"],
+            model["type"], model["end_of_word_suffix"], bool(model.get("ignore_merges") or model.get("dropout")),
+        )
+    except (KeyError, TypeError, IndexError):
+        return None
 
 
 def runs(text: str) -> list[str]:
@@ -245,17 +321,19 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
     ``folder`` is one that all executors see. The manifest has one row per file.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(docs[id_col].cast("long").alias("id"))
-    edges = sorted({int(x) for x in (ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else [])})
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("id"))), F.lit(0)) if edges else F.lit(0)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("range", F.when(F.col("id").isNull(), 0).otherwise(place))
-    dealt = rows.repartitionById(len(edges) + 1, "range").sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.substring(text, 1, HEAD).alias("head"), F.xxhash64(text).alias("hash"))
+    order = (F.asc_nulls_first("id"), F.asc_nulls_first("head"), F.asc("hash"))
+    # rows that are alike in all of these hold the same text, so they may be dealt to neighbouring ranges in any way
+    ranged = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "nth")
+    dealt = ranged.sortWithinPartitions(*order).select("id", "text")
     local = pa.schema([("file", pa.string()), ("range", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names, held, lengths, total, seq, part = encoder(path), [], [], [], 0, 0, 0
+        own, names, held, lengths, total, seq, part = encoder(path), [], [], [], 0, 0, TaskContext.get().partitionId()
 
         def close():
             file = f"{folder}/ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.s8b"
@@ -263,7 +341,7 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
             return pa.RecordBatch.from_pylist([{"file": file, "range": part, "seq": seq, "docs": len(names), "tokens": total}], schema=local)
 
         for batch in batches:
-            for name, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):  # noqa: B007
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = own.encode(text.as_py()) + end
                 names.append(name)
                 held.append(ids)
@@ -275,7 +353,7 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
         if names:
             yield close()
 
-    manifest = materialise(dealt.select("id", "text", F.col("range").cast("int").alias("range")).mapInArrow(written, "file string, range int, seq int, docs long, tokens long"), "manifest")
+    manifest = materialise(dealt.mapInArrow(written, "file string, range int, seq int, docs long, tokens long"), "manifest")
     before = Window.orderBy("range", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
