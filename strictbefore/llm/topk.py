@@ -1,13 +1,14 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-Vectors are quantised to floor(SCALE * x). A node is a partition of rows and one of SLICES slices of the dimensions; its
-local score is the inner product over the slice. Queries go by in blocks of QUERY_BLOCK rows, so what is broadcast has a
-fixed bound however many queries there are; each block is asked of all rows.
+Vectors are quantised to floor(SCALE * x). A node is a chunk of CHUNK rows and one of SLICES slices of the dimensions; its
+local score is the inner product over the slice. Queries are a written table; a task holds one chunk of rows and reads
+the queries by blocks of QUERY_BLOCK, so each phase is one job whatever the number of queries, and a task's memory has a fixed bound.
 
 Phase 1: every node names the k rows of highest local score per query; their full scores give each query a lower bound
-of its k-th score. Phase 2: the bound, split evenly over the slices, is broadcast. A row whose score reaches the bound
-must reach an even share of it in some slice, so the rows that do are sufficient. Phase 3: their scores are resolved
-exactly; what reaches the bound is ranked, ties to the smaller id.
+of its k-th score. Phase 2: the bounds are sent to all nodes with the queries. A row whose score reaches the bound must reach
+an even share of it in some slice, so the rows that do are sufficient. Slice by slice, rows that neither have such a
+share yet nor can still get it (by the norms of what is left, Cauchy-Schwarz) for any query of the block are dropped before the next product.
+Phase 3: the scores of the rest are resolved exactly; what reaches the bound is ranked, ties to the smaller id.
 
 Scores are integers. Where every sum is certain to stay below 2^53 they are computed in doubles, else in Python's
 integers and kept within a long.
@@ -29,10 +30,8 @@ from pyspark.sql import functions as F
 from strictbefore.llm.common import materialise
 
 K, SCALE, SLICES = 10, 1024, 4
-#: Queries asked at once: at 1,024 dimensions 32 MB of doubles.
-QUERY_BLOCK = 4096
-#: Rows scored at once.
-ROW_BLOCK = 2048
+#: Queries asked at once, rows that a task holds, and rows scored at once: at 1,024 dimensions 8, 128 and 16 MB of doubles.
+QUERY_BLOCK, CHUNK, ROW_BLOCK = 1024, 16_384, 2048
 #: Components beyond HUGE count as HUGE; scores are kept within a long.
 HUGE = 1e300
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -71,14 +70,24 @@ def whole(scores: np.ndarray) -> list[int]:
 
 
 class Asked:
-    """A block of queries by dimension: ids, vectors, and from phase 2 on each one's bound."""
+    """A block of queries by dimension: ids, vectors, and in phase 2 each one's bound."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]], scale: int, bounds: dict[int, int] | None = None):
-        self.by = {}
-        if ids:
-            for dim, (rows, q) in quantised(pa.array(vectors, pa.list_(pa.float64())), scale).items():
-                own = np.array(ids, np.int64)[rows]
-                self.by[dim] = (own, q, np.array([(bounds or {}).get(i, -np.inf) for i in own.tolist()], object))
+    def __init__(self, block: pa.RecordBatch, scale: int):
+        ids = block.column("id").to_numpy(zero_copy_only=False)
+        bounds = np.array([-np.inf if b is None else b for b in block.column("bound").to_pylist()], object) if "bound" in block.schema.names else np.full(len(ids), -np.inf, object)
+        self.by = {dim: (ids[rows], q, bounds[rows]) for dim, (rows, q) in quantised(block.column("v"), scale).items()}
+
+
+def asked(files: list[str], scale: int, query_block: int) -> Iterator[Asked]:
+    """The queries of a written table, block by block."""
+    from pyarrow import fs
+    from pyarrow.parquet import ParquetFile
+
+    for file in files:
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_file(path) as source:
+            for block in ParquetFile(source).iter_batches(query_block):
+                yield Asked(block, scale)
 
 
 def cut(dim: int, slices: int) -> list[slice]:
@@ -94,100 +103,108 @@ def first_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Up to CHUNK rows as blocks of one dimension: dimension, ids, vectors."""
+    held, rows = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, ROW_BLOCK):
             part = batch.slice(at, ROW_BLOCK)
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            for dim, (rows, x) in quantised(part.column(1), scale).items():
-                yield dim, ids[rows], x
+            held += [(dim, ids[own], x) for dim, (own, x) in quantised(part.column(1), scale).items()]
+            rows += part.num_rows
+            if rows >= CHUNK:
+                yield held
+                held, rows = [], 0
+    if held:
+        yield held
+
 
+def table(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
 
-def local_lists(asked: Asked, k: int, scale: int, slices: int):
-    """Phase 1: per query the k best full scores among the rows that some node's local list names."""
+
+def local_lists(files: list[str], k: int, scale: int, slices: int, query_block: int):
+    """Phase 1: per query the k best full scores among the rows of a chunk that some node's local list names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
-        for dim, ids, x in blocks(batches, scale):
-            if dim not in asked.by:
-                continue
-            own, q, _ = asked.by[dim]
-            local = products(q, x, cut(dim, slices))
-            total = sum(local[1:], local[0])
-            for i, me in enumerate(own.tolist()):
-                named = set()
-                for scores in local:
-                    named.update(np.argpartition(-scores[i], min(k, len(ids) - 1))[: k + 1].tolist())
-                at = np.array([j for j in named if ids[j] != me], np.int64)
-                best[me] = sorted([*best.get(me, []), *total[i][at].tolist()], reverse=True)[:k]
-        rows = [(me, min(max(int(s), LEAST), MOST)) for me, scores in best.items() for s in scores]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["query_id", "score"])
+        for chunk in chunks(batches, scale):
+            for block in asked(files, scale, query_block):
+                best: dict[int, list] = {}
+                for dim, ids, x in chunk:
+                    if dim not in block.by:
+                        continue
+                    own, q, _ = block.by[dim]
+                    local = products(q, x, cut(dim, slices))
+                    total = sum(local[1:], local[0])
+                    for i, me in enumerate(own.tolist()):
+                        named = set()
+                        for scores in local:
+                            named.update(np.argpartition(-scores[i], min(k, len(ids) - 1))[: k + 1].tolist())
+                        at = np.array([j for j in named if ids[j] != me], np.int64)
+                        best[me] = sorted([*best.get(me, []), *total[i][at].tolist()], reverse=True)[:k]
+                yield table(["query_id", "score"], [(me, s) for me, scores in best.items() for s in whole(scores)])
 
     return run
 
 
-def sufficient(asked: Asked, k: int, scale: int, slices: int):
-    """Phases 2 and 3: rows that reach an even share of the bound in some slice, resolved exactly; each partition's k best."""
+def survivors(q: np.ndarray, x: np.ndarray, bounds: np.ndarray, spans: list[slice]) -> np.ndarray:
+    """Places of the rows that reach an even share of some query's bound in some slice, or may: norms drop the rest between products."""
+    share = np.array([b / len(spans) - abs(b) * 1e-15 - 1 if b > -np.inf else b for b in bounds.tolist()], float)  # at most too low
+    alive, sure = np.arange(len(x)), np.zeros(len(x), bool)
+    norms = lambda m: np.sqrt(np.stack([np.square(m[:, s].astype(float)).sum(1) for s in spans]))
+    q_norms, x_norms = norms(q), norms(x)
+    for n, s in enumerate(spans):
+        todo = alive[~sure[alive]]
+        if not len(todo):
+            break
+        (scores,) = products(q, x[todo], [s])
+        sure[todo] |= (scores >= share[:, None]).any(0)
+        later = [m for m in range(n + 1, len(spans))]
+        may = np.zeros(len(todo), bool)
+        for m in later:  # a slice's product is at most the product of its norms; 1e-9 allows for their rounding, and what is no number may be anything
+            may |= (~(np.outer(q_norms[m], x_norms[m][todo]) * (1 + 1e-9) < share[:, None])).any(0)
+        alive = np.sort(np.concatenate([alive[sure[alive]], todo[may & ~sure[todo]]]))
+    return alive[sure[alive]]
+
+
+def sufficient(files: list[str], k: int, scale: int, slices: int, query_block: int):
+    """Phases 2 and 3: of each chunk the rows that suffice, resolved exactly; its k best per query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}
-        for dim, ids, x in blocks(batches, scale):
-            if dim not in asked.by:
-                continue
-            own, q, bounds = asked.by[dim]
-            spans = cut(dim, slices)
-            local = products(q, x, spans)
-            share = np.array([b / len(spans) - abs(b) * 1e-15 - 1 if b > -np.inf else b for b in bounds.tolist()])  # a double at most too low
-            reach = np.zeros((len(own), len(ids)), bool)
-            for scores in local:
-                reach |= (scores >= share[:, None]).astype(bool)
-            total = sum(local[1:], local[0])
-            for i, me in enumerate(own.tolist()):
-                at = np.flatnonzero(reach[i] & (ids != me))
-                scores = total[i][at]
-                at, scores = at[(over := (scores >= bounds[i]).astype(bool))], scores[over]
-                if len(at):
-                    found = first_of(ids[at], scores, k)
-                    merged = [*best.get(me, []), *zip(whole(scores[found]), ids[at[found]].tolist(), strict=True)]
-                    best[me] = sorted(merged, key=lambda p: (-p[0], p[1]))[:k]
-        rows = [(me, v, s) for me, found in best.items() for s, v in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+        for chunk in chunks(batches, scale):
+            for block in asked(files, scale, query_block):
+                best: dict[int, list[tuple[int, int]]] = {}
+                for dim, ids, x in chunk:
+                    if dim not in block.by:
+                        continue
+                    own, q, bounds = block.by[dim]
+                    left = survivors(q, x, bounds, cut(dim, slices))
+                    if not len(left):
+                        continue
+                    (total,) = products(q, x[left], [slice(0, dim)])
+                    least = bounds if total.dtype == object else bounds.astype(float)  # doubles here are whole numbers below 2^53
+                    reach = (total >= least[:, None]).astype(bool) & (ids[left][None, :] != own[:, None])
+                    for i in np.flatnonzero(reach.any(1)).tolist():
+                        at = np.flatnonzero(reach[i])
+                        scores, names = total[i][at], ids[left[at]]
+                        found = first_of(names, scores, k)
+                        me = int(own[i])
+                        merged = [*best.get(me, []), *zip(whole(scores[found]), names[found].tolist(), strict=True)]
+                        best[me] = sorted(merged, key=lambda p: (-p[0], p[1]))[:k]
+                yield table(["query_id", "vec_id", "score"], [(me, v, s) for me, found in best.items() for s, v in found])
 
     return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = K, scale: int = SCALE, slices: int = SLICES, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores among all rows but its own."""
-    spark = vectors.sparkSession
     pick = lambda df: df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = pick(vectors)
     asking = materialise(pick(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    found = None
-    for low, high in _edges(asking, query_block):
-        part = asking.filter((F.col("id") >= low) & (F.col("id") <= high)).orderBy("id").collect()  # query_block rows at most
-        ids, held = [r["id"] for r in part], [r["v"] for r in part]
-        lists = rows.mapInArrow(local_lists(Asked(ids, held, scale), k, scale, slices), "query_id long, score long")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        bounds = {r["query_id"]: r["score"] for r in lists.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").collect()}
-        got = rows.mapInArrow(sufficient(Asked(ids, held, scale, bounds), k, scale, slices), "query_id long, vec_id long, score long")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    lists = rows.mapInArrow(local_lists(asking.inputFiles(), k, scale, slices, query_block), "query_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    bounds = lists.withColumn("place", place).filter(F.col("place") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = materialise(asking.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "v", "bound"), "bounded-queries")
+    found = rows.mapInArrow(sufficient(bounded.inputFiles(), k, scale, slices, query_block), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _edges(queries: DataFrame, query_block: int) -> list[tuple[int, int]]:
-    """First and last ids of consecutive blocks of at most query_block queries: ids are distinct, so ranges can be halved until they fit."""
-    out = []
-    span = queries.agg(F.min("id"), F.max("id")).first()
-    todo = [] if span[0] is None else [(span[0], span[1])]
-    while todo:
-        low, high = todo.pop()
-        n = queries.filter((F.col("id") >= low) & (F.col("id") <= high)).count()
-        if n > query_block:
-            middle = (low + high) // 2
-            todo += [(middle + 1, high), (low, middle)]
-        elif n:
-            out.append((low, high))
-    return out
