@@ -6,7 +6,8 @@ A capture is blocked if an entry for its host, a parent domain of it, or a path
 fetched: an as-of join by equality on the key, then a test of the key's intervals. A capture's keys are its host's
 suffixes and its path's prefixes by segment, as deep as the deepest entry of the list goes.
 
-Keys are evaluated once per distinct (key, fetch time) wherever captures repeat, so a hot host is joined as one row.
+Captures are expanded to keys once. A short list is broadcast, so that no key is shuffled; with a long one the keys that very
+many captures ask for, a top-level domain's or a hot host's, are broadcast and only the others shuffled.
 
 Defined cases: a null or hostless URL has no keys and is never blocked; a null fetch time is before every entry. Of
 entries of one key, list and time, a removal counts last. Adding twice extends one interval. Host names are compared in
@@ -19,6 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strictbefore.llm.common import materialise
+
+#: Keys of a list that is broadcast whole; a key's row is some hundred bytes.
+LIST_ROWS = 200_000
+#: A key that more than a COMMON-th of all expanded captures ask for is hot.
+COMMON = 1000
+
 
 def host_of(url: Column) -> Column:
     """The host in lower case without credentials, port and ``www.``; null if there is none."""
@@ -54,22 +62,37 @@ def intervals(entries: DataFrame, key_col: str = "key", list_col: str = "list",
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("list", F.col("at").alias("from"), "to"))).alias("spans"))
 
 
+def on_list(keyed: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is listed, with the key's spans.
+
+    A list of up to LIST_ROWS keys is broadcast. A longer one is shuffled by key, all but the keys that a COMMON-th of all
+    rows or more ask for, such as a top-level domain: there are at most COMMON of these a level, and they are broadcast.
+    """
+    if listed.count() <= LIST_ROWS:
+        return keyed.join(F.broadcast(listed), "key")
+    asked = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")), "asked-keys")
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = asked.filter(F.col("n") * COMMON >= total).select("key")
+    often = listed.join(F.broadcast(hot), "key", "left_semi")
+    seldom = listed.join(F.broadcast(hot), "key", "left_anti")
+    rest = keyed.join(F.broadcast(hot), "key", "left_anti")
+    return keyed.join(F.broadcast(often), "key").unionByName(rest.join(seldom.hint("merge"), "key"))
+
+
 def evaluate(captures: DataFrame, listed: DataFrame, id_col: str, url_col: str, at_col: str) -> DataFrame:
     """One row per capture: id, url, fetched, host, blocked, lists (names in order), key (the most general that matched)."""
     rows = captures.select(
         F.monotonically_increasing_id().alias("row"), captures[id_col].alias("id"), captures[url_col].alias("url"), captures[at_col].cast("timestamp").alias("fetched"), host_of(captures[url_col]).alias("host")
     )
+    listed = materialise(listed, "listed")
     deepest = listed.agg(F.max(F.size(F.split("key", "/")))).first()[0] or 1
-    keyed = rows.select("url", "fetched", "host", F.posexplode(keys_of(F.col("host"), path_of(F.col("url")), deepest - 1)).alias("level", "key"))
-    # a hot host asks once per key and fetch time
-    asked = keyed.groupBy("key", "fetched").agg(F.min("level").alias("_"))
+    found_keys = keys_of(F.col("host"), path_of(F.col("url")), deepest - 1)
+    keyed = rows.select("url", "fetched", F.posexplode(found_keys).alias("level", "key"))
     inside = lambda s: (s["from"] <= F.col("fetched")) & (s["to"].isNull() | (F.col("fetched") < s["to"]))
-    active = (
-        asked.join(listed, "key")
-        .select("key", "fetched", F.array_distinct(F.transform(F.filter("spans", inside), lambda s: s["list"])).alias("lists"))
-        .filter(F.size("lists") > 0)
-    )
-    hits = keyed.select("url", "fetched", "level", "key").distinct().join(active, ["key", "fetched"])
+    lists = F.array_distinct(F.transform(F.filter("spans", inside), lambda s: s["list"]))
+    hits = on_list(keyed, listed).withColumn("lists", lists).filter(F.size("lists") > 0)
+    # captures that repeat are made one where few rows are left, so that a hot page is one row
+    hits = hits.groupBy("url", "fetched", "level", "key").agg(F.first("lists").alias("lists"))
     found = hits.groupBy("url", "fetched").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lists")))).alias("lists"), F.min_by("key", "level").alias("key"))
     found = found.select(F.col("url").alias("_url"), F.col("fetched").alias("_fetched"), "lists", "key")
     out = rows.join(found, (rows["url"] == found["_url"]) & (rows["fetched"] == found["_fetched"]), "left")
