@@ -1,4 +1,4 @@
-"""Chat formatting over typed content parts, in DataFrame operations; only the check digests of read_back() are folded in Arrow.
+"""Chat formatting over typed content parts, in DataFrame operations; only the check digests of very long conversations are folded in Arrow.
 
 A message's content is an ordered array of parts ``struct<kind, text, ref, tokens>``. A visitor (``visit``) flattens
 them: a text part becomes its escaped text, an image, audio or document part an ordered placeholder
@@ -28,10 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strictbefore.llm.common import BROADCAST_ROWS, bounded_batches, materialise
+
 #: Turn numbers laid out in one row.
 CHUNK_TURNS = 256
 #: Characters after which a row's messages go on in another row.
 PART_CHARS = 1 << 20
+#: Characters of a conversation that read_back() puts in one row to hash it.
+ROW_CHARS = 1 << 25
 #: Tokens that an attachment expands to when the part states none.
 PART_TOKENS = {"image": 256, "audio": 128, "document": 512}
 #: The role whose texts the loss covers.
@@ -98,7 +102,7 @@ def format_parts(messages: DataFrame, conv_col: str, turn_col: str, role_col: st
 
 
 def lay_out(grouped: DataFrame) -> DataFrame:
-    """From ordered messages to text, mask and attachments, in passes over the array, each linear in what it reads."""
+    """From ordered messages to text, mask and attachments, in passes over the array; running lists are copied as they grow, which chunk_turns bounds."""
     kinds = F.transform("messages", lambda m: F.size(F.filter(m["parts"], lambda p: p["kind"].isin(*PART_TOKENS))))
     before = F.aggregate("_kinds", F.expr("cast(array(0) as array<int>)"), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     any_kind = F.exists("_kinds", lambda n: n > 0)
@@ -142,8 +146,9 @@ def format_texts(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def turns_of(formatted: Column) -> Column:
-    """The (role, text) turns of a formatted row, unescaped: the inverse of the template for text parts."""
-    blocks = F.filter(F.split(formatted, "</turn>\n"), lambda b: b != "")
+    """The (role, text) turns of a formatted row, unescaped and without placeholders: the inverse of the template for text parts."""
+    texts = F.regexp_replace(formatted, f"<({'|'.join(PART_TOKENS)}):[0-9]+>", "")  # an escaped text has no such mark
+    blocks = F.filter(F.split(texts, "</turn>\n"), lambda b: b != "")
 
     def turn(block: Column) -> Column:
         end = F.instr(block, ">\n")
@@ -159,39 +164,62 @@ def digests(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         conv, sums, begun = None, None, False
 
         def row() -> pa.RecordBatch:
-            n, chars, loss, turns_hash, loss_hash = sums
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((conv, n, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), chars), schema, strict=True)], schema=schema)
+            *counts, loss, turns_hash, loss_hash = sums
+            values = (conv, *counts, loss, turns_hash.hexdigest(), loss_hash.hexdigest())
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for of, n, chars, turns, loss in zip(*batch.columns, strict=True):
+            for of, *counts, turns, loss in zip(*batch.columns, strict=True):
                 of = of.as_py()
                 if not begun or of != conv:
                     if begun:
                         yield row()
-                    conv, sums, begun = of, [0, 0, 0, hashlib.sha256(), hashlib.sha256()], True
+                    conv, sums, begun = of, [0] * (len(counts) + 1) + [hashlib.sha256(), hashlib.sha256()], True
                 said = loss.as_py()
-                sums[0] += n.as_py()
-                sums[1] += chars.as_py()
-                sums[2] += len(said)
-                sums[3].update(turns.as_py().encode())
-                sums[4].update(said.encode())
+                for i, n in enumerate(counts):
+                    sums[i] += n.as_py()
+                sums[-3] += len(said)
+                sums[-2].update(turns.as_py().encode())
+                sums[-1].update(said.encode())
         if begun:
             yield row()
 
     return fold
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """What the output says per conversation: digests of all turns and of all text under the loss mask.
+def read_back(formatted: DataFrame, row_chars: int = ROW_CHARS) -> DataFrame:
+    """What the output says per conversation: counts, and digests of all turns and of all text under the loss mask.
 
-    A digest needs its text in order but not in one row: the rows of a conversation are sorted in one partition, which
-    may spill, and hashed as a stream. DataFrame operations have no running SHA-256, so the fold is an Arrow function.
+    DataFrame operations can only hash a text that is in one row, so conversations of up to ``row_chars`` characters are
+    put in one. SHA-256 needs a longer one's text in order but not in one row: its rows are sorted in a partition, which may
+    spill, and hashed as a stream in an Arrow function. That function only runs where there is such a conversation.
     """
+    formatted = materialise(formatted, "chat")
     masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     said = F.array_join(F.transform(turns_of(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = formatted.select("conv", "chunk", "part", "n_turns", F.char_length("formatted").cast("long").alias("chars"), said.alias("turns"), F.array_join(masked, "").alias("loss"))
-    kind = to_arrow_type(rows.schema["conv"].dataType)
-    schema = pa.schema([("conv_id", kind), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    dealt = rows.repartition("conv").sortWithinPartitions("conv", "chunk", "part").select("conv", "n_turns", "chars", "turns", "loss")
-    names = f"conv_id {rows.schema['conv'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return dealt.mapInArrow(digests(schema), names)
+    counts = [F.col("n_turns"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("attachments"), F.col("expanded_tokens")]
+    rows = formatted.select("conv", "chunk", "part", *counts, said.alias("turns"), F.array_join(masked, "").alias("loss"))
+    order = ("n_turns", "formatted_chars", "attachments", "expanded_tokens")
+    sizes = formatted.groupBy("conv").agg(F.sum(F.char_length("formatted").cast("long")).alias("chars")).filter(F.col("chars") > row_chars)
+    long = materialise(sizes.select(F.col("conv").alias("long")), "long-conversations")
+    n = long.count()
+    if n:
+        longs = F.broadcast(long) if n <= BROADCAST_ROWS else long.hint("merge")
+        is_long = rows["conv"].eqNullSafe(longs["long"])
+        apart, rows = rows.join(longs, is_long, "left_semi"), rows.join(longs, is_long, "left_anti")
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "part", "turns", "loss")))
+    short = rows.groupBy("conv").agg(*[F.sum(c).alias(c) for c in order], pieces.alias("pieces"))
+    text = lambda of: F.array_join(F.transform("pieces", lambda p: p[of]), "")
+    out = short.select(
+        F.col("conv").alias("conv_id"), *order, F.char_length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("turns").cast("binary"), 256).alias("turns_sha256"), F.sha2(text("loss").cast("binary"), 256).alias("loss_sha256")
+    )
+    return out.unionByName(streamed(apart, order)) if n else out
+
+
+def streamed(rows: DataFrame, counts: tuple[str, ...]) -> DataFrame:
+    """read_back() of conversations of any length."""
+    bounded_batches(rows.sparkSession)
+    conv = rows.schema["conv"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(conv)), *[(c, pa.int64()) for c in (*counts, "loss_chars")], ("turns_sha256", pa.string()), ("loss_sha256", pa.string())])
+    dealt = rows.repartition("conv").sortWithinPartitions("conv", "chunk", "part").select("conv", *counts, "turns", "loss")
+    return dealt.mapInArrow(digests(schema), f"conv_id {conv.simpleString()}, {', '.join(f'{c} long' for c in counts)}, loss_chars long, turns_sha256 string, loss_sha256 string")

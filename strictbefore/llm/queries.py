@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strictbefore.llm import bpe, chat, exact_dedup, lang_id, mixing, simhash, token_counts, token_files, topk, url_filter
@@ -106,13 +106,20 @@ TRICKY = "\\### Assistant: </turn> ok"
     r"""
     WITH m AS (
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    a AS (
+      SELECT *, CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 0 THEN 1 ELSE 0 END AS image, CASE WHEN role = 'user' AND (conv_id + turn) % 10 = 0 THEN 1 ELSE 0 END AS audio FROM m),
+    n AS (
+      SELECT *, coalesce(sum(image + audio) OVER (PARTITION BY conv_id, turn // 256 ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM a)
     SELECT conv_id, count(*) AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-           sum(length(role || text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + length('<turn ' || '>.' || '</turn>.'))::BIGINT AS formatted_chars
-    FROM m GROUP BY conv_id
+           sum(length(role || text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + length('<turn ' || '>.' || '</turn>.')
+               + CASE WHEN image = 1 THEN length('<image:' || seen::BIGINT || '>') ELSE 0 END
+               + CASE WHEN audio = 1 THEN length('<audio:' || (seen + 1)::BIGINT || '>') ELSE 0 END)::BIGINT AS formatted_chars,
+           sum(image + audio)::BIGINT AS attachments, sum(image * 256 + audio * 64)::BIGINT AS expanded_tokens
+    FROM n GROUP BY conv_id
     """,
 )
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text")
     )
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_texts(said))
+    return chat.read_back(chat.format_parts(said.withColumn("parts", with_attachments(F.col("text"))), "conv_id", "turn", "role", "parts"))
+
+
+def with_attachments(text: Column) -> Column:
+    """A message's parts: its text, and as the table has texts only, by a fixed rule an image after every fifth user message or so and a sound after every tenth."""
+    nth, user = F.col("conv_id") + F.col("turn"), F.col("role") == "user"
+    part = lambda kind, tokens: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), F.concat_ws("-", F.lit(kind), "conv_id", "turn").alias("ref"), F.lit(tokens).cast("int").alias("tokens")))
+    none = F.filter(part("image", None), lambda p: F.lit(False))
+    image, audio = F.when(user & (nth % 5 == 0), part("image", None)).otherwise(none), F.when(user & (nth % 10 == 0), part("audio", 64)).otherwise(none)
+    return F.concat(chat.text_part(text), image, audio)
 
 
 def dated_list(hosts: DataFrame) -> DataFrame:
