@@ -15,8 +15,8 @@ def test_parts_are_bounded_and_digests_are_of_the_whole(spark):
     texts = frame.select("conv_id", "turn", "role", chat.text_part(frame.text).alias("parts"))
     short = chat.format_parts(texts, "conv_id", "turn", "role", "parts", part_chars=100)
     assert max(len(r["formatted"]) for r in short.filter("conv = 2").collect()) <= 3 * (40 + len("<turn assistant>\n</turn>\n"))
-    for laid in (formatted, short):
-        back = {r["conv_id"]: r for r in chat.read_back(laid).collect()}
+    for laid, limit in ((formatted, chat.ROW_CHARS), (formatted, 1000), (short, 0), (short, 1 << 20)):
+        back = {r["conv_id"]: r for r in chat.read_back(laid, limit).collect()}
         assert len(back) == 3
         for conv in back:
             own = sorted([(-1 if t is None else t, r, x or "") for c, t, r, x in rows if c == conv])
@@ -26,7 +26,7 @@ def test_parts_are_bounded_and_digests_are_of_the_whole(spark):
             assert back[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
-def test_no_conversation_meets_in_one_row(spark):
-    frame = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
-    plan = chat.read_back(chat.format_texts(frame))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("collect_list") == 1
+def test_only_a_long_conversation_leaves_the_data_frame(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "b" * 90)], "conv_id long, turn long, role string, text string")
+    plan = lambda limit: chat.read_back(chat.format_texts(frame), limit)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(chat.ROW_CHARS) and "MapInArrow" in plan(80)

@@ -84,11 +84,14 @@ def test_components_equal_all_pairs(spark, cell):
     fps = sorted(fps)
     rows = [(i, f) for i, f in enumerate(fps)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    points = spark.createDataFrame([(signed(f), i) for i, f in rows], "fp long, rank long")
-    edges = simhash.links(points.select("fp"), 2, cell)
-    for r in edges.collect():
-        assert ((r["a"] ^ r["b"]) % (1 << 64)).bit_count() <= 2
-    roots = {r["rank"]: r["root"] for r in simhash.components(edges, points).collect()}
+    points = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    edges = simhash.links(points, 2, cell).collect()
+    assert all(((r["a"] ^ r["b"]) % (1 << 64)).bit_count() <= 2 for r in edges)
+    rank = {signed(f): i for i, f in rows}
+    ranked = spark.createDataFrame([(rank[r["a"]], rank[r["b"]]) for r in edges], "a long, b long")
+    found = simhash.components(ranked).collect()
+    roots = {r["node"]: r["root"] for r in found}
+    assert len(found) == len(roots)
     want = brute_components(rows)
     assert {i: roots.get(i, i) for i, _ in rows} == {i: want[f] for i, f in rows}
 
