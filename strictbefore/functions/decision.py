@@ -86,7 +86,8 @@ def contract_status(reasons: Column) -> Column:
 
 def pick(ps: dict[str, Column]) -> Column:
     """The most probable outcome; of equal ones the first named."""
-    best = F.greatest(*ps.values())
+    first, *others = ps.values()
+    best = F.greatest(first, *others) if others else first
     return F.coalesce(*[F.when(p == best, F.lit(name)) for name, p in ps.items()])
 
 
@@ -95,3 +96,39 @@ def confidence(ps: list[Column]) -> Column:
     ranked = F.sort_array(F.array(*ps), asc=False)
     gap = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
     return F.when(gap >= HIGH_GAP, "High").when(gap <= TOSS_UP_GAP, "Toss-up").otherwise("Moderate")
+
+
+#: Fixed value: how far a double chance may be from the sum of its outcomes, and lines out of order.
+CHANCE_TOLERANCE, LINE_TOLERANCE = 0.05, 1e-6
+
+
+def market_fault(ps: dict[str, Column]) -> Column:
+    """What contradicts itself in a payload of market probabilities, the first that does; null if nothing. Missing markets aren't held against it."""
+    say = lambda bad, what: F.when(F.coalesce(bad, F.lit(False)), F.lit(what))
+    valid = lambda p: p.isNull() | valid_probability(p)
+    bad = F.lit(False)
+    for p in ps.values():
+        bad = bad | ~valid(p)
+    result = [ps[k] for k in ("home_win", "draw", "away_win")]
+    checks = [say(bad, "invalid_probability"), say(F.abs(result[0] + result[1] + result[2] - 1) > SUM_TOLERANCE, "invalid_sum")]
+    pairs = {"home_or_draw": ("home_win", "draw"), "away_or_draw": ("away_win", "draw"), "home_or_away": ("home_win", "away_win")}
+    checks += [say(F.abs(ps[k] - (ps[a] + ps[b])) > CHANCE_TOLERANCE, f"inconsistent_{k}") for k, (a, b) in pairs.items() if k in ps]
+    lines = [f"over_{n}_5" for n in range(1, 6)]
+    checks += [say(ps[low] < ps[high] - LINE_TOLERANCE, f"impossible_{low}") for low, high in zip(lines, lines[1:], strict=False) if low in ps and high in ps]
+    checks += [say(F.abs(ps[k] + ps[k.replace("over", "under")] - 1) > SUM_TOLERANCE, f"invalid_pair_{k}") for k in lines if k in ps and k.replace("over", "under") in ps]
+    return F.coalesce(*checks)
+
+
+def safest(ps: dict[str, dict[str, Column]]) -> dict[str, Column]:
+    """Per market struct<label, probability> of its most probable label, the first of equal ones; informational only."""
+    return {market: F.struct(pick(labels).alias("label"), F.array_max(F.array(*labels.values())).alias("probability")) for market, labels in ps.items()}
+
+
+def contract(fixture: Column, raw: list[Column], calibrated: list[Column], calibration: Column, odds: Column, state: Column, reasons: Column, cutoff: Column) -> Column:
+    """The record of one prediction: what was computed before the cutoff, what was done to it and what stands against it."""
+    names = ("home_win", "draw", "away_win")
+    both = lambda ps: F.struct(*[p.alias(n) for p, n in zip(ps, names, strict=True)])
+    return F.struct(
+        fixture.alias("fixture_id"), cutoff.alias("data_cutoff"), both(raw).alias("raw"), both(calibrated).alias("calibrated"), calibration.alias("calibration_status"), pick(dict(zip(names, calibrated, strict=True))).alias("pick"),
+        confidence(calibrated).alias("confidence"), odds.alias("odds"), state.alias("uncertainty"), reasons.alias("reasons"), decision(reasons).alias("decision"), contract_status(reasons).alias("status"),
+    )

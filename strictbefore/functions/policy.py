@@ -39,6 +39,13 @@ def regulation(status: Column, home: Column, away: Column, full_home: Column, fu
     return F.coalesce(goals(full_home, full_away), F.when(~F.coalesce(status.isin("AET", "PEN"), F.lit(False)), goals(home, away)))
 
 
+def score_breakdown(status: Column, home: Column, away: Column, full_home: Column, full_away: Column) -> Column:
+    """struct<match, regulation, later>, each struct<home, away> or null: all goals, those of 90 minutes, and what extra time added."""
+    whole, regular = goals(home, away), regulation(status, home, away, full_home, full_away)
+    later = F.when(whole.isNotNull() & regular.isNotNull(), F.struct((whole["home"] - regular["home"]).alias("home"), (whole["away"] - regular["away"]).alias("away")))
+    return F.struct(whole.alias("match"), regular.alias("regulation"), later.alias("later"))
+
+
 def outcome(home: Column, away: Column) -> Column:
     """home_win, draw or away_win; null where a score is missing."""
     return F.when(home > away, "home_win").when(home < away, "away_win").when(home == away, "draw")
@@ -77,3 +84,32 @@ def reject_reason(row: dict[str, Column], league: Column, season: Column, cutoff
         (completed & (row["home_goals"].isNull() | row["away_goals"].isNull()), "completed_fixture_missing_goals"),
     ]
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(reason)) for bad, reason in checks])
+
+
+def excluded_stage(stages: list[Column], home: Column, away: Column, marker: str, tokens: tuple[str, ...] = ()) -> Column:
+    """Whether a match belongs to a stage outside the regular season: a stage text holds the marker or is held by it, or a side's name holds a token."""
+    found = F.lit(False)
+    for stage in stages:
+        low = F.lower(F.trim(stage))
+        found = found | F.coalesce((low != "") & (low.contains(marker) | F.lit(marker).contains(low)), F.lit(False))
+    for token in tokens:
+        for name in (home, away):
+            found = found | F.coalesce(F.lower(F.trim(name)).contains(token), F.lit(False))
+    return found
+
+
+def keeps_league(name: Column, keywords: tuple[str, ...]) -> Column:
+    """Whether a league's name holds one of the keywords, in any case."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return F.greatest(*[low.contains(k.lower()) for k in (*keywords, keywords[0])])
+
+
+def names_match(home: Column, away: Column, first: str, second: str) -> Column:
+    """A search for two teams by parts of their names, in either order."""
+    like = lambda c, part: F.lower(c).contains(part.lower())
+    return (like(home, first) & like(away, second)) | (like(home, second) & like(away, first))
+
+
+def gradeable(home: Column, away: Column) -> Column:
+    """Whether a match can be settled: both goals are there and valid."""
+    return F.coalesce(goals(home, away).isNotNull(), F.lit(False))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accented letters and what they fold to, noise words, suffixes.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžșț"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzst"
+# Noise words, suffixes.
 NOISE = ("fc", "cf", "afc", "sc", "club")
 SUFFIXES = (" fc", " afc", " cf", " sc", " bc", " basketball", " football club")
 NOT_SENIOR = ("u18", "u19", "u20", "u21", "u23", "youth", "reserve", "women", "ladies", "academy", "friendly")
@@ -28,9 +29,40 @@ def without(tokens: Column, noise: tuple[str, ...]) -> Column:
     return F.when(F.size(left) > 0, left).otherwise(tokens)
 
 
+@functools.cache
+def folding() -> tuple[str, str]:
+    """Characters and what they stand for once compatibility forms are decomposed and combining marks are gone; those beyond the second text's end go.
+
+    Made from the character database: every character whose decomposition without marks is one character. The few that
+    decompose into several, ligatures and the like, are in LIGATURES.
+    """
+    one, to, gone = [], [], []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        if unicodedata.combining(c):
+            gone.append(c)
+        elif len(plain := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and plain != c:
+            one.append(c)
+            to.append(plain)
+    return "".join(one + gone), "".join(to)
+
+
+#: Letters that decompose into several, by what they stand for.
+LIGATURES = {x: unicodedata.normalize("NFKD", x) for x in "ﬀﬁﬂﬃﬄﬅﬆĲĳŉǄǅǆǇǈǉǊǋǌ№™½¼¾…"}
+
+
+def without_marks(text: Column) -> Column:
+    """Compatibility forms decomposed, combining marks gone."""
+    out = F.translate(text, *folding())
+    ligature = text.rlike("[" + "".join(LIGATURES) + "]")
+    spelt = out
+    for old, new in LIGATURES.items():
+        spelt = F.replace(spelt, F.lit(old), F.lit("".join(c for c in new if not unicodedata.combining(c))))
+    return F.when(ligature, spelt).otherwise(out)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, FOLDED)
+    """Lower case without accents, full width and other compatibility forms."""
+    return F.lower(without_marks(text))
 
 
 def team_name(text: Column) -> Column:
@@ -164,3 +196,20 @@ def pair_similarity(home_a: Column, away_a: Column, home_b: Column, away_b: Colu
 
 def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+
+
+# Number words, and what may stand before or after a quantity.
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
+ASKING, ASKED = "top|give|show|find|get|pick|list|sample", "predictions?|picks?|tips?|games?|matches?|fixtures?"
+MOST_ASKED = 500
+
+
+def quantity(text: Column, default: int = 1) -> Column:
+    """How many a text asks for: a number beside a word that asks, a number word, or any number of two digits; days are no quantities."""
+    plain = F.regexp_replace(normal_text(F.coalesce(text, F.lit(""))), r"\b\d{4}-\d{2}-\d{2}\b", " ")
+    found = lambda pattern: F.regexp_extract(plain, pattern, 1).try_cast("int")
+    positive = lambda n: F.when(n > 0, F.least(n, F.lit(MOST_ASKED)))
+    beside = [found(rf"\b(?:{ASKING})\s+(\d{{1,3}})\b"), found(rf"\b(\d{{1,3}})\s+(?:{ASKED}|sample)\b"), found(rf"\b(?:{ASKED})\s+(\d{{1,3}})\b")]
+    words = F.array(*map(F.lit, NUMBER_WORDS))
+    word = F.get(F.filter(F.transform(F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0)), lambda w: F.array_position(words, w)), lambda n: n > 0), F.lit(0)).cast("int")
+    return F.coalesce(*map(positive, beside), word, positive(found(r"\b(\d{1,2})\b")), F.lit(default))

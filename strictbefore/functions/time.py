@@ -77,3 +77,12 @@ def season_months(season: Column, first_month: int = 10, months: int = 9) -> Col
 def remaining_minutes(elapsed: Column, status: Column) -> Column:
     """45 at half time, 90 before a minute is known, otherwise what is left, 1 at least."""
     return F.when(status == "HT", F.lit(45)).when(elapsed.isNull(), F.lit(90)).otherwise(F.greatest(F.lit(90) - elapsed, F.lit(1)))
+
+
+def parse_loose(text: Column) -> Column:
+    """struct<at, precision>: a text without a zone counts as UTC, a bare day as its midnight; precision is day or minute. Null for anything else."""
+    t = F.trim(text)
+    bare = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    naive = t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$")
+    at = F.coalesce(parse_utc(t), F.when(bare | naive, F.try_to_timestamp(F.concat(t, F.when(bare, "T00:00:00Z").otherwise("Z")))))
+    return F.when(at.isNotNull(), F.struct(at.alias("at"), F.when(bare, "day").otherwise("minute").alias("precision")))

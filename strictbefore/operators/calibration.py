@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the fit.
@@ -54,6 +54,26 @@ def platt_fits(samples: DataFrame, *cohort: str) -> DataFrame:
     return fit_groups(grouped(samples, *cohort), *cohort)
 
 
+def fits_by_period(bins: DataFrame, period: str, *cohort: str) -> DataFrame:
+    """Per cohort, outcome and period: the fit on all earlier periods. Periods are added up one after the other, so that none is read twice."""
+    kinds = {f.name: f.dataType.simpleString() for f in bins.schema}
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        logit, place = np.unique(rows.logit.to_numpy(), return_inverse=True)
+        n, positive = np.zeros(len(logit)), np.zeros(len(logit))
+        out = []
+        for at, own in sorted(rows.assign(place=place).groupby(period)):
+            if n.any():
+                used = n > 0
+                got = fit_platt(logit[used], n[used], positive[used])
+                out += [(*key, at, *got, int(n.sum()))] if got else []
+            n[own.place], positive[own.place] = n[own.place] + own.n, positive[own.place] + own.positive
+        return pd.DataFrame(out, columns=[*cohort, "outcome", period, "a", "b", "samples"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in cohort), f"outcome string, {period} {kinds[period]}, a double, b double, samples long"])
+    return bins.groupBy(*cohort, "outcome").applyInPandas(fit, schema)
+
+
 def walk_forward(samples: DataFrame, period: str, *cohort: str) -> DataFrame:
     """Each sample with the fit of its cohort's earlier periods and its calibrated probability; status APPLIED or UNAVAILABLE.
 
@@ -61,17 +81,28 @@ def walk_forward(samples: DataFrame, period: str, *cohort: str) -> DataFrame:
     """
     from strictbefore.functions.model import platt
 
-    bins = grouped(samples, *cohort, period)
-    later = samples.select(*cohort, period).distinct().select(*[F.col(c).alias(f"_{c}") for c in cohort], F.col(period).alias("_at"))
-    earlier = F.col(period) < F.col("_at")
-    for c in cohort:
-        earlier = earlier & (F.col(c) == F.col(f"_{c}"))
-    train = bins.join(later, earlier).groupBy(*cohort, "_at", "outcome", "logit").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    fits = fit_groups(train, *cohort, "_at").withColumnRenamed("_at", period)
+    fits = fits_by_period(grouped(samples, *cohort, period), period, *cohort)
     got = samples.join(fits, [*cohort, period, "outcome"], "left")
     return got.withColumn("calibrated", platt(F.col("p"), F.col("a"), F.col("b"))).withColumn("status", F.when(F.col("a").isNull(), "UNAVAILABLE").otherwise("APPLIED"))
 
 
+def multiclass(ps: list[Column], fits: list[tuple[Column, Column]]) -> tuple[list[Column], Column]:
+    """A distribution through a fit of each outcome, renormalised, and its status.
+
+    UNAVAILABLE without all fits, ERROR where a probability is no number or nothing is left to share; the raw distribution stands in.
+    """
+    from strictbefore.functions.decision import valid_probability
+    from strictbefore.functions.model import platt
+
+    fitted, numbers = F.lit(True), F.lit(True)
+    for p, (a, b) in zip(ps, fits, strict=True):
+        fitted, numbers = fitted & a.isNotNull() & b.isNotNull(), numbers & valid_probability(p)
+    said = [platt(p, a, b) for p, (a, b) in zip(ps, fits, strict=True)]
+    total = sum(said[1:], said[0])
+    status = F.when(~fitted, "UNAVAILABLE").when(~numbers | ~F.coalesce(total > 0, F.lit(False)), "ERROR").otherwise("APPLIED")
+    return [F.when(status == "APPLIED", c / total).otherwise(p) for c, p in zip(said, ps, strict=True)], status
+
+
 def fit_isotonic(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[list[float], list[float]] | None:
     """Pooled adjacent violators over sorted places p with mean outcomes y of n samples each: places and values.
 

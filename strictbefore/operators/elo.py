@@ -7,8 +7,7 @@ before the instant and applied one after the other, by fixture id.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -27,12 +26,18 @@ def update(home: float, away: float, home_goals: int, away_goals: int) -> tuple[
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["ts", "fixture_id"])
-    state: dict[int, float] = defaultdict(lambda: START_RATING)
+    teams, places = np.unique(np.concatenate([rows.home_id, rows.away_id]), return_inverse=True)
+    home, away = places[: len(rows)].tolist(), places[len(rows) :].tolist()
+    goals, starts = list(zip(rows.home_goals.tolist(), rows.away_goals.tolist(), strict=True)), rows.ts.to_numpy()
+    state = [START_RATING] * len(teams)
     before: list[tuple[float, float]] = []
-    for _, instant in rows.groupby("ts", sort=False):
-        before += [(state[h], state[a]) for h, a in zip(instant.home_id, instant.away_id, strict=True)]
-        for m in instant.itertuples():
-            state[m.home_id], state[m.away_id] = update(state[m.home_id], state[m.away_id], m.home_goals, m.away_goals)
+    at = 0
+    while at < len(home):
+        end = int(np.searchsorted(starts, starts[at], "right"))  # one past the instant
+        before += [(state[home[i]], state[away[i]]) for i in range(at, end)]
+        for i in range(at, end):
+            state[home[i]], state[away[i]] = update(state[home[i]], state[away[i]], *goals[i])
+        at = end
     out = rows[["fixture_id", "league_id", "season", "home_id", "away_id"]].copy()
     out[["home_rating", "away_rating"]] = pd.DataFrame(before, index=out.index, dtype="float64") if before else None
     return out

@@ -39,19 +39,16 @@ def league_average(found: DataFrame, *cohort: str) -> DataFrame:
 def last_before(rows: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
     """Each row with ``last``: its n latest predecessors strictly before, oldest first, as structs of ``values``.
 
-    An ordered frame of bounded length plus the ties: the rows at the row's own instant are cut off by their count.
+    Rows of one instant are grouped first, the last n of them; the n instants before an instant hold its predecessors. One
+    shuffle by the keys serves the grouping, the frame and the rows that go out.
     """
-    order = Window.partitionBy(*keys).orderBy("ts", "fixture_id")
-    ranked = rows.withColumn("_rn", F.row_number().over(order)).withColumn("_k", F.count("*").over(before(*keys)))
-    past = ranked.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_rn").alias("_prn"), F.struct("_rn", *values).alias("_p"))
-    # a row asks for at most n ordinals: an equality join, linear in the rows
-    asks = ranked.withColumn("_ask", F.when(F.col("_k") > 0, F.sequence(F.greatest(F.col("_k") - n + 1, F.lit(1)), F.col("_k"))))
-    wanted = asks.select("fixture_id", *keys, F.explode("_ask").alias("_prn0"))
-    same = F.col("_prn") == F.col("_prn0")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    got = wanted.join(past, same).groupBy("fixture_id", *keys).agg(F.array_sort(F.collect_list("_p")).alias("last"))
-    return ranked.drop("_rn", "_k").join(got, ["fixture_id", *keys], "left").withColumn("available", F.coalesce(F.size("last"), F.lit(0)))
+    entry = F.struct("fixture_id", *values)
+    per = rows.repartition(*keys).groupBy(*keys, "ts").agg(F.array_sort(F.collect_list(entry)).alias("_own"), F.collect_list(F.struct(*[c for c in rows.columns if c not in (*keys, "ts")])).alias("_rows"))
+    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-n, -1)
+    cut = F.slice("_own", F.greatest(F.size("_own") - n, F.lit(0)) + 1, n)
+    past = F.flatten(F.collect_list(cut).over(w))
+    got = per.withColumn("last", past).select(*keys, "ts", F.explode("_rows").alias("_r"), F.slice("last", F.greatest(F.size("last") - n, F.lit(0)) + 1, n).alias("last"))
+    return got.select(*keys, "ts", "_r.*", F.when(F.size("last") > 0, F.col("last")).alias("last")).withColumn("available", F.coalesce(F.size("last"), F.lit(0)))
 
 
 def recent_form(rows: DataFrame, *cohort: str, window: int = FORM) -> DataFrame:
@@ -94,3 +91,13 @@ def both_sides(found: DataFrame, per_team: DataFrame, values: list[str], *cohort
 
 def has_history(home: Column, away: Column, minimum: int) -> Column:
     return F.coalesce((home >= minimum) & (away >= minimum), F.lit(False))
+
+
+def team_records(rows: DataFrame, *cohort: str) -> DataFrame:
+    """Per team row what the team had done before: matches, goals for and against, matches and goals at home."""
+    w = before(*cohort, "team_id")
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    at_home = F.col("at_home").cast("long")
+    return rows.select(
+        "fixture_id", *cohort, "team_id", F.count("*").over(w).alias("matches"), total(F.col("gf")).alias("goals_for"), total(F.col("ga")).alias("goals_against"), total(at_home).alias("at_home"), total(F.col("gf") * at_home).alias("goals_at_home")
+    )

@@ -27,7 +27,8 @@ def log_loss(ps: list[Column], ys: list[Column]) -> Column:
 
 
 def bin_of(p: Column) -> Column:
-    """The lower edge of a probability's bin; the last bin holds 1."""
+    """The lower edge of a probability's bin; what lies beyond 0 or 1 counts as that, and the last bin holds 1."""
+    p = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
     out = F.when(p < EDGES[1], EDGES[0])
     for low, high in zip(EDGES[1:], EDGES[2:], strict=False):
         out = out.when(p < high, low)
@@ -35,11 +36,20 @@ def bin_of(p: Column) -> Column:
 
 
 def calibration(samples: DataFrame, *group: str) -> DataFrame:
-    """Per group and bin: count, mean probability, rate and gap, from columns p and y."""
-    binned = samples.withColumn("bin", bin_of(F.col("p"))).groupBy(*group, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
+    """Per group and bin: count, mean probability, rate and gap, from columns p and y; probabilities are held to 0..1."""
+    p = F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0))
+    binned = samples.withColumn("p", p).withColumn("bin", bin_of(F.col("p"))).groupBy(*group, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
     return binned.withColumn("gap", F.abs(F.col("mean_p") - F.col("rate")))
 
 
+def all_bins(bins: DataFrame, *group: str) -> DataFrame:
+    """calibration() with a row for every bin of every group, empty ones with 0 samples and no figures, 4 decimals."""
+    every = bins.select(*group).distinct() if group else bins.sparkSession.range(1).select()
+    every = every.select(*group, F.explode(F.array(*map(F.lit, EDGES))).alias("bin"))
+    got = every.join(bins, [*group, "bin"], "left")
+    return got.select(*group, "bin", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 4).alias(c) for c in ("mean_p", "rate", "gap")])
+
+
 def expected_calibration_error(bins: DataFrame, *group: str) -> DataFrame:
     return bins.groupBy(*group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 

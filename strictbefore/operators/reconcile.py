@@ -104,19 +104,25 @@ def keep_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, valid_from: str) -> DataFrame:
-    """Each fact with its dimension row as it stood strictly before: validity intervals, then an equality with a range.
+    """Each fact with its dimension row as it stood strictly before, columns prefixed ``d_``; of versions of one instant the greatest counts.
 
-    The dimension's rows carry the instant of their successor, so each fact meets one of them.
+    Facts and versions stand in one ordered window, facts first at an instant, so that a fact sees the last version before it: a
+    hot key costs a sort, not a comparison of all its facts with all its versions.
     """
-    order = Window.partitionBy(key).orderBy(valid_from)
-    spans = dimension.withColumn("_until", F.lead(valid_from).over(order)).select([F.col(c).alias(f"d_{c}") for c in (*dimension.columns, "_until")])
-    holds = (F.col(key) == F.col(f"d_{key}")) & (F.col(f"d_{valid_from}") < F.col(at)) & (F.col("d__until").isNull() | (F.col(at) <= F.col("d__until")))
-    return facts.join(spans, holds, "left").drop(f"d_{key}", "d__until")
-
-
-def fill_forward(rows: DataFrame, cohort: list[str], order: str, *cols: str) -> DataFrame:
-    """Nulls replaced by the last value before them."""
-    w = Window.partitionBy(*cohort).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = [c for c in dimension.columns if c != key]
+    version = F.struct(*[F.col(c) for c in (valid_from, *[c for c in others if c != valid_from])])
+    left = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(*facts.columns).alias("_fact"), F.lit(None).cast(dimension.select(version).schema[0].dataType).alias("_version"))
+    right = dimension.select(F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), version.alias("_version"))
+    w = Window.partitionBy("_key").orderBy("_at", "_kind", "_version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = left.unionByName(right).withColumn("_last", F.last("_version", ignorenulls=True).over(w)).filter("_kind = 0")
+    # a null key or instant has no version
+    known = F.col("_key").isNotNull() & F.col("_at").isNotNull()
+    return got.select("_fact.*", *[F.when(known, F.col("_last")[c]).alias(f"d_{c}") for c in others])
+
+
+def fill_forward(rows: DataFrame, cohort: list[str], order: str | list[str], *cols: str) -> DataFrame:
+    """Nulls replaced by the last value before them; ``order`` names the rows' order, a unique column last."""
+    w = Window.partitionBy(*cohort).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
@@ -139,3 +145,22 @@ def midnight_twins(rows: DataFrame, least: float) -> DataFrame:
     pairs = bare.join(full, ["league_id", "season", "day"]).filter(pair_similarity(F.col("home_team"), F.col("away_team"), F.col("_h"), F.col("_a")) >= least)
     w = Window.partitionBy("fixture_id")
     return pairs.withColumn("_n", F.count("*").over(w)).filter("_n = 1").select("fixture_id", "twin_id", "kickoff_at")
+
+
+def strict_matches(left: DataFrame, right: DataFrame, with_day: bool = True) -> DataFrame:
+    """Pairs (left_id, right_id) of two providers' fixtures that agree on sport, league, season, day and both sides' canonical ids in their roles.
+
+    Provider ids play no part, and a fixture without one of these matches nothing; without the day a pair may meet more than once.
+    """
+    keys = ["sport", "league_id", "season", *(["day"] if with_day else []), "canonical_home_id", "canonical_away_id"]
+    side = lambda df, name: df.select(F.col("fixture_id").alias(name), *keys)
+    return side(left, "left_id").join(side(right, "right_id"), keys).select("left_id", "right_id")
+
+
+def provenance_only(rows: DataFrame, key: str, sources: list[str], fields: list[str], peer_field: str) -> DataFrame:
+    """Rows of the given sources that say nothing themselves, all fields null, while a row of the same key has ``peer_field``."""
+    empty = F.col("source").isin(*sources)
+    for f in fields:
+        empty = empty & F.col(f).isNull()
+    peers = rows.filter(F.col(peer_field).isNotNull()).select(key).distinct()
+    return rows.filter(empty).join(peers, key, "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strictbefore.functions.policy import strict_int
 from strictbefore.functions.text import clean_number, stable_id, uid_parts
 from strictbefore.functions.time import parse_utc
+from strictbefore.operators.reconcile import keep_first
 
 # Phases by number, marks of all-star games, the league's id, statistics by key, status names.
 PHASES = {1: "preseason", 2: "regular_season", 3: "postseason", 4: "all_star", 5: "play_in"}
@@ -52,7 +53,7 @@ def classified_events(spark: SparkSession, path: str, season: int) -> DataFrame:
     phases = F.create_map(*[F.lit(x) for pair in PHASES.items() for x in pair])
     phase = F.when(star, "all_star").otherwise(F.try_element_at(phases, kind))
     got = rows.withColumn("quarantine", reason).withColumn("phase", F.when(reason.isNull(), phase)).drop("season", "seasonType", "competition")
-    return got.dropDuplicates(["event_id"])
+    return keep_first(got, ["event_id"], *[F.asc(c) for c in got.columns])  # of two versions the same one every time
 
 
 def day_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +62,7 @@ def day_listing(spark: SparkSession, path: str) -> DataFrame:
     schema = f"leagues array<struct<name:string,matches:array<struct<id:string,statusId:int,status:struct<finished:boolean,utcTime:string>,home:{side},away:{side}>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("leagues").alias("l")).select(F.lower("l.name").alias("league"), F.explode("l.matches").alias("m"))
     got = rows.select(F.col("m.id").alias("id"), "league", parse_utc(F.col("m.status.utcTime")).alias("kickoff_at"), F.col("m.home.name").alias("home"), F.col("m.away.name").alias("away"), F.col("m.home.score").alias("home_score"), F.col("m.away.score").alias("away_score"), (F.coalesce("m.status.finished", F.lit(False)) | F.coalesce(F.col("m.statusId") == 6, F.lit(False))).alias("finished"))
-    return got.dropDuplicates(["id"])
+    return keep_first(got, ["id"], F.desc("finished"), *[F.asc(c) for c in got.columns])
 
 
 def match_details(spark: SparkSession, path: str) -> DataFrame:
