@@ -87,19 +87,21 @@ def cards_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(model.cards_over(home, away, 3.5), 6).alias("over_3_5"))
 
 
-ERF_SQL = "(sign({x}) * (1 - (1 / (1 + 0.3275911e0 * abs({x}))) * (0.254829592e0 + (1 / (1 + 0.3275911e0 * abs({x}))) * (-0.284496736e0 + (1 / (1 + 0.3275911e0 * abs({x}))) * (1.421413741e0 + (1 / (1 + 0.3275911e0 * abs({x}))) * (-1.453152027e0 + (1 / (1 + 0.3275911e0 * abs({x}))) * 1.061405429e0)))) * exp(-{x} * {x})))"
+#: The series in another form: each term from its logarithm.
+ERF_SQL = """(CASE WHEN {x} = 0 THEN 0 WHEN abs({x}) > 6 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * exp(-{x} * {x})
+  * list_sum([exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln(abs({x})) - lgamma(2 * n + 2)) FOR n IN range(0, 121)]) END)"""
 
 
 @query(
     "margin_probabilities",
-    f"""SELECT c_custkey, round(0.5e0 * (1 + {ERF_SQL.format(x="(d / 12e0 / sqrt(2e0))")}), 6) AS home_win, round(0.5e0 * (1 + {ERF_SQL.format(x="((t - 224.5e0) / 15e0 / sqrt(2e0))")}), 6) AS over_line
+    f"""SELECT c_custkey, round(0.5e0 * (1 + {ERF_SQL.format(x="(d / 12e0 / sqrt(2e0))")}), 10) AS home_win, round(0.5e0 * (1 + {ERF_SQL.format(x="((t - 224.5e0) / 15e0 / sqrt(2e0))")}), 10) AS over_line
     FROM (SELECT c_custkey, (c_custkey % 37) / 2e0 - 9 + 3 AS d, 215 + (c_custkey % 23)::DOUBLE AS t FROM customer)""",
 )
 def margin_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A basketball game's winner and total from an expected margin and total, normally distributed."""
     d, t = (F.col("c_custkey") % 37) / 2 - 9 + model.HOME_POINTS, F.lit(215) + (F.col("c_custkey") % 23).cast("double")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey", F.round(model.normal_cdf(d / model.MARGIN_SD), 6).alias("home_win"), F.round(model.normal_cdf((t - model.POINTS_LINE) / model.TOTAL_SD), 6).alias("over_line")
+        "c_custkey", F.round(model.normal_cdf(d / model.MARGIN_SD), 10).alias("home_win"), F.round(model.normal_cdf((t - model.POINTS_LINE) / model.TOTAL_SD), 10).alias("over_line")
     )
 
 
