@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the models.
@@ -31,23 +31,43 @@ def expected_goals(attack: Column, defence: Column, league_avg: Column, at_home:
     return attack * defence * league_avg * (HOME_FACTOR if at_home else AWAY_FACTOR)
 
 
+#: Columns that with_grid() adds: terms of the home side's goals, and running sums of the away side's, from none to all.
+TERMS, SUMS = "_home_terms", "_away_sums"
+
+
+def with_grid(rows: DataFrame, home: Column, away: Column, max_goals: int = MAX_GOALS) -> DataFrame:
+    """``rows`` with the arrays that markets are summed from, so that a row's Poisson terms are computed once for all of them."""
+    terms = lambda mean: F.array(*[poisson(k, mean) for k in range(max_goals + 1)])
+    sums = [F.lit(0.0)]
+    for k in range(max_goals + 1):
+        sums.append(sums[-1] + F.get("_away_terms", F.lit(k)))
+    return rows.withColumns({TERMS: terms(home), "_away_terms": terms(away)}).withColumn(SUMS, F.array(*sums)).drop("_away_terms")
+
+
 class Grid:
-    """Sums over the cells (x, y) of a normalised score grid; x and y are the goals of home and away."""
+    """Sums over the cells (x, y) of a normalised score grid; x and y are the goals of home and away. ``bound``: the rows went through with_grid()."""
 
-    def __init__(self, home: Column, away: Column, rho: float = RHO, max_goals: int = MAX_GOALS):
+    def __init__(self, home: Column, away: Column, rho: float = RHO, max_goals: int = MAX_GOALS, bound: bool = False):
         self.n = max_goals + 1
-        self.home = [poisson(k, home) for k in range(self.n)]
-        self.away = [poisson(k, away) for k in range(self.n)]
-        self.extra = {(x, y): self.home[x] * self.away[y] * (tau(x, y, home, away, rho) - 1) for x in (0, 1) for y in (0, 1)} if rho else {}
-        self.all = sum(self.home[1:], self.home[0]) * sum(self.away[1:], self.away[0]) + sum(self.extra.values(), F.lit(0.0))
+        if bound:
+            self.home, self.upto = [F.get(TERMS, F.lit(k)) for k in range(self.n)], [F.get(SUMS, F.lit(k)) for k in range(self.n + 1)]
+        else:
+            self.home, self.upto = [poisson(k, home) for k in range(self.n)], [F.lit(0.0)]
+            for k in range(self.n):
+                self.upto.append(self.upto[-1] + poisson(k, away))
+        zero, one = self.upto[1] - self.upto[0], self.upto[2] - self.upto[1]
+        self.extra = {(x, y): self.home[x] * (zero, one)[y] * (tau(x, y, home, away, rho) - 1) for x in (0, 1) for y in (0, 1)} if rho else {}
+        self.all = sum(self.home[1:], self.home[0]) * self.upto[self.n] + sum(self.extra.values(), F.lit(0.0))
 
     def raw(self, wanted) -> Column:
-        """The sum over the cells that ``wanted(x, y)`` names, before normalisation."""
+        """The sum over the cells that ``wanted(x, y)`` names, before normalisation: per x the running sums at the ends of its stretches of y."""
         out = F.lit(0.0)
         for x in range(self.n):
-            ys = [self.away[y] for y in range(self.n) if wanted(x, y)]
-            if ys:
-                out = out + self.home[x] * sum(ys[1:], ys[0])
+            ys = [y for y in range(self.n) if wanted(x, y)]
+            ends = [y for y in ys if y + 1 not in ys]
+            starts = [y for y in ys if y - 1 not in ys]
+            for low, high in zip(starts, ends, strict=True):
+                out = out + self.home[x] * (self.upto[high + 1] - self.upto[low])
         return out + sum((e for cell, e in self.extra.items() if wanted(*cell)), F.lit(0.0))
 
     def p(self, wanted) -> Column:
@@ -57,9 +77,9 @@ class Grid:
         return self.p(lambda a, b: (a, b) == (x, y))
 
 
-def markets(home: Column, away: Column, shift_home: int = 0, shift_away: int = 0, rho: float = RHO) -> dict[str, Column]:
+def markets(home: Column, away: Column, shift_home: int = 0, shift_away: int = 0, rho: float = RHO, bound: bool = False) -> dict[str, Column]:
     """Probabilities by market and outcome, of final scores where the grid counts goals still to come."""
-    grid = Grid(home, away, rho)
+    grid = Grid(home, away, rho, bound=bound)
     at = lambda x, y: (x + shift_home, y + shift_away)
     p = lambda f: grid.p(lambda x, y: f(*at(x, y)))
     out = {"home_win": p(lambda h, a: h > a), "draw": p(lambda h, a: h == a), "away_win": p(lambda h, a: h < a), "btts": p(lambda h, a: h > 0 and a > 0)}

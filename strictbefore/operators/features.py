@@ -36,6 +36,14 @@ def league_average(found: DataFrame, *cohort: str) -> DataFrame:
     return found.join(per, [*cohort, "ts"]).select("fixture_id", *cohort, "prior_matches", "league_avg")
 
 
+def with_league_average(found: DataFrame, *cohort: str) -> DataFrame:
+    """Matches with league_average()'s league_avg beside all their columns."""
+    instants = found.groupBy(*cohort, "ts").agg(F.sum(F.col("home_goals") + F.col("away_goals")).alias("goals"), F.count("*").alias("n"))
+    w = before(*cohort)
+    prior = instants.select(*cohort, "ts", F.try_divide(F.sum("goals").over(w), 2 * F.sum("n").over(w)).alias("league_avg"))
+    return found.join(prior, [*cohort, "ts"])
+
+
 def last_before(rows: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
     """Each row with ``last``: its n latest predecessors strictly before, oldest first, as structs of ``values``.
 

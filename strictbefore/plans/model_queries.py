@@ -17,14 +17,18 @@ COHORT = ("league_id", "season")
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per match of teams with history: expected goals from both teams' and the league's averages before it."""
     found = played(matches(spark, sf_dir))
-    per = features.team_averages(team_rows(found), *COHORT)
-    got = features.both_sides(found, per, ["prior_matches", "avg_for", "avg_against"])
-    league = features.league_average(found, *COHORT).select("fixture_id", "league_avg")
-    got = got.filter("home_prior_matches >= 5 and away_prior_matches >= 5").join(league, "fixture_id")
+    rows = team_rows(found)
+    w = features.before(*COHORT, "team_id")
+    per = rows.select("fixture_id", "at_home", F.count("*").over(w).alias("prior_matches"), F.avg("gf").over(w).alias("avg_for"), F.avg("ga").over(w).alias("avg_against"))
+    # a fixture's two rows become one, by one shuffle for both sides
+    side = lambda name, value, at_home: F.max(F.when(F.col("at_home") == at_home, F.col(value))).alias(f"{name}_{value}")
+    both = per.groupBy("fixture_id").agg(*[side(name, value, at) for name, at in (("home", True), ("away", False)) for value in ("prior_matches", "avg_for", "avg_against")])
+    both = both.filter("home_prior_matches >= 5 and away_prior_matches >= 5")
+    got = features.with_league_average(found, *COHORT).join(both, "fixture_id")
     ratio = lambda c: F.col(c) / F.col("league_avg")
     home = model.expected_goals(ratio("home_avg_for"), ratio("away_avg_against"), F.col("league_avg"), True)
     away = model.expected_goals(ratio("away_avg_for"), ratio("home_avg_against"), F.col("league_avg"), False)
-    return got.withColumn("home_xg", home).withColumn("away_xg", away)
+    return model.with_grid(got.withColumn("home_xg", home).withColumn("away_xg", away), F.col("home_xg"), F.col("away_xg"))
 
 
 RATED_SQL = f"""{MATCHES_SQL}, t AS (
@@ -55,7 +59,7 @@ MARKET_SQL = """round(sum(p) FILTER (x > y), 6) AS home_win, round(sum(p) FILTER
 @query("match_probabilities", f"WITH {RATED_SQL}, {GRID_SQL.format(rows='rated')} SELECT fixture_id, {MARKET_SQL} FROM grid GROUP BY fixture_id")
 def match_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All markets of every match from its expected goals."""
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     return rated(spark, sf_dir).select("fixture_id", *[F.round(p, 6).alias(name) for name, p in ps.items()])
 
 
@@ -73,8 +77,8 @@ def live_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = remaining_minutes((F.col("fixture_id") % 90).cast("int"), F.lit("2H"))
     home, away = (F.lit(0.4) + F.col("home_goals") / 3) * left / 90, (F.lit(0.3) + F.col("away_goals") / 4) * left / 90
-    ps = model.markets(home, away, shift_home=1)
-    return played(matches(spark, sf_dir)).select("fixture_id", *[F.round(ps[k], 6).alias(k) for k in ("home_win", "draw", "away_win", "over_2_5")])
+    ps = model.markets(home, away, shift_home=1, bound=True)
+    return model.with_grid(played(matches(spark, sf_dir)), home, away).select("fixture_id", *[F.round(ps[k], 6).alias(k) for k in ("home_win", "draw", "away_win", "over_2_5")])
 
 
 @query(
@@ -115,7 +119,7 @@ BLEND_SQL = f"""{RATED_SQL}, {GRID_SQL.format(rows="rated")},
 
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match probabilities blended with ratings; a team's rating here follows from its id."""
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     elo = model.elo_outcomes(F.lit(1400.0) + F.col("home_id") * 2, F.lit(1400.0) + F.col("away_id") * 2)
     mixed = model.blend([ps["home_win"], ps["draw"], ps["away_win"]], list(elo))
     return rated(spark, sf_dir).withColumns({"p_home": mixed[0], "p_draw": mixed[1], "p_away": mixed[2]})

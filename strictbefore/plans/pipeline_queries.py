@@ -44,7 +44,8 @@ def historical_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     away_attack = model.blended_ratio(ratio("away_avg_for"), ratio("away_form_for"), ratio("met_against"))
     away_defence = model.blended_ratio(ratio("away_avg_against"), ratio("away_form_against"), ratio("met_for"))
     got = got.withColumn("hx", model.expected_goals(home_attack, away_defence, F.col("league_avg"), True)).withColumn("ax", model.expected_goals(away_attack, home_defence, F.col("league_avg"), False))
-    ps = model.markets(F.col("hx"), F.col("ax"))
+    got = model.with_grid(got, F.col("hx"), F.col("ax"))
+    ps = model.markets(F.col("hx"), F.col("ax"), bound=True)
     return got.select("fixture_id", F.when(F.col("met_for").isNotNull(), 1.0).otherwise(0.85).alias("coverage"), F.round("hx", 6).alias("home_xg"), F.round("ax", 6).alias("away_xg"), *[F.round(ps[k], 6).alias(k) for k in ("home_win", "draw", "away_win")])
 
 
@@ -92,7 +93,7 @@ def accuracy_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the likelier side of each total was right."""
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     lines = F.array(*[F.struct(F.lit(line).alias("line"), ps[f"over_{line}".replace(".", "_")].alias("p")) for line in (1.5, 2.5, 3.5)])
     rows = rated(spark, sf_dir).select((F.col("home_goals") + F.col("away_goals")).alias("total"), F.explode(lines).alias("l"))
     hit = (F.col("l.p") >= 0.5) == (F.col("total") > F.col("l.line"))

@@ -55,7 +55,7 @@ def best_sql(labels: list[str]) -> tuple[str, str]:
 )
 def safest_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most probable label of every market; said for information, no decision."""
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     found = rated(spark, sf_dir).withColumns({f"_{label}": F.round(ps[label], 9) for label in LABELS})  # so that equal teams tie
     best = decision.safest({market: {label: F.col(f"_{label}") for label in labels} for market, labels in MARKETS.items()})
     return found.select("fixture_id", *[c for market, b in best.items() for c in (b["label"].alias(market), F.round(b["probability"], 6).alias(f"{market}_p"))])
@@ -73,7 +73,7 @@ def safest_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every market of a payload against the others; some payloads are broken by rule."""
     k = F.col("fixture_id") % 13
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     found = rated(spark, sf_dir).withColumns({f"_{label}": ps[label] for label in LABELS})
     own = {label: F.col(f"_{label}") for label in LABELS}
     broken = {"over_2_5": (1, own["over_2_5"] + 0.4), "away_or_draw": (2, own["away_or_draw"] - 0.06), "btts": (3, F.lit(-0.1)), "home_win": (4, own["home_win"] / 9), "over_4_5": (5, own["over_4_5"] + 0.5)}
@@ -94,7 +94,7 @@ PRICED = ["home_win", "draw", "away_win", "over_2_5", "btts", "home_or_draw"]
 )
 def all_market_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge and expected value of every market that has a price; prices follow from the key."""
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     entries = F.array(*[F.struct(F.lit(label).alias("market"), ps[label].alias("p"), (F.lit(0.9) + (F.col("fixture_id") + n * 37) % 400 / 100).alias("odds")) for n, label in enumerate(PRICED)])
     rows = rated(spark, sf_dir).select("fixture_id", "kickoff_at", "odds_at", F.explode(entries).alias("e"))
     said = decision.odds_analysis(F.col("e.p"), F.col("e.odds"), F.col("odds_at"), F.col("kickoff_at"))
@@ -113,7 +113,7 @@ def market_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label of every market picked, settled and scored."""
     from strictbefore.functions import grading
 
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     settled = grading.result_markets(F.col("reg_home"), F.col("reg_away")) | grading.goal_markets(F.col("home_goals"), F.col("away_goals"))
     settled |= {o: settled["result"] == o for o in OUTCOMES}
     entries = F.array(*[F.struct(F.lit(label).alias("market"), ps[label].alias("p"), settled[label].alias("y")) for label in LABELS])
@@ -214,7 +214,7 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = played(matches(spark, sf_dir))
     ratings = elo.ratings(found, *COHORT).select("fixture_id", "home_rating", "away_rating")
     meetings = features.head_to_head(found).select("fixture_id", "meetings")
-    ps = model.markets(F.col("home_xg"), F.col("away_xg"))
+    ps = model.markets(F.col("home_xg"), F.col("away_xg"), bound=True)
     rows = rated(spark, sf_dir).join(ratings, "fixture_id").join(meetings, "fixture_id")
     mixed = model.blend([ps[o] for o in OUTCOMES], list(model.elo_outcomes(F.col("home_rating"), F.col("away_rating"))))
     raw = rows.withColumns(dict(zip(("p_home", "p_draw", "p_away"), mixed, strict=True))).withColumn("actual", policy.outcome(F.col("reg_home"), F.col("reg_away")))
