@@ -119,9 +119,11 @@ def quotas(per_source: DataFrame, block: int) -> DataFrame:
 def slots(quota: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: shard, slot, place of the source, pass, block and how many of the block's words it takes.
 
-    Explodes by runs of takes first, so that no row makes more than a shard's.
+    Explodes by runs of takes first, so that no row makes more than a shard's; the runs are few bytes that stand for much work, so
+    they are dealt to a fixed number of tasks.
     """
-    runs = quota.filter("take > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1) / shard_slots)))).repartition("place", "run")
+    parts = int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = quota.filter("take > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1) / shard_slots)))).repartition(parts, "place", "run")
     in_run = F.sequence(F.col("run") * shard_slots, F.least((F.col("run") + 1) * shard_slots, F.col("take")) - 1)
     takes = runs.withColumn("k", F.explode(in_run)).withColumn("nth", F.col("k") % F.col("blocks"))
     slot = shuffled(F.col("start") + F.col("k"), F.col("slots"), F.lit("slots"))
