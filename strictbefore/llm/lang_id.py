@@ -183,7 +183,7 @@ def document_probabilities(net: Network, texts: pa.Array) -> np.ndarray:
     for at in range(0, len(doc), BATCH):
         one, n = start[at : at + BATCH], size[at : at + BATCH]
         inside = place < n
-        x = np.where(inside, data[np.minimum(one + place, len(data) - 1)], PAD).astype(np.intp)
+        x = np.where(inside, data[np.minimum(one + place, len(data) - 1)].astype(np.intp), PAD)  # a byte can't hold the padding
         p = position_probabilities(net, x)
         pooled = np.einsum("tlb,tb->bl", p, inside.astype(np.float32))
         np.add.at(sums, doc[at : at + BATCH], pooled)
