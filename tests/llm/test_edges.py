@@ -313,7 +313,7 @@ def test_probabilities_against_a_plain_network():
 
 
 def test_language_of_odd_tables(spark):
-    rows = [(1, "the cat and the dog", "en", 5), (1, "the cat and the dog", "en", 5), (2, "le chat et le chien " * 30000, "fr", 0), (3, None, None, 0), (None, "la la", None, 0)]
+    rows = [(1, "the cat and the dog", "en", 5), (1, "the cat and the dog", "en", 5), (2, "le 5 et la une " * 30000, "fr", 0), (3, None, None, 0), (None, "la la", None, 0)]
     rows += [(10 + i, f"the {i} and of it", "en", 0) for i in range(40)] + [(60 + i, f"le {i} et la une", "fr", 0) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     net = lang_id.learn(docs)
