@@ -10,8 +10,13 @@ from strictbefore.plans.matches import MATCHES_SQL, matches
 from strictbefore.plans.scalar_queries import pick, pick_sql
 from strictbefore.sources import feeds, readers, sinks
 
-K = F.col("fixture_id")
-ISO = F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+def key() -> Column:
+    return F.col("fixture_id")
+
+
+def iso() -> Column:
+    return F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def named(side: str) -> Column:
@@ -28,7 +33,7 @@ def lines(rows: DataFrame, doc: Column, label: str) -> str:
 def documents(rows: DataFrame, by: str, entry: Column, wrap: Column, label: str) -> str:
     """A folder of JSON documents, one file per value of ``by`` with that value's entries, at most a season's worth each."""
     path = sinks.scratch(rows.sparkSession, label)
-    entries = rows.groupBy(F.col(by).alias("_by"), F.pmod(K, F.lit(64)).alias("_part")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    entries = rows.groupBy(F.col(by).alias("_by"), F.pmod(key(), F.lit(64)).alias("_part")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     entries.select(F.to_json(wrap, {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -50,14 +55,14 @@ def read_fixture_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     team = lambda side: F.struct(text(f"{side}_id").alias("id"), named(side).alias("name"))
     stat = lambda name, value: F.struct(F.lit(name).alias("type"), value.cast("string").alias("value"))
-    block = F.struct(F.struct(text("home_id").alias("id")).alias("team"), F.array(stat("Corner Kicks", K % 3), stat("Ball Possession", F.concat(K % 60, F.lit("%")))).alias("statistics"))
-    shootout = pair(F.when(K % 6 == 0, "4"), F.when(K % 6 == 0, "3"))
+    block = F.struct(F.struct(text("home_id").alias("id")).alias("team"), F.array(stat("Corner Kicks", key() % 3), stat("Ball Possession", F.concat(key() % 60, F.lit("%")))).alias("statistics"))
+    shootout = pair(F.when(key() % 6 == 0, "4"), F.when(key() % 6 == 0, "3"))
     none = pair(F.lit(None).cast("string"), F.lit(None).cast("string"))
     doc = F.struct(
-        F.struct(text("fixture_id").alias("id"), ISO.alias("date"), F.struct(F.col("status_short").alias("short")).alias("status")).alias("fixture"), F.struct(text("league_id").alias("id"), text("season").alias("season")).alias("league"),
+        F.struct(text("fixture_id").alias("id"), iso().alias("date"), F.struct(F.col("status_short").alias("short")).alias("status")).alias("fixture"), F.struct(text("league_id").alias("id"), text("season").alias("season")).alias("league"),
         pair(team("home"), team("away")).alias("teams"), pair(text("home_goals"), text("away_goals")).alias("goals"),
-        F.struct(pair(text("reg_home"), text("reg_away")).alias("fulltime"), F.when(K % 12 == 0, shootout).otherwise(none).alias("penalty"), F.when(K % 12 == 6, shootout).otherwise(none).alias("penalty_shootout")).alias("score"),
-        F.when(K % 2 == 0, F.array(block)).alias("statistics"),
+        F.struct(pair(text("reg_home"), text("reg_away")).alias("fulltime"), F.when(key() % 12 == 0, shootout).otherwise(none).alias("penalty"), F.when(key() % 12 == 6, shootout).otherwise(none).alias("penalty_shootout")).alias("score"),
+        F.when(key() % 2 == 0, F.array(block)).alias("statistics"),
     )
     got = readers.fixture_payloads(spark, lines(matches(spark, sf_dir), doc, "payloads"))
     corners = F.get(F.filter("statistics", lambda s: s["type"] == "Corner Kicks"), F.lit(0))["value"]
@@ -71,9 +76,9 @@ LISTED_CODES = ["FT", "NS", "NS", "1H", "HT", "PST", "CANC", "SUSP", "NS"]
 @query("read_listed_matches", f"WITH {MATCHES_SQL} SELECT fixture_id, kickoff_at, {pick_sql(LISTED_CODES, 'fixture_id')} AS status_short, CASE WHEN fixture_id % 2 = 0 THEN 'T' || home_id ELSE 'Team ' || home_id END AS home_team, home_goals, away_goals FROM matches")
 def read_listed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixture-list API's pages: statuses by name, short names first."""
-    short = lambda side: F.when(K % 2 == 0, F.concat(F.lit("T"), F.col(f"{side}_id")))
+    short = lambda side: F.when(key() % 2 == 0, F.concat(F.lit("T"), F.col(f"{side}_id")))
     team = lambda side: F.struct(F.col(f"{side}_id").alias("id"), named(side).alias("name"), short(side).alias("shortName"))
-    entry = F.struct(K.alias("id"), ISO.alias("utcDate"), pick(LISTED, K).alias("status"), team("home").alias("homeTeam"), team("away").alias("awayTeam"), F.struct(pair(F.col("home_goals"), F.col("away_goals")).alias("fullTime")).alias("score"))
+    entry = F.struct(key().alias("id"), iso().alias("utcDate"), pick(LISTED, key()).alias("status"), team("home").alias("homeTeam"), team("away").alias("awayTeam"), F.struct(pair(F.col("home_goals"), F.col("away_goals")).alias("fullTime")).alias("score"))
     path = documents(matches(spark, sf_dir), "season", entry, F.struct(F.col("_entries").alias("matches")), "listed")
     return feeds.listed_matches(spark, path, 1, 2000).select("fixture_id", "kickoff_at", "status_short", "home_team", F.col("home_goals").cast("long").alias("home_goals"), F.col("away_goals").cast("long").alias("away_goals"))
 
@@ -84,8 +89,8 @@ def read_listed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def read_union_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A federation's matches; what isn't a finished match says why."""
-    team = lambda side: F.struct(F.col(f"{side}_id").cast("string").alias("id"), F.when(K % 9 > 0, named(side)).alias("internationalName"))
-    doc = F.struct(K.cast("string").alias("id"), team("home").alias("homeTeam"), team("away").alias("awayTeam"), F.struct(ISO.alias("dateTime")).alias("kickOffTime"), F.col("status_short").alias("status"), F.struct(pair(F.col("home_goals"), F.col("away_goals")).alias("total")).alias("score"))
+    team = lambda side: F.struct(F.col(f"{side}_id").cast("string").alias("id"), F.when(key() % 9 > 0, named(side)).alias("internationalName"))
+    doc = F.struct(key().cast("string").alias("id"), team("home").alias("homeTeam"), team("away").alias("awayTeam"), F.struct(iso().alias("dateTime")).alias("kickOffTime"), F.col("status_short").alias("status"), F.struct(pair(F.col("home_goals"), F.col("away_goals")).alias("total")).alias("score"))
     got = feeds.union_matches(spark, lines(matches(spark, sf_dir), doc, "union"), 2, 2000)
     return got.select("fixture_id", "kickoff_at", F.col("home_goals").cast("long").alias("home_goals"), "reject")
 
@@ -98,11 +103,11 @@ def read_union_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def read_scoreboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly scoreboards: one row per event, in its phase or set aside with a reason. Every event is landed twice."""
-    uid = F.when(K % 10 == 0, "").when(K % 10 == 1, F.concat(F.lit("s:600~l:1~e:"), K)).when(K % 10 == 2, F.concat(F.lit("s:40~l:46~e:9"), K)).otherwise(F.concat(F.lit("s:40~l:46~e:"), K))
+    uid = F.when(key() % 10 == 0, "").when(key() % 10 == 1, F.concat(F.lit("s:600~l:1~e:"), key())).when(key() % 10 == 2, F.concat(F.lit("s:40~l:46~e:9"), key())).otherwise(F.concat(F.lit("s:40~l:46~e:"), key()))
     side = lambda name: F.struct(F.lit(name).alias("homeAway"), F.col(f"{name}_goals").cast("string").alias("score"), F.struct(F.col(f"{name}_id").cast("string").alias("id"), F.concat(F.lit("s:40~l:46~t:"), F.col(f"{name}_id")).alias("uid"), named(name).alias("displayName")).alias("team"))
-    kind = F.struct(F.when(K % 7 == 0, "4").otherwise("1").alias("id"), F.lit("STD").alias("abbreviation"))
+    kind = F.struct(F.when(key() % 7 == 0, "4").otherwise("1").alias("id"), F.lit("STD").alias("abbreviation"))
     entry = F.struct(
-        K.cast("string").alias("id"), uid.alias("uid"), ISO.alias("date"), F.struct(F.col("season").cast("string").alias("year"), (K % 5 + 1).cast("string").alias("type")).alias("season"), F.struct(F.struct((F.col("status_short") != "NS").alias("completed")).alias("type")).alias("status"),
+        key().cast("string").alias("id"), uid.alias("uid"), iso().alias("date"), F.struct(F.col("season").cast("string").alias("year"), (key() % 5 + 1).cast("string").alias("type")).alias("season"), F.struct(F.struct((F.col("status_short") != "NS").alias("completed")).alias("type")).alias("status"),
         F.array(F.struct(kind.alias("type"), F.array(side("home"), side("away")).alias("competitors"))).alias("competitions"),
     )
     found = matches(spark, sf_dir)
@@ -114,7 +119,7 @@ def read_scoreboards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_day_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day listings over all leagues; a match that two of them hold counts once."""
     side = lambda name: F.struct(named(name).alias("name"), F.col(f"{name}_goals").alias("score"))
-    entry = F.struct(K.cast("string").alias("id"), F.when(K % 4 == 0, 6).otherwise(1).alias("statusId"), F.struct((F.col("status_short") != "NS").alias("finished"), ISO.alias("utcTime")).alias("status"), side("home").alias("home"), side("away").alias("away"))
+    entry = F.struct(key().cast("string").alias("id"), F.when(key() % 4 == 0, 6).otherwise(1).alias("statusId"), F.struct((F.col("status_short") != "NS").alias("finished"), iso().alias("utcTime")).alias("status"), side("home").alias("home"), side("away").alias("away"))
     found = matches(spark, sf_dir)
     wrap = F.struct(F.array(F.struct(F.concat(F.lit("League "), "_by").alias("name"), F.col("_entries").alias("matches"))).alias("leagues"))
     got = feeds.day_listing(spark, documents(found.unionByName(found), "league_id", entry, wrap, "days"))
@@ -126,8 +131,8 @@ def read_match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A match's statistics by their keys: shares, decimals, and null where the feed has none."""
     figure = lambda key, home, away: F.struct(F.lit(key).alias("key"), F.array(home.cast("string"), away.cast("string")).alias("stats"))
     share = lambda n: F.concat(n.cast("string"), F.lit("%"))
-    groups = F.array(F.struct(F.array(figure("BallPossesion", share(K % 100), share(100 - K % 100))).alias("stats")), F.struct(F.array(figure("expected_goals", F.when(K % 3 > 0, (K % 40) / 10), F.lit(None))).alias("stats")))
-    doc = F.struct(K.cast("string").alias("matchId"), F.struct(F.struct(F.struct(F.struct(groups.alias("stats")).alias("All")).alias("Periods")).alias("stats")).alias("content"))
+    groups = F.array(F.struct(F.array(figure("BallPossesion", share(key() % 100), share(100 - key() % 100))).alias("stats")), F.struct(F.array(figure("expected_goals", F.when(key() % 3 > 0, (key() % 40) / 10), F.lit(None))).alias("stats")))
+    doc = F.struct(key().cast("string").alias("matchId"), F.struct(F.struct(F.struct(F.struct(groups.alias("stats")).alias("All")).alias("Periods")).alias("stats")).alias("content"))
     got = feeds.match_details(spark, lines(matches(spark, sf_dir), doc, "details"))
     return got.select(F.col("matchId").alias("match_id"), "home_possession", "away_possession", "home_xg", "home_corners")
 
@@ -141,8 +146,8 @@ def read_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = lambda side: F.struct(F.col(f"{side}_id").alias("teamId"), named(side).alias("teamName"))
     result = lambda kind, name, order, plus: F.struct(F.lit(kind).alias("resultTypeID"), F.lit(name).alias("resultName"), F.lit(order).alias("resultOrderID"), (F.col("home_goals") + plus).alias("pointsTeam1"), (F.col("away_goals") + plus).alias("pointsTeam2"))
     half = result(1, "Halbzeit", 1, 9)
-    results = F.when(K % 3 == 0, F.array(half, result(3, "Endergebnis", 2, 0), result(2, "other", 3, 5))).when(K % 3 == 1, F.array(half, result(2, "other", 2, 1), result(5, "later", 9, 7))).otherwise(F.array(half, result(7, "x", 4, 2), result(8, "y", 3, 3)))
-    entry = F.struct(K.alias("matchID"), ISO.alias("matchDateTimeUTC"), team("home").alias("team1"), team("away").alias("team2"), (F.col("status_short") != "NS").alias("matchIsFinished"), results.alias("matchResults"))
+    results = F.when(key() % 3 == 0, F.array(half, result(3, "Endergebnis", 2, 0), result(2, "other", 3, 5))).when(key() % 3 == 1, F.array(half, result(2, "other", 2, 1), result(5, "later", 9, 7))).otherwise(F.array(half, result(7, "x", 4, 2), result(8, "y", 3, 3)))
+    entry = F.struct(key().alias("matchID"), iso().alias("matchDateTimeUTC"), team("home").alias("team1"), team("away").alias("team2"), (F.col("status_short") != "NS").alias("matchIsFinished"), results.alias("matchResults"))
     got = readers.result_rows(spark, documents(matches(spark, sf_dir), "season", entry, F.col("_entries"), "results"))
     return got.select("fixture_id", "kickoff_at", "home_team", "status_short", F.col("home_goals").cast("long").alias("home_goals"))
 
@@ -154,9 +159,9 @@ def read_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_odds_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head-to-head prices by bookmaker; other markets and prices of 1 play no part."""
     outcome = lambda name, price: F.struct(name.alias("name"), price.alias("price"))
-    h2h = F.struct(F.lit("h2h").alias("key"), F.array(outcome(named("home"), F.col("odds")), outcome(F.lit("Draw"), F.col("odds") + 0.9), outcome(named("away"), F.when(K % 5 > 0, F.col("odds") + 1.7).otherwise(1.0))).alias("outcomes"))
+    h2h = F.struct(F.lit("h2h").alias("key"), F.array(outcome(named("home"), F.col("odds")), outcome(F.lit("Draw"), F.col("odds") + 0.9), outcome(named("away"), F.when(key() % 5 > 0, F.col("odds") + 1.7).otherwise(1.0))).alias("outcomes"))
     totals = F.struct(F.lit("totals").alias("key"), F.array(outcome(named("home"), F.lit(9.0))).alias("outcomes"))
-    entry = F.struct(K.alias("id"), named("home").alias("home_team"), named("away").alias("away_team"), F.array(F.struct(F.lit("book").alias("key"), F.array(h2h, totals).alias("markets"))).alias("bookmakers"))
+    entry = F.struct(key().alias("id"), named("home").alias("home_team"), named("away").alias("away_team"), F.array(F.struct(F.lit("book").alias("key"), F.array(h2h, totals).alias("markets"))).alias("bookmakers"))
     got = feeds.odds_events(spark, documents(matches(spark, sf_dir), "season", entry, F.col("_entries"), "odds"))
     teams = F.concat_ws("-", F.regexp_extract("home_team", r"(\d+)", 1), F.regexp_extract("away_team", r"(\d+)", 1))
     return got.groupBy(teams.alias("pair"), "outcome").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
@@ -173,8 +178,8 @@ CSV_GOALS = "CASE WHEN fixture_id % 8 = 3 THEN -1 ELSE home_goals END"
 def read_csv_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A season's CSV with padded headers in odd case behind a byte order mark; rows that can't be used say why."""
     found = matches(spark, sf_dir).select(
-        F.date_format("kickoff_at", "dd/MM/yyyy").alias("﻿date "), F.when(K % 8 != 1, named("home")).alias("HOMETEAM"), F.when(K % 8 == 2, named("home")).otherwise(named("away")).alias(" AwayTeam"),
-        F.when(K % 8 == 3, -1).otherwise(F.col("home_goals")).alias("fthg"), F.col("away_goals").alias("FTAG"), (K % 20).alias("HS"),
+        F.date_format("kickoff_at", "dd/MM/yyyy").alias("﻿date "), F.when(key() % 8 != 1, named("home")).alias("HOMETEAM"), F.when(key() % 8 == 2, named("home")).otherwise(named("away")).alias(" AwayTeam"),
+        F.when(key() % 8 == 3, -1).otherwise(F.col("home_goals")).alias("fthg"), F.col("away_goals").alias("FTAG"), (key() % 20).alias("HS"),
     )
     path = sinks.scratch(spark, "csv")
     found.write.option("header", True).csv(path)
@@ -191,11 +196,11 @@ def read_football_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Football.TXT files, one a match here: a stage, a day and a score line, the first two carried forward to it."""
     found = matches(spark, sf_dir).filter("status_short in ('FT', 'AET', 'PEN') and home_goals is not null and away_goals is not null")
     score = F.concat_ws("-", "home_goals", "away_goals")
-    tail = F.when(K % 2 == 0, F.lit(" a.e.t. (0-0, 0-0)")).otherwise(F.lit(""))
-    text = F.concat_ws("\n", F.lit("# a comment"), F.concat(F.lit("▪ Matchday "), F.col("season") % 7), F.date_format("kickoff_at", "EEE MMM/d yyyy"), F.concat(F.lit("  15:00  "), named("home"), F.lit(" v "), named("away"), F.lit("  "), score, tail), F.concat(F.lit("# "), K), F.lit(""))
+    tail = F.when(key() % 2 == 0, F.lit(" a.e.t. (0-0, 0-0)")).otherwise(F.lit(""))
+    text = F.concat_ws("\n", F.lit("# a comment"), F.concat(F.lit("▪ Matchday "), F.col("season") % 7), F.date_format("kickoff_at", "EEE MMM/d yyyy"), F.concat(F.lit("  15:00  "), named("home"), F.lit(" v "), named("away"), F.lit("  "), score, tail), F.concat(F.lit("# "), key()), F.lit(""))
     path = sinks.scratch(spark, "txt")
     # a file per season and part keeps every block's lines together
-    blocks = found.groupBy("season", F.pmod(K, F.lit(16)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("value"))
+    blocks = found.groupBy("season", F.pmod(key(), F.lit(16)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("value"))
     blocks.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     got = readers.football_txt(spark, path, 2000)
     return got.select("stage", "day", "home_team", "away_team", F.col("home").cast("long").alias("home"), "status", F.col("full_home").cast("long").alias("full_home"))
