@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.llm import bpe, chat, exact_dedup, lang_id, mixing, simhash, token_counts, token_files, topk, url_filter
+from strictbefore.llm import bpe, chat, exact_dedup, lang_id, mixing, runs, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -251,3 +251,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select(
         F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find(table(spark, sf_dir, "documents"), rewrite=True).withColumnRenamed("id", "doc_id").drop("runs", "collapsed")
