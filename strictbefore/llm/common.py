@@ -89,3 +89,24 @@ def without_white(text: Column) -> Column:
     for c in " \t\n\x0b\x0c\r":
         out = F.replace(out, F.lit(c), F.lit(""))
     return out
+
+
+def bucketed(df: DataFrame, label: str, buckets: int, *keys: str) -> DataFrame:
+    """Write ``df`` in the shared folder by buckets of its keys: joins of two such tables by these keys move no rows.
+
+    The folder outlives the session's catalog entry, which ``forget`` takes back.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    found = spark.table(name)
+    found._bucketed = name
+    return found
+
+
+def forget(table: DataFrame) -> None:
+    """Take a bucketed table out of the session's catalog and its files out of the shared folder: nothing reads it any more."""
+    spark, name = table.sparkSession, table._bucketed
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.llm import bpe, chat, exact_dedup, lang_id, mixing, runs, simhash, token_counts, token_files, topk, url_filter
+from strictbefore.llm import bpe, chat, delta_lloyd, exact_dedup, lang_id, mixing, runs, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -256,3 +256,38 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find(table(spark, sf_dir, "documents"), rewrite=True).withColumnRenamed("id", "doc_id").drop("runs", "collapsed")
+
+
+def lloyd_sql(k: int = delta_lloyd.K, rounds: int = delta_lloyd.ROUNDS, dims: int = delta_lloyd.DIMS, salt: int = delta_lloyd.SALT, scale: int = delta_lloyd.SCALE) -> str:
+    """Lloyd's rounds written out one after another: each assigns all vectors afresh."""
+    parts = [
+        f"""v AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})) AS q FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    n AS MATERIALIZED (SELECT vec_id, q, list_inner_product(q, q) AS qq FROM v),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id), q) - 1 AS cluster, q AS m FROM v WHERE vec_id IS NOT NULL ORDER BY cluster LIMIT {k})"""
+    ]
+    for turn in range(rounds + 1):
+        parts.append(f"""a{turn} AS MATERIALIZED (
+      SELECT vec_id, q, d, cluster FROM (
+        SELECT vec_id, q, cluster, qq - 2 * list_inner_product(q, m) + list_inner_product(m, m) AS d,
+               row_number() OVER (PARTITION BY vec_id ORDER BY qq - 2 * list_inner_product(q, m) + list_inner_product(m, m), cluster) AS place
+        FROM n CROSS JOIN c{turn}) WHERE place = 1)""")
+        if turn < rounds:
+            parts.append(f"""s{turn} AS (
+      SELECT cluster, i, sum(q[i])::BIGINT AS t, count(*) AS n FROM a{turn} CROSS JOIN range(1, {dims + 1}) AS r(i) GROUP BY cluster, i),
+    c{turn + 1} AS MATERIALIZED (
+      SELECT c.cluster, coalesce(x.m, c.m) AS m FROM c{turn} c
+      LEFT JOIN (SELECT cluster, list(((t - (t % n + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM s{turn} GROUP BY cluster) x USING (cluster))""")
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT vec_id, cluster::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cluster)
+    """
+
+
+@query("op11_delta_lloyd", lloyd_sql())
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
