@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.llm import bpe, chat, delta_lloyd, exact_dedup, lang_id, mixing, runs, simhash, token_counts, token_files, topk, url_filter
+from strictbefore.llm import bpe, chat, delta_lloyd, exact_dedup, lang_id, mixing, pitman_yor, runs, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,3 +291,8 @@ def lloyd_sql(k: int = delta_lloyd.K, rounds: int = delta_lloyd.ROUNDS, dims: in
 @query("op11_delta_lloyd", lloyd_sql())
 def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op12_pitman_yor")
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
