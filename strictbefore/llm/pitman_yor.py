@@ -51,6 +51,10 @@ BURN, SAMPLES = 1, 3
 ROUNDS = 4
 #: Customers of a dish up to which its tables are drawn from the exact conditional; the growth of a step beyond.
 EXACT, GROWTH = 48, 1 / 16
+#: Ranges of hashes per shuffle partition: a range's pairs are one row.
+RANGES = 2
+#: Pairs asked for that are added up at a time.
+SLICE = 1 << 19
 #: Tokens of a chunk, documents of a block, documents looked at for the layout.
 CHUNK, BLOCK, SAMPLE_ROWS = 1 << 19, 1024, 4000
 #: Words whose hashes a worker remembers.
@@ -292,9 +296,10 @@ def counted(packed: DataFrame, hot: np.ndarray) -> DataFrame:
         w_keys, w_at = np.unique(np.concatenate(ws), return_inverse=True)
         code = u_at[np.concatenate(ui)] * len(w_keys) + w_at[np.concatenate(wi)]
         doc, train, docs = np.concatenate(di), np.concatenate(train), np.concatenate(docs, axis=1)
-        del us, ws, ui, wi, di
+        del us, ws, ui, wi, di, u_at, w_at, table
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order].astype(np.int32)
+        del order
         first = np.flatnonzero(np.diff(code, prepend=-1))
         c = np.add.reduceat(train[doc].astype(np.int32), first)
         gu, gw = (code[first] // len(w_keys)).astype(np.int32), (code[first] % len(w_keys)).astype(np.int32)
@@ -511,9 +516,14 @@ def scored(m: Model, answered: DataFrame) -> DataFrame:
             known = (c_w > 0)[own.w]
             asked, doc = unpack(r["asked"])
             docs = np.stack(unpack(r["docs"]))
-            gram = np.repeat(np.arange(len(asked)), asked)
-            size = docs.shape[1]
-            sums = [np.bincount(doc, log_p[gram], size), np.bincount(doc, log_base[gram], size), np.bincount(doc, known[gram], size).astype(np.int32), np.bincount(doc, minlength=size).astype(np.int32)]
+            size, ends = docs.shape[1], np.cumsum(asked)
+            sums = [np.zeros(size), np.zeros(size), np.zeros(size), np.bincount(doc, minlength=size).astype(np.int32)]
+            for at in range(0, len(doc), SLICE):
+                some = doc[at : at + SLICE]
+                gram = np.searchsorted(ends, np.arange(at, at + len(some)), side="right")
+                for total, values in zip(sums, (log_p, log_base, known), strict=False):
+                    total += np.bincount(some, values[gram], size)
+            sums[2] = sums[2].astype(np.int32)
             order = np.lexsort((docs[2], docs[1], docs[0]))
             docs, sums = docs[:, order], [s[order] for s in sums]
             block = docs[2] // BLOCK
@@ -602,7 +612,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     (row,) = fresh(docs, "row")
     docs = keyed(docs, row)
     place = [docs[row][k].alias(k) for k in KEYS]
