@@ -92,6 +92,45 @@ def markets(home: Column, away: Column, shift_home: int = 0, shift_away: int = 0
     return out
 
 
+#: Columns that with_outlook() adds: chances that the goals still to come differ by k or more, k from -MAX_GOALS, and that they are k or more in all.
+MARGINS, TOTALS = "_margins", "_totals"
+
+
+def with_outlook(rows: DataFrame, home: Column, away: Column, max_goals: int = MAX_GOALS) -> DataFrame:
+    """``rows`` with what the markets of a match under way need, whatever its score: tails of the margin and of the total of goals still to come."""
+    bound = with_grid(rows, home, away, max_goals)
+    grid = Grid(home, away, bound=True)
+
+    def tails(chances: list[Column]) -> Column:
+        sums = [F.lit(0.0)]
+        for p in reversed(chances):
+            sums.append(sums[-1] + p)
+        return F.array(*reversed(sums))
+
+    parts = {
+        "_margin": F.array(*[grid.p(lambda x, y, k=k: x - y == k) for k in range(-max_goals, max_goals + 1)]),
+        "_total": F.array(*[grid.p(lambda x, y, k=k: x + y == k) for k in range(2 * max_goals + 1)]),
+    }
+    each = lambda name: [F.get(name, F.lit(k)) for k in range(2 * max_goals + 1)]
+    out = bound.withColumns(parts).withColumns({MARGINS: tails(each("_margin")), TOTALS: tails(each("_total"))})
+    return out.drop("_margin", "_total", TERMS, SUMS)
+
+
+def live_markets(home: Column, away: Column, home_goals: Column, away_goals: Column, max_goals: int = MAX_GOALS) -> dict[str, Column]:
+    """Probabilities of final scores of rows that went through with_outlook(), ``home`` and ``away`` being the goals still expected."""
+    at = lambda tails, k: F.get(tails, F.greatest(F.lit(0), F.least(F.lit(2 * max_goals + 1), k)).cast("int"))
+    lead, scored = home_goals - away_goals, home_goals + away_goals
+    win, not_lost = at(MARGINS, max_goals + 1 - lead), at(MARGINS, max_goals - lead)
+    out = {"home_win": win, "draw": not_lost - win, "away_win": 1 - not_lost}
+    out |= {"home_or_draw": out["home_win"] + out["draw"], "away_or_draw": out["away_win"] + out["draw"], "home_or_away": out["home_win"] + out["away_win"]}
+    for line in (1.5, 2.5, 3.5):
+        over = at(TOTALS, math.ceil(line) - scored)
+        out |= {f"over_{line}".replace(".", "_"): over, f"under_{line}".replace(".", "_"): 1 - over}
+    some = lambda goals, mean: F.when(goals >= 1, 1.0).otherwise(1 - F.exp(-mean))
+    out["btts"] = some(home_goals, home) * some(away_goals, away)
+    return out | {"btts_no": 1 - out["btts"]}
+
+
 def cards_over(home: Column, away: Column, line: float, most: int = 20) -> Column:
     """P(total cards > line), Poisson with the two means' sum, cut at ``most``."""
     mean = home + away

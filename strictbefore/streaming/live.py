@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strictbefore.functions.model import START_RATING
-from strictbefore.operators.elo import update
+from strictbefore.functions import model
+from strictbefore.functions.time import remaining_minutes
+from strictbefore.operators.reconcile import keep_first
+from strictbefore.streaming.stateful import live_ratings
+
+__all__ = ["live_ratings", "scored", "sessions", "windowed_counts", "without_repeats"]
+#: Fixtures whose expected goals are sent to all tasks; more of them meet the stream by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -31,40 +33,17 @@ def without_repeats(events: DataFrame, keys: list[str], late: str = "1 hour") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-RATING = "league_id long, fixture_id long, ts timestamp, home_rating double, away_rating double"
-STATE = "teams array<long>, ratings array<double>, waiting array<struct<fixture_id:long,ts:timestamp,home_id:long,away_id:long,home_goals:long,away_goals:long>>"
-FIELDS = ["fixture_id", "ts", "home_id", "away_id", "home_goals", "away_goals"]
-
-
-def _rate(state: dict[int, float], due: pd.DataFrame) -> list[tuple]:
-    out = []
-    for ts, instant in due.sort_values(["ts", "fixture_id"]).groupby("ts", sort=True):
-        out += [(m.fixture_id, ts, state.get(m.home_id, START_RATING), state.get(m.away_id, START_RATING)) for m in instant.itertuples()]
-        for m in instant.itertuples():
-            pair = update(state.get(m.home_id, START_RATING), state.get(m.away_id, START_RATING), m.home_goals, m.away_goals)
-            state[m.home_id], state[m.away_id] = pair
-    return out
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Matches wait until the watermark has passed them, then are rated in time order, so late ones don't change the result."""
-    teams, ratings, waiting = state.get if state.exists else ([], [], [])
-    known = dict(zip(teams, ratings, strict=True))
-    rows = [pd.DataFrame(waiting, columns=FIELDS)] if waiting else []
-    rows += [b[FIELDS] for b in batches] if not state.hasTimedOut else []
-    held = pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(columns=FIELDS)
-    mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-    held["ts"] = pd.to_datetime(held["ts"])
-    due, rest = held[held.ts < mark], held[held.ts >= mark]
-    done = _rate(known, due)
-    later = [(int(r.fixture_id), r.ts.to_pydatetime(), int(r.home_id), int(r.away_id), int(r.home_goals), int(r.away_goals)) for r in rest.itertuples()]
-    state.update((list(known), [float(v) for v in known.values()], later))
-    if later:
-        state.setTimeoutTimestamp(int(rest.ts.min().value // 1_000_000) + 1)
-    yield pd.DataFrame([(key[0], *r) for r in done], columns=["league_id", "fixture_id", "ts", "home_rating", "away_rating"])
-
-
-def live_ratings(found: DataFrame, late: str = "1 day") -> DataFrame:
-    """Ratings before each match of a stream of finished matches, keyed by league as a match moves two teams."""
-    slim = found.withWatermark("ts", late).select("league_id", *FIELDS)
-    return slim.groupBy("league_id").applyInPandasWithState(_step, RATING, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def scored(scores: DataFrame, expected: DataFrame) -> DataFrame:
+    """The markets of each score (fixture_id, elapsed, status_short, home_goals, away_goals, and more) of a stream.
+
+    ``expected`` is a stored table (fixture_id, home_xg, away_xg, version) of which the newest version of a fixture counts. Nothing is kept by key: a
+    score is joined with that table as it stood when the stream was started, and scored by itself. Scores of unknown fixtures have no markets.
+    """
+    newest = keep_first(expected, ["fixture_id"], F.desc("version")).select("fixture_id", F.col("home_xg").alias("_home"), F.col("away_xg").alias("_away"))
+    newest = F.broadcast(newest) if newest.count() <= BROADCAST_ROWS else newest.hint("merge")
+    left = remaining_minutes(F.col("elapsed"), F.col("status_short"))
+    rows = scores.join(newest, "fixture_id").withColumn("minutes_left", left)
+    rows = rows.withColumns({"home_to_come": F.col("_home") * F.col("minutes_left") / 90, "away_to_come": F.col("_away") * F.col("minutes_left") / 90}).drop("_home", "_away")
+    to_come = F.col("home_to_come"), F.col("away_to_come")
+    markets = model.live_markets(*to_come, F.col("home_goals"), F.col("away_goals"))
+    return model.with_outlook(rows, *to_come).withColumns(markets).drop(model.MARGINS, model.TOTALS)
