@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strictbefore.plans.catalog import query
@@ -30,10 +30,14 @@ def lines(rows: DataFrame, doc: Column, label: str) -> str:
     return path
 
 
+#: Keys whose entries one landed document may hold.
+ENTRIES = 20_000
+
+
 def documents(rows: DataFrame, by: str, entry: Column, wrap: Column, label: str) -> str:
-    """A folder of JSON documents, one file per value of ``by`` with that value's entries, at most a season's worth each."""
+    """A folder of JSON documents, one file per value of ``by`` and stretch of ENTRIES keys, so that a document is bounded however large the table is."""
     path = sinks.scratch(rows.sparkSession, label)
-    entries = rows.groupBy(F.col(by).alias("_by"), F.pmod(key(), F.lit(64)).alias("_part")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    entries = rows.groupBy(F.col(by).alias("_by"), F.floor(key() / ENTRIES).alias("_part")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     entries.select(F.to_json(wrap, {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -199,8 +203,40 @@ def read_football_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(key() % 2 == 0, F.lit(" a.e.t. (0-0, 0-0)")).otherwise(F.lit(""))
     text = F.concat_ws("\n", F.lit("# a comment"), F.concat(F.lit("▪ Matchday "), F.col("season") % 7), F.date_format("kickoff_at", "EEE MMM/d yyyy"), F.concat(F.lit("  15:00  "), named("home"), F.lit(" v "), named("away"), F.lit("  "), score, tail), F.concat(F.lit("# "), key()), F.lit(""))
     path = sinks.scratch(spark, "txt")
-    # a file per season and part keeps every block's lines together
-    blocks = found.groupBy("season", F.pmod(key(), F.lit(16)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("value"))
+    # a file per season and stretch of keys keeps every block's lines together
+    blocks = found.groupBy("season", F.floor(key() / ENTRIES).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("value"))
     blocks.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     got = readers.football_txt(spark, path, 2000)
     return got.select("stage", "day", "home_team", "away_team", F.col("home").cast("long").alias("home"), "status", F.col("full_home").cast("long").alias("full_home"))
+
+
+PAGES_SQL = f"""WITH {MATCHES_SQL}, n AS (SELECT fixture_id, league_id, season, (row_number() OVER (PARTITION BY league_id, season ORDER BY fixture_id) - 1) // 40 + 1 AS page FROM matches),
+  g AS (SELECT *, season % 3 = 0 AND page > 1 AND page % 4 = 2 AS lost, season % 3 = 1 AND page = 1 AS twice FROM n),
+  b AS (SELECT DISTINCT league_id, season FROM g WHERE lost OR twice)"""
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listings of 40 fixtures a page: in one season of three some pages are lost, in another the first came twice."""
+    found = matches(spark, sf_dir).select("league_id", "season", "fixture_id", "home_id", "away_id")
+    w = Window.partitionBy("league_id", "season")
+    placed = found.withColumn("page", (F.floor((F.row_number().over(w.orderBy("fixture_id")) - 1) / 40) + 1).cast("int")).withColumn("total", F.max("page").over(w))
+    pages = placed.groupBy("league_id", "season", "page", "total").agg(F.collect_list(F.struct(F.col("fixture_id").alias("id"), "home_id", "away_id")).alias("response"))
+    pages = pages.filter(~((F.col("season") % 3 == 0) & (F.col("page") > 1) & (F.col("page") % 4 == 2)))
+    pages = pages.unionByName(pages.filter("season % 3 = 1 and page = 1"))
+    path = sinks.scratch(spark, "pages")
+    doc = F.struct(F.struct(F.col("league_id").cast("string").alias("league"), F.col("season").cast("string").alias("season")).alias("parameters"), F.struct(F.col("page").alias("current"), "total").alias("paging"), "response")
+    pages.select(F.to_json(doc).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return feeds.paged(spark, path, "id:long,home_id:long,away_id:long")
+
+
+@query("paged_items", f"""{PAGES_SQL} SELECT g.league_id, g.season, page, fixture_id, b.season IS NULL AS complete FROM g LEFT JOIN b USING (league_id, season) WHERE NOT lost""")
+def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all landed pages, once each, and whether their listing is complete."""
+    items, _ = landed_pages(spark, sf_dir)
+    return items.select(F.col("league").cast("long").alias("league_id"), F.col("season").cast("int").alias("season"), F.col("page").cast("long").alias("page"), F.col("id").alias("fixture_id"), "complete")
+
+
+@query("paged_faults", f"""{PAGES_SQL} SELECT DISTINCT league_id, season, 'missing_pages' AS fault, page, page AS upto FROM g WHERE lost UNION ALL SELECT DISTINCT league_id, season, 'repeated_page' AS fault, 1 AS page, 1 AS upto FROM g WHERE twice""")
+def paged_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, faults = landed_pages(spark, sf_dir)
+    return faults.select(F.col("league").cast("long").alias("league_id"), F.col("season").cast("int").alias("season"), "fault", F.col("page").cast("long").alias("page"), F.col("upto").cast("long").alias("upto"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strictbefore.functions.policy import strict_int
@@ -115,6 +115,43 @@ def pages(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(f"response array<struct<{schema}>>").option("multiLine", True).json(pattern).select(F.explode("response").alias("r")).select("r.*")
 
 
+def paged(spark: SparkSession, path: str, item: str, keys: tuple[str, ...] = ("league", "season"), number: str = "id") -> tuple[DataFrame, DataFrame]:
+    """A paged listing's landed pages, one JSON document each with ``parameters``, ``paging`` and ``response``: (items, faults).
+
+    Items come once by ``number``, of the lowest page, with ``complete``: whether their listing has all its pages and no fault. Faults have a row a
+    fault: missing_paging; page_out_of_range; repeated_page; totals_differ; and missing_pages with the first and last page of a gap. The number of pages is the greatest total that a page states.
+    """
+    fields = ", ".join(f"{k}:string" for k in keys)
+    raw = spark.read.schema(f"parameters struct<{fields}>, paging struct<current:int,total:int>, response array<struct<{item}>>").option("multiLine", True).json(path)
+    got = raw.select(*[F.col(f"parameters.{k}").alias(k) for k in keys], F.col("paging.current").alias("page"), F.col("paging.total").alias("total"), "response")
+    bad = F.col("page").isNull() | F.col("total").isNull()
+    w = Window.partitionBy(*keys)
+    slim = got.select(*keys, "page", "total", bad.alias("bad"))
+    known = slim.filter("not bad").withColumn("pages", F.max("total").over(w))
+    inside = known.filter("page between 1 and pages")
+    once = inside.groupBy(*keys, "page").agg(F.max("pages").alias("pages"), F.count("*").alias("n"))
+    after = once.withColumn("next", F.coalesce(F.lead("page").over(w.orderBy("page")), F.col("pages") + 1)).withColumn("first", F.row_number().over(w.orderBy("page")) == 1)
+    gap = lambda rows, since, until: rows.select(*keys, F.lit("missing_pages").alias("fault"), since.alias("page"), until.alias("upto"))
+    said = lambda rows, fault, page="page": rows.select(*keys, F.lit(fault).alias("fault"), F.col(page).alias("page"), F.col(page).alias("upto"))
+    none_inside = known.groupBy(*keys).agg(F.max("pages").alias("pages"), F.count(F.when(F.expr("page between 1 and pages"), 1)).alias("n")).filter("n = 0 and pages >= 1")
+    faults = [
+        said(slim.filter("bad"), "missing_paging"), said(known.filter("not page between 1 and pages"), "page_out_of_range"), said(once.filter("n > 1"), "repeated_page"),
+        said(known.groupBy(*keys).agg(F.min("total").alias("low"), F.max("total").alias("page")).filter("low < page"), "totals_differ"),
+        gap(after.filter("next > page + 1"), F.col("page") + 1, F.col("next") - 1), gap(after.filter("first and page > 1"), F.lit(1), F.col("page") - 1), gap(none_inside, F.lit(1), F.col("pages")),
+    ]
+    found = faults[0]
+    for more in faults[1:]:
+        found = found.unionByName(more)
+    broken = found.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    items = got.select(*keys, F.coalesce("page", F.lit(2**31 - 1)).alias("page"), F.explode("response").alias("r"))
+    own = Window.partitionBy(*keys, F.col(f"r.{number}")).orderBy("page")
+    items = items.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    return items.join(broken.withColumn("_broken", F.lit(True)), same, "left").select(*keys, "page", "r.*", F.col("_broken").isNull().alias("complete")), found
+
+
 def odds_events(spark: SparkSession, path: str) -> DataFrame:
     """One row per event, bookmaker and outcome of the head-to-head market, prices above 1."""
     schema = "home_team string, away_team string, bookmakers array<struct<key:string,markets:array<struct<key:string,outcomes:array<struct<name:string,price:double>>>>>>"

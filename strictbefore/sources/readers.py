@@ -57,24 +57,50 @@ def score_parts(text: Column) -> Column:
     ))
 
 
-def football_txt(spark: SparkSession, path: str, season: int) -> DataFrame:
-    """A Football.TXT season: stage, date and time are carried forward from the lines that state them.
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, at, raw: the lines of text files with what orders them, (block, at) within a file.
+
+    Files are read by blocks of ``spark.sql.files.maxPartitionBytes`` that begin and end with a line, by as many tasks as there are blocks; a block is a stretch of one
+    file, named by where it begins, and ``at`` counts on over the lines of a task.
+    """
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+
+
+def carried(rows: DataFrame, order: str) -> DataFrame:
+    """``stage``, ``day`` and ``time`` of lines (file, block, ``order``) filled with the last ones before them; a time holds until the next stage or day.
 
-    A file is read as one text and split, so that its lines keep their order; files are read side by side.
+    Each block says what it hands on, one row; what a block is handed comes from the blocks before it, so that no task sorts a whole file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "raw"))
+    heads = F.col("stage").isNotNull() | F.col("day").isNotNull()
+    within = Window.partitionBy("file", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_head", F.count(F.when(heads, 1)).over(within))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order)))
+    per = rows.groupBy("file", "block").agg(last("stage").alias("s"), last("day").alias("d"), F.max("_head").alias("n"), F.max_by("time", F.when(F.col("time").isNotNull(), F.struct("_head", order))).alias("t"), F.max(F.when(F.col("time").isNotNull(), F.col("_head"))).alias("tn"))
+    # a block with a stage or day hands on the time after the last of them, be it none; one without hands on its own time or what it was handed
+    per = per.withColumn("t", F.when((F.col("n") > 0) | F.col("t").isNotNull(), F.struct(F.when(F.coalesce("tn", F.lit(-1)) == F.col("n"), F.col("t")).alias("time"))))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = per.select("file", "block", *[F.last(c, True).over(before).alias(f"_{c}") for c in "sdt"])
+    rows = rows.join(handed, ["file", "block"])
+    after_head = Window.partitionBy("file", "block", "_head").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(
+        "file", "block", order, "text", F.coalesce(F.last("stage", True).over(within), "_s").alias("_stage"), F.coalesce(F.last("day", True).over(within), "_d").alias("_day"),
+        F.coalesce(F.last("time", True).over(after_head), F.when(F.col("_head") == 0, F.col("_t.time"))).alias("_time"), "stage", "day",
+    )
+
+
+def football_txt(spark: SparkSession, path: str, season: int) -> DataFrame:
+    """A Football.TXT season: stage, date and time are carried forward from the lines that state them, within a file however many tasks read it. ``line`` orders a file's rows."""
+    files = ordered_lines(spark, path)
     t = F.trim("raw")
     date = r"^(?:\[)?(?:[A-Za-z]{3}[a-z]*\s+)?([A-Za-z]{3})[a-z]*[/ ](\d{1,2})(?:[ /,]+(\d{4}))?(?:\])?$"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, date, 1))).cast("int")
     year = F.coalesce(F.regexp_extract(t, date, 3).try_cast("int"), F.when(month >= 7, season).otherwise(season + 1))
     day = F.when(month > 0, F.try_make_timestamp(year, month, F.regexp_extract(t, date, 2).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
     rows = files.filter(t != "").filter(~t.rlike("^[#=]")).select(
-        "file", "line", t.alias("text"), F.when(t.rlike("^[▪•]"), F.trim(F.regexp_replace(t, "^[▪•]\\s*", ""))).alias("stage"), day.alias("day"), F.nullif(F.regexp_extract(t, r"^(\d{1,2}[:.]\d{2})\s", 1), F.lit("")).alias("time")
+        "file", "block", "at", t.alias("text"), F.when(t.rlike("^[▪•]"), F.trim(F.regexp_replace(t, "^[▪•]\\s*", ""))).alias("stage"), day.alias("day"), F.nullif(F.regexp_extract(t, r"^(\d{1,2}[:.]\d{2})\s", 1), F.lit("")).alias("time")
     )
-    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_stage", F.last("stage", True).over(so_far)).withColumn("_day", F.last("day", True).over(so_far)).withColumn("_block", F.count(F.coalesce(F.col("day").cast("string"), "stage")).over(so_far))
-    in_block = Window.partitionBy("file", "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_time", F.last("time", True).over(in_block)).filter("stage is null and day is null")
+    rows = carried(rows, "at").filter("stage is null and day is null").withColumn("line", F.struct("block", "at"))
     body = F.regexp_replace("text", r"^\d{1,2}[:.]\d{2}\s+", "")
     between = r"^(.+?)\s+(?:v|vs)\.?\s+(.+?)\s+(\d{1,2}-\d{1,2}(?:\s.*|\s*\(.*)?)$"
     inside = r"^(.+?)\s+(\d{1,2}-\d{1,2}(?:\s*pen\.?\s*\d{1,2}-\d{1,2})?(?:\s*a\.?e\.?t\.?)?(?:\s*\([^)]*\))?)\s+(\S.*)$"
@@ -111,10 +137,10 @@ def fixture_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """JSON lines of which a later one replaces an earlier one of the same key; lines of a file count in order."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw")).filter("trim(raw) != ''")
+    """JSON lines of which a later one replaces an earlier one of the same key; files count by name, a file's lines in order. Big files are read by many tasks."""
+    lines = ordered_lines(spark, path).filter("trim(raw) != ''")
     keyed = lines.withColumn("key", F.get_json_object("raw", f"$.{key}")).filter("key is not null")
-    return keyed.groupBy("key").agg(F.max_by("raw", F.struct("file", "line")).alias("raw"))
+    return keyed.groupBy("key").agg(F.max_by("raw", F.struct("file", "block", "at")).alias("raw"))
 
 
 def box_scores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
