@@ -211,8 +211,8 @@ def read_football_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES_SQL = f"""WITH {MATCHES_SQL}, n AS (SELECT fixture_id, league_id, season, (row_number() OVER (PARTITION BY league_id, season ORDER BY fixture_id) - 1) // 40 + 1 AS page FROM matches),
-  g AS (SELECT *, season % 3 = 0 AND page > 1 AND page % 4 = 2 AS lost, season % 3 = 1 AND page = 1 AS twice FROM n),
-  b AS (SELECT DISTINCT league_id, season FROM g WHERE lost OR twice)"""
+  placed AS (SELECT *, season % 3 = 0 AND page > 1 AND page % 4 = 2 AS lost, season % 3 = 1 AND page = 1 AS twice FROM n),
+  b AS (SELECT DISTINCT league_id, season FROM placed WHERE lost OR twice)"""
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -229,14 +229,14 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return feeds.paged(spark, path, "id:long,home_id:long,away_id:long")
 
 
-@query("paged_items", f"""{PAGES_SQL} SELECT g.league_id, g.season, page, fixture_id, b.season IS NULL AS complete FROM g LEFT JOIN b USING (league_id, season) WHERE NOT lost""")
+@query("paged_items", f"""{PAGES_SQL} SELECT placed.league_id, placed.season, page, fixture_id, b.season IS NULL AS complete FROM placed LEFT JOIN b USING (league_id, season) WHERE NOT lost""")
 def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of all landed pages, once each, and whether their listing is complete."""
     items, _ = landed_pages(spark, sf_dir)
     return items.select(F.col("league").cast("long").alias("league_id"), F.col("season").cast("int").alias("season"), F.col("page").cast("long").alias("page"), F.col("id").alias("fixture_id"), "complete")
 
 
-@query("paged_faults", f"""{PAGES_SQL} SELECT DISTINCT league_id, season, 'missing_pages' AS fault, page, page AS upto FROM g WHERE lost UNION ALL SELECT DISTINCT league_id, season, 'repeated_page' AS fault, 1 AS page, 1 AS upto FROM g WHERE twice""")
+@query("paged_faults", f"""{PAGES_SQL} SELECT DISTINCT league_id, season, 'missing_pages' AS fault, page, page AS upto FROM placed WHERE lost UNION ALL SELECT DISTINCT league_id, season, 'repeated_page' AS fault, 1 AS page, 1 AS upto FROM placed WHERE twice""")
 def paged_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, faults = landed_pages(spark, sf_dir)
     return faults.select(F.col("league").cast("long").alias("league_id"), F.col("season").cast("int").alias("season"), "fault", F.col("page").cast("long").alias("page"), F.col("upto").cast("long").alias("upto"))
