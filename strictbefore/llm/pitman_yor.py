@@ -31,6 +31,7 @@ A text is one row; a chunk of one text is as long as the text.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,10 +52,12 @@ BURN, SAMPLES = 1, 3
 ROUNDS = 4
 #: Customers of a dish up to which its tables are drawn from the exact conditional; the growth of a step beyond.
 EXACT, GROWTH = 48, 1 / 16
-#: Ranges of hashes per shuffle partition: a range's pairs are one row.
-RANGES = 2
+#: Tokens of a range of contexts, whose pairs are one row, and ranges of contexts for each range of words.
+RANGE_TOKENS, FAN = 1_300_000, 8
 #: Pairs asked for that are added up at a time.
 SLICE = 1 << 19
+#: As many buckets as a table may have.
+MOST_RANGES = 100_000
 #: Tokens of a chunk, documents of a block, documents looked at for the layout.
 CHUNK, BLOCK, SAMPLE_ROWS = 1 << 19, 1024, 4000
 #: Words whose hashes a worker remembers.
@@ -226,8 +229,8 @@ def chunk_pairs(ats: list[int], train: list[bool], texts: list[np.ndarray], part
         yield int(part[a]), pack(gaps(places[ds]), flags[ds], named[us], gaps(keys[ws]), gaps(ui.astype(np.int32)), wi.astype(np.int32), di.astype(np.int32))
 
 
-def frequent_contexts(docs: DataFrame, text: Column, parts: int) -> np.ndarray:
-    """Hashes of the words that make a 16th of a range or more in a sample: 16 a range at most."""
+def layout(docs: DataFrame, text: Column) -> tuple[int, np.ndarray]:
+    """How many ranges of contexts to make, and the hashes of the contexts that are spread over all of them: those that make a 16th of a range or more, 16 a range at most. From a sample."""
     rows = docs.count()
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +241,11 @@ def frequent_contexts(docs: DataFrame, text: Column, parts: int) -> np.ndarray:
 
     counts = docs.select(text.alias("text")).sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=SEED).mapInArrow(mapped, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "sampled-contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.filter(F.col("n") * 16 * parts >= total).select("key").collect()
-    return np.array([r["key"] for r in often] + [START - (1 << 64) if START >> 63 else START], np.int64).view(np.uint64)
+    signed = lambda key: key - (1 << 64) if key >> 63 else key
+    total, texts = counts.agg(F.sum("n"), F.sum(F.when(F.col("key") == signed(END), F.col("n")))).first()  # a text has one end
+    parts = min(MOST_RANGES, math.ceil((total or 0) / (texts or 1) * rows / RANGE_TOKENS)) or 1
+    often = counts.filter(F.col("n") * 16 * parts >= (total or 0)).select("key").collect()
+    return parts, np.array([r["key"] for r in often] + [signed(START)], np.int64).view(np.uint64)
 
 
 def pairs(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -315,7 +320,7 @@ def counted(packed: DataFrame, hot: np.ndarray) -> DataFrame:
 class Range:
     """A range of contexts: its pairs, and what a sweep needs of them."""
 
-    def __init__(self, grams: bytes, words: bytes, hot: bytes, totals: dict[int, tuple[float, float]] | None = None, parts: int = 1):
+    def __init__(self, grams: bytes, words: bytes, hot: bytes, keepers: int = 1):
         du, self.w, self.c = unpack(grams)
         self.u = np.cumsum(du)
         self.words = np.cumsum(unpack(words)[0])
@@ -326,7 +331,7 @@ class Range:
         self.live = np.flatnonzero(self.c > 1)
         self.active = np.zeros(len(self.words), bool)
         self.active[self.w[self.live]] = True
-        self.cuts = np.searchsorted(part_of(self.words, parts), np.arange(parts + 1))
+        self.cuts = np.searchsorted(part_of(self.words, keepers), np.arange(keepers + 1))
 
     def tables(self, extra: np.ndarray) -> np.ndarray:
         """Tables per context, from those beyond the first of each live pair."""
@@ -362,12 +367,12 @@ def delivered(sent: DataFrame, own: str, to: str) -> DataFrame:
     return out.groupBy(to).agg(F.sort_array(F.collect_list(F.struct("sender", "data"))).alias("got"))
 
 
-def first_words(table: DataFrame, parts: int) -> DataFrame:
+def first_words(table: DataFrame, keepers: int) -> DataFrame:
     """Each range's words to their keepers: part, sent (words, customers, first tables, whether any pair is live)."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            own = Range(r["grams"], r["words"], r["hot"], parts=parts)
+            own = Range(r["grams"], r["words"], r["hot"], keepers)
             c, t = own.by_word(own.c).astype(np.int64), own.by_word(own.c > 0).astype(np.int32)
             sent = [{"other": k, "data": pack(gaps(own.words[a:b]), c[a:b], t[a:b], own.active[a:b].astype(np.uint8))} for k, (a, b) in enumerate(zip(own.cuts[:-1].tolist(), own.cuts[1:].tolist(), strict=True)) if b > a]
             yield whole([(r["part"], sent)], ["part", "sent"], [pa.int32(), SENT])
@@ -375,7 +380,7 @@ def first_words(table: DataFrame, parts: int) -> DataFrame:
     return table.select("part", "grams", "words", "hot").mapInArrow(mapped, f"part int, sent {SENT_SQL}")
 
 
-def keepers(sent: DataFrame) -> DataFrame:
+def word_ranges(sent: DataFrame) -> DataFrame:
     """Per range of words one row: counts c, tables from the contexts' first ones, who asked for which words; and the numbers of tokens, types, and words sent once and twice."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,12 +449,12 @@ def answers(table: DataFrame, seats: list[tuple[DataFrame, tuple[int, int]]], v:
     return joined.mapInArrow(mapped, f"keeper int, sent {SENT_SQL}")
 
 
-def context_sweep(table: DataFrame, answered: DataFrame, before: DataFrame | None, turn: int, spread: dict[int, float], d: float, theta: float, parts: int) -> DataFrame:
+def context_sweep(table: DataFrame, answered: DataFrame, before: DataFrame | None, turn: int, spread: dict[int, float], d: float, theta: float, keepers: int) -> DataFrame:
     """The contexts' Gibbs step: part, extra (tables beyond the first of live pairs), sent (their change of customers by word), spread (key, tables)."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            own = Range(r["grams"], r["words"], r["hot"], parts=parts)
+            own = Range(r["grams"], r["words"], r["hot"], keepers)
             extra = unpack(r["extra"])[0] if r.get("extra") is not None else np.zeros(len(own.live), np.int32)
             p = np.zeros(len(own.words))
             p[own.active] = np.concatenate([unpack(g["data"])[0] for g in r["got"]])
@@ -483,12 +488,12 @@ def spread_totals(states: list[DataFrame]) -> dict[int, float]:
     return out
 
 
-def spread_customers(table: DataFrame, parts: int) -> tuple[dict[int, float], dict[int, float]]:
+def spread_customers(table: DataFrame) -> tuple[dict[int, float], dict[int, float]]:
     """Customers and first tables of the spread contexts over all ranges: a few numbers a range."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            own = Range(r["grams"], r["words"], r["hot"], parts=parts)
+            own = Range(r["grams"], r["words"], r["hot"])
             rows = [(int(k), float(own.customers[i]), float(own.fixed[i])) for k, i in zip(own.hot_keys.view(np.int64), own.hot_at, strict=True)]
             yield whole(rows, ["key", "customers", "tables"], [pa.int64(), pa.float64(), pa.float64()])
 
@@ -499,11 +504,11 @@ def spread_customers(table: DataFrame, parts: int) -> tuple[dict[int, float], di
 
 def scored(m: Model, answered: DataFrame) -> DataFrame:
     """file, check, block, part, sums: each range's part of the scores of documents, a block of them a row."""
-    samples, customers, tables, n, v, d, theta, parts = len(m.states), m.customers, m.tables, m.n, m.v, m.d, m.theta, m.parts
+    samples, customers, tables, n, v, d, theta = len(m.states), m.customers, m.tables, m.n, m.v, m.d, m.theta
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            own = Range(r["grams"], r["words"], r["hot"], parts=parts)
+            own = Range(r["grams"], r["words"], r["hot"])
             got = [unpack(g["data"]) for g in r["got"]]
             p, c_w = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
             extra = sum((unpack(r[f"extra{i}"])[0] for i in range(samples)), np.zeros(len(own.live))) / max(samples, 1)
@@ -574,7 +579,7 @@ class Model:
     d: float
     d_root: float
     theta: float
-    parts: int
+    keepers: int
 
 
 def fit(rows: DataFrame, hot: np.ndarray, parts: int, burn: int, samples: int, theta: float) -> Model | None:
@@ -583,15 +588,15 @@ def fit(rows: DataFrame, hot: np.ndarray, parts: int, burn: int, samples: int, t
     once, twice = ranges.agg(F.sum("once"), F.sum("twice")).first()
     if once is None:
         return None
-    d = discount(once, twice)
-    words = bucketed(keepers(first_words(ranges, parts)), "words", parts, "keeper")
+    d, keepers = discount(once, twice), math.ceil(parts / FAN)
+    words = bucketed(word_ranges(first_words(ranges, keepers)), "words", keepers, "keeper")
     n, v, once, twice = words.agg(F.sum("n"), F.sum("v"), F.sum("once"), F.sum("twice")).first()
     d_root = discount(once, twice)
-    customers, tables = spread_customers(ranges, parts)
+    customers, tables = spread_customers(ranges)
     state = seats = None
     states, roots = [], []
     for turn in range(burn + samples if v else 1):
-        new = bucketed(root_sweep(words, state, seats[0] if seats else None, turn, v, seats[1] if seats else (v, 0), d_root, theta), "root", parts, "keeper")
+        new = bucketed(root_sweep(words, state, seats[0] if seats else None, turn, v, seats[1] if seats else (v, 0), d_root, theta), "root", keepers, "keeper")
         old, seats = seats, (new, tuple(new.agg(F.sum("tables"), F.sum("customers")).first()))
         if old and turn <= burn:
             forget(old[0])
@@ -599,26 +604,26 @@ def fit(rows: DataFrame, hot: np.ndarray, parts: int, burn: int, samples: int, t
             roots.append(seats)
         if not v:
             break
-        after = bucketed(context_sweep(ranges, answers(words, [seats], v, d_root, theta, False), state, turn, tables, d, theta, parts), "seats", parts, "part")
+        after = bucketed(context_sweep(ranges, answers(words, [seats], v, d_root, theta, False), state, turn, tables, d, theta, keepers), "seats", parts, "part")
         if state is not None and turn <= burn:
             forget(state)
         state, tables = after, spread_totals([after])
         if turn >= burn:
             states.append(state)
-    return Model(ranges, words, states, roots, customers, spread_totals(states) if states else tables, n, v, d, d_root, theta, parts)
+    return Model(ranges, words, states, roots, customers, spread_totals(states) if states else tables, n, v, d, d_root, theta, keepers)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn: int = BURN, samples: int = SAMPLES, theta: float = THETA) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     (row,) = fresh(docs, "row")
     docs = keyed(docs, row)
     place = [docs[row][k].alias(k) for k in KEYS]
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     ids = docs.select(*place, doc_id.alias("id"))
-    m = fit(docs.select(*place, (~held_out(doc_id)).alias("train"), text.alias("text")), frequent_contexts(docs, text, parts), parts, burn, samples, theta)
+    parts, hot = layout(docs, text)
+    m = fit(docs.select(*place, (~held_out(doc_id)).alias("train"), text.alias("text")), hot, parts, burn, samples, theta)
     if m is None:
         none = lambda name, kind: F.lit(None).cast(kind).alias(name)
         return ids.select("id", held_out(F.col("id")).alias("held_out"), none("n_tokens", "long"), none("n_known", "long"), none("train_tokens", "long"), none("base_score", "double"), none("score", "double")).filter("false")

@@ -112,7 +112,7 @@ def test_scores_equal_the_formula_over_the_sampled_seats(spark):
     m = py.fit(rows.drop("doc_id"), hot, parts, 1, 3, 1.0)
     c, t = Counter(), defaultdict(float)
     for r in m.ranges.collect():
-        own = py.Range(r["grams"], r["words"], r["hot"], parts=parts)
+        own = py.Range(r["grams"], r["words"], r["hot"])
         extra = sum(py.unpack(next(x for x in s.collect() if x["part"] == r["part"])["extra"])[0] for s in m.states) / 3
         seated = (own.c > 0).astype(float)
         seated[own.live] += extra
@@ -135,7 +135,7 @@ def test_scores_equal_the_formula_over_the_sampled_seats(spark):
         for s in r["sent"]:
             p, n = py.unpack(s["data"])
             own = m.ranges.filter(F.col("part") == s["other"]).first()
-            one = py.Range(own["grams"], own["words"], own["hot"], parts=parts)
+            one = py.Range(own["grams"], own["words"], own["hot"], m.keepers)
             a, b = one.cuts[r["keeper"]], one.cuts[r["keeper"] + 1]
             root.update({int(w): (x, int(k)) for w, x, k in zip(one.words[a:b], p, n, strict=True)})
     unknown = next(p for p, n in root.values() if not n)
