@@ -327,3 +327,35 @@ def unioned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda id_, place: found.select(F.when(id_.isNotNull(), F.concat(F.lit("id:"), id_)).otherwise(F.concat_ws(":", F.lit("logical"), "home_id", "away_id", day)).alias("key"), F.lit(place).alias("place"))
     return side(k, 1).unionByName(side(F.when(k % 2 == 0, k), 2)).groupBy("key").agg(F.min("place").alias("place"))
 
+
+
+#: What is broken in a payload, by the fixture's id modulo 16.
+BROKEN = {
+    1: ("missing_invalid_or_non_positive_game_id", '"id":0'), 2: ("missing_game_date", '"date":7'), 3: ("missing_or_invalid_teams_object", '"teams":[]'), 4: ("missing_home_or_away_team_object", '"teams":{"home":{"id":1,"name":"A"}}'),
+    5: ("identical_home_and_away_team_ids", '"teams":{"home":{"id":3,"name":"A"},"away":{"id":3,"name":"B"}}'), 6: ("missing_or_empty_away_team_name", '"teams":{"home":{"id":1,"name":"A"},"away":{"id":2,"name":" "}}'), 7: ("invalid_payload_league_id", '"league":{"id":"x"}'),
+    8: ("conflicting_season (1900 != 2000)", '"league":{"id":12,"season":1900}'), 9: ("game_not_completed (status=NS)", '"status":{"short":"ns"}'), 10: ("game_not_completed (status=UNKNOWN)", '"status":{"type":{"completed":false},"completed":true}'),
+    11: ("invalid_or_negative_home_points", '"scores":{"home":{"total":-4},"away":80}'), 12: ("completed_game_missing_points (status=FT)", '"scores":{"home":{"total":81}}'),
+}
+FITS = {"id": '"id":{id}', "date": '"date":"{date}"', "teams": '"teams":{"home":{"id":1,"name":"A"},"away":{"id":2,"name":"B"}}', "league": '"league":{"id":12,"season":2000}', "status": '"status":{"short":"FT"}', "scores": '"scores":{"home":{"total":90},"away":80}'}
+
+
+@query(
+    "validated_games",
+    f"""WITH {MATCHES_SQL} SELECT fixture_id, CASE WHEN fixture_id % 16 = 1 THEN '{BROKEN[1][0]}' WHEN fixture_id % 16 = 2 THEN '{BROKEN[2][0]}' WHEN NOT kickoff_at < TIMESTAMP '1997-01-01' THEN 'game_date_not_before_cutoff'
+      {" ".join(f"WHEN fixture_id % 16 = {k} THEN '{reason}'" for k, (reason, _) in BROKEN.items() if k > 2)} ELSE 'valid' END AS reason FROM matches""",
+)
+def validated_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of games, some broken, through the ingestion rules."""
+    k = F.col("fixture_id") % 16
+    text = lambda part: F.replace(F.replace(F.lit(part), F.lit("{id}"), (F.col("fixture_id") + 1).cast("string")), F.lit("{date}"), F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    parts = []
+    for name, fits in FITS.items():
+        part = text(fits)
+        for n, (_, broken) in BROKEN.items():
+            if broken.startswith(f'"{name}"'):
+                part = F.when(k == n, F.lit(broken)).otherwise(part)
+        parts.append(part)
+    payload = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    rows = sinks.stored(matches(spark, sf_dir).select("fixture_id", payload.alias("payload")), "payloads")
+    verdict = basketball.payload_verdict(F.col("payload"), F.lit(12), F.lit(2000), F.lit("1997-01-01").cast("timestamp"), True)
+    return rows.select("fixture_id", verdict["reason"].alias("reason"))
