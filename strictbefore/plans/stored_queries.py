@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strictbefore.functions import policy
@@ -132,7 +132,7 @@ def best_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.enrichment(enrichment_rows(spark, sf_dir), matches(spark, sf_dir)).select("fixture_id", "source", "home_shots")
 
 
-@query("provenance_only_rows", f"{ENRICHMENT_SQL} SELECT fixture_id, source FROM e WHERE source = 'scraped' AND home_shots IS NULL AND home_corners IS NULL AND EXISTS (SELECT 1 FROM e p WHERE p.fixture_id = e.fixture_id AND p.home_shots IS NOT NULL)")
+@query("provenance_only_rows", f"{ENRICHMENT_SQL} SELECT fixture_id, source FROM e WHERE source = 'scraped' AND home_shots IS NULL AND home_corners IS NULL AND fixture_id IN (SELECT fixture_id FROM e WHERE home_shots IS NOT NULL)")
 def provenance_only_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that only say where they come from, beside others that have figures: those that are archived before they are deleted."""
     rows = enrichment_rows(spark, sf_dir)
@@ -140,7 +140,7 @@ def provenance_only_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived.select("fixture_id", "source")
 
 
-@query("kept_rows", f"{ENRICHMENT_SQL} SELECT source, count(*) AS n FROM e WHERE NOT (source = 'scraped' AND home_shots IS NULL AND home_corners IS NULL AND EXISTS (SELECT 1 FROM e p WHERE p.fixture_id = e.fixture_id AND p.home_shots IS NOT NULL)) GROUP BY source")
+@query("kept_rows", f"{ENRICHMENT_SQL} SELECT source, count(*) AS n FROM e WHERE NOT (source = 'scraped' AND home_shots IS NULL AND home_corners IS NULL AND fixture_id IN (SELECT fixture_id FROM e WHERE home_shots IS NOT NULL)) GROUP BY source")
 def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrichment_rows(spark, sf_dir)
     _, kept = sinks.retire(rows, reconcile.provenance_only(rows, "fixture_id", ["scraped"], ["home_shots", "home_corners"], "home_shots"), ["fixture_id", "source"])
@@ -163,9 +163,9 @@ def stored_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def league_season_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan of one stored league-season in time order, one provider's rows, no duplicates."""
-    got = store.fixtures(stored_fixtures(spark, sf_dir), 2, 1995, ["alpha"]).select("fixture_id", "kickoff_at")
-    whole = got.groupBy().agg(F.array_sort(F.collect_list(F.struct("kickoff_at", "fixture_id"))).alias("rows"))  # one league-season
-    return whole.select(F.posexplode("rows").alias("place", "r")).select("r.fixture_id", "r.kickoff_at", F.col("place").cast("long").alias("place"))
+    got = store.fixtures(stored_fixtures(spark, sf_dir), 2, 1995, ["alpha"])
+    place = F.row_number().over(Window.partitionBy("league_id", "season").orderBy("kickoff_at", "fixture_id")) - 1
+    return got.select("fixture_id", "kickoff_at", place.cast("long").alias("place"))
 
 
 @query(
