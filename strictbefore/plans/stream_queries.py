@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.operators import calibration, identity, reconcile
+from strictbefore.operators import calibration, identity, reconcile, similarity
 from strictbefore.plans.catalog import query
 from strictbefore.plans.matches import MATCHES_SQL, matches, played, table
 from strictbefore.plans.model_queries import logged, outcome_samples
@@ -102,6 +102,13 @@ def matched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.best_names(customers, suppliers, "c_nationkey", "c_name", "s_name")
 
 
+@query("similar_names")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a nation's customer and supplier names of ratio 0.7 or more."""
+    customers, suppliers = named_sides(spark, sf_dir)
+    return similarity.similar(customers, suppliers, "c_name", "s_name", 0.7, ["c_nationkey"])
+
+
 @query("finished_by_season", f"WITH {MATCHES_SQL} SELECT season, count(*) AS finished, max(kickoff_at) AS latest FROM played GROUP BY season")
 def finished_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     return played(matches(spark, sf_dir)).groupBy("season").agg(F.count("*").alias("finished"), F.max("kickoff_at").alias("latest"))
