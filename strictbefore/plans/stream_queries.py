@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictbefore.operators import calibration, identity, reconcile, similarity
+from strictbefore.operators import calibration, identity, isotonic, reconcile, similarity
 from strictbefore.plans.catalog import query
 from strictbefore.plans.matches import MATCHES_SQL, matches, played, table
 from strictbefore.plans.model_queries import logged, outcome_samples
@@ -57,6 +57,12 @@ def isotonic_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.isotonic_fits(outcome_samples(spark, sf_dir))
 
 
+@query("isotonic_steps")
+def isotonic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isotonic fits of each outcome on the samples as they are, from pools made side by side."""
+    return isotonic.fits(outcome_samples(spark, sf_dir))
+
+
 @query(
     "resolved_teams",
     """WITH r AS (SELECT s_suppkey, 'team ' || (s_suppkey % 40) AS norm, CASE s_suppkey % 5 WHEN 0 THEN 'provider_id' WHEN 1 THEN 'name' WHEN 2 THEN 'name' WHEN 3 THEN 'alias' END AS step, s_suppkey % 5 AS kind FROM supplier)
