@@ -36,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strictbefore.llm.common import bounded_batches
+from strictbefore.llm.common import bounded_batches, trim
 
 #: Pre-tokens of up to CACHED_BYTES are kept, CACHED of them at least and twice as many at most per worker, and up to PAIRS pairs.
 CACHED, CACHED_BYTES, PAIRS = 100_000, 64, 200_000
@@ -326,6 +326,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids = [own.encode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], names=["id", "ids", "decoded"])
+        trim()
 
     bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(mapped, "id long, ids binary, decoded string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def trim() -> None:
+    """Give back the memory that a worker has freed: it stays for later tasks, beside other workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+        ctypes.CDLL(libc).malloc_trim(0)
+
+
 def _one_scan(docs: DataFrame) -> bool:
     """Whether each row of ``docs`` is one row of a file: a scan with nothing but projections and filters above it."""
     nodes = docs._jdf.queryExecution().analyzed().toString().splitlines()

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strictbefore.llm.common import fresh
+from strictbefore.llm.common import fresh, trim
 
 #: Bytes of a window, units of each direction, windows that run side by side.
-WINDOW, UNITS, BATCH = 192, 8, 2048
+WINDOW, UNITS, BATCH = 192, 8, 1024
 #: The bounds of the training sample: documents per language (twice as many at most), windows per document, languages by rows.
 DOCS_PER_LANG, WINDOWS, LANGS = 500, 6, 256
 #: Training: windows per step, steps, learning rate.
@@ -242,6 +242,7 @@ def guess(net: Network | None, text: Column) -> Column:
         p = document_probabilities(net, texts)
         best = p.argmax(1)
         names = pa.array([net.langs[k] for k in best.tolist()], pa.string())
+        trim()
         return pa.StructArray.from_arrays([names, pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], names=["lang", "score"])
 
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
