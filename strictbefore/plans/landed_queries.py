@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strictbefore.plans.catalog import query
 from strictbefore.plans.matches import MATCHES_SQL, matches
 from strictbefore.plans.scalar_queries import pick, pick_sql
-from strictbefore.sources import feeds, readers, sinks
+from strictbefore.sources import feeds, readers, sinks, summaries
 
 
 def key() -> Column:
@@ -240,3 +240,45 @@ def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, faults = landed_pages(spark, sf_dir)
     return faults.select(F.col("league").cast("long").alias("league_id"), F.col("season").cast("int").alias("season"), "fault", F.col("page").cast("long").alias("page"), F.col("upto").cast("long").alias("upto"))
+
+
+#: Three players a side by number; the third's figures end early, and every ninth game has no usable block.
+SUMMARY_SQL = f"WITH {MATCHES_SQL}, s AS (SELECT fixture_id, kickoff_at, home_id, away_id, home_goals, away_goals FROM played WHERE fixture_id % 9 > 0), b AS (SELECT *, unnest([true, false]) AS home FROM s)"
+
+
+def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matches(spark, sf_dir).filter("status_short in ('FT', 'AET', 'PEN') and home_goals is not null and away_goals is not null")
+    names = ["minutes", "fieldGoalsMade-fieldGoalsAttempted", "points", "plusMinus"]
+
+    def side(which: str, sign: int) -> tuple[Column, Column, Column]:
+        goals = F.col(f"{which}_goals")
+        shot = F.concat_ws("-", goals, goals + key() % 5)
+        block = F.struct(F.lit(which).alias("homeAway"), F.struct(F.col(f"{which}_id").cast("string").alias("id")).alias("team"), F.array(F.struct(F.lit("fieldGoalsMade-fieldGoalsAttempted").alias("name"), shot.alias("displayValue")), F.struct(F.lit("assists").alias("name"), F.when(key() % 4 > 0, goals.cast("string")).otherwise("--").alias("displayValue"))).alias("statistics"))
+        figures = lambda n: F.slice(F.array((key() % 40).cast("string"), shot, (goals + n).cast("string"), F.format_string("%+d", F.lit(sign) * (F.col("home_goals") - F.col("away_goals")))), 1, 4 if n < 2 else 2)
+        player = lambda n: F.struct(F.struct((F.col(f"{which}_id") * 10 + n).cast("string").alias("id"), F.concat(F.lit(f"P{n} of "), F.col(f"{which}_id")).alias("displayName")).alias("athlete"), F.lit(n < 2).alias("starter"), figures(n).alias("stats"))
+        group = F.struct(block["team"].alias("team"), F.array(F.struct(F.array(*map(F.lit, names)).alias("keys"), F.array(*map(player, range(3))).alias("athletes"))).alias("statistics"))
+        return block, group, F.struct(F.lit(which).alias("homeAway"), (goals + 80).cast("string").alias("score"))
+
+    (a, pa_, ca), (b, pb, cb) = side("home", 1), side("away", -1)
+    teams = F.when(key() % 9 > 0, F.array(a, b))
+    doc = F.struct(F.struct(key().cast("string").alias("id"), F.array(F.struct(F.array(ca, cb).alias("competitors"))).alias("competitions")).alias("header"), F.struct(teams.alias("teams"), F.array(pa_, pb).alias("players")).alias("boxscore"))
+    return summaries.usable(spark, lines(found, doc, "summaries"))
+
+
+@query(
+    "summary_teams",
+    f"{SUMMARY_SQL} SELECT fixture_id AS game_id, CASE WHEN home THEN 'home' ELSE 'away' END AS home_away, CASE WHEN home THEN home_id ELSE away_id END AS team_id, (CASE WHEN home THEN home_goals ELSE away_goals END + 80)::DOUBLE AS points, (CASE WHEN home THEN home_goals ELSE away_goals END + fixture_id % 5)::DOUBLE AS field_goals_attempted, CASE WHEN fixture_id % 4 > 0 THEN 'assists,' ELSE '' END || 'field_goals_attempted,field_goals_made,points' AS field_mask FROM b",
+)
+def summary_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.team_rows(summary_rows(spark, sf_dir)).select("game_id", "home_away", "team_id", "points", "field_goals_attempted", "field_mask")
+
+
+@query(
+    "summary_players",
+    f"""{SUMMARY_SQL}, p AS (SELECT *, CASE WHEN home THEN home_id ELSE away_id END AS team_id, CASE WHEN home THEN home_goals ELSE away_goals END AS goals, unnest([0, 1, 2]) AS n FROM b)
+    SELECT fixture_id AS game_id, team_id, team_id * 10 + n AS player_id, 'P' || n || ' of ' || team_id AS player_name, n < 2 AS starter, (fixture_id % 40)::DOUBLE AS minutes, goals::DOUBLE AS field_goals_made, (goals + fixture_id % 5)::DOUBLE AS field_goals_attempted,
+      CASE WHEN n < 2 THEN (goals + n)::DOUBLE END AS points, CASE WHEN n < 2 THEN ((home_goals - away_goals) * CASE WHEN home THEN 1 ELSE -1 END)::DOUBLE END AS plus_minus FROM p""",
+)
+def summary_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = summaries.player_rows(summary_rows(spark, sf_dir))
+    return got.select("game_id", "team_id", "player_id", "player_name", "starter", "minutes", "field_goals_made", "field_goals_attempted", "points", "plus_minus")
