@@ -24,6 +24,13 @@ def team_averages(rows: DataFrame, *cohort: str) -> DataFrame:
     return rows.select("fixture_id", "ts", *cohort, "team_id", F.count("*").over(w).alias("prior_matches"), F.avg("gf").over(w).alias("avg_for"), F.avg("ga").over(w).alias("avg_against"))
 
 
+def cards_per_match(rows: DataFrame, *cohort: str) -> DataFrame:
+    """Per team row (ts, team_id, yellow, and more): mean yellow cards over the team's earlier matches that have a figure, and how many these are; null where there are none."""
+    w = before(*cohort, "team_id")
+    others = [c for c in rows.columns if c not in ("ts", "yellow")]
+    return rows.select(*others, F.avg("yellow").over(w).alias("avg_cards"), F.count("yellow").over(w).alias("prior_matches"))
+
+
 def league_average(found: DataFrame, *cohort: str) -> DataFrame:
     """Per match: mean goals per team of the cohort's earlier matches.
 

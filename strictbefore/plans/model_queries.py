@@ -91,6 +91,26 @@ def cards_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(model.cards_over(home, away, 3.5), 6).alias("over_3_5"))
 
 
+@query(
+    "card_averages",
+    f"""WITH {MATCHES_SQL}, y AS (
+      SELECT fixture_id, ts, home_id AS team_id, true AS at_home, CASE WHEN fixture_id % 5 > 0 THEN (fixture_id + home_id) % 6 END AS yellow FROM played
+      UNION ALL SELECT fixture_id, ts, away_id, false, CASE WHEN fixture_id % 7 > 0 THEN (fixture_id * 3 + away_id) % 7 END FROM played),
+    m AS (SELECT fixture_id, at_home, avg(yellow) OVER w AS cards FROM y WINDOW w AS (PARTITION BY team_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT fixture_id, max(cards) FILTER (at_home) AS home, max(cards) FILTER (NOT at_home) AS away FROM m GROUP BY fixture_id)
+    SELECT fixture_id, round(home, 6) AS home_cards, round(away, 6) AS away_cards, round((SELECT sum(pow(home + away, k) * exp(-home - away) / factorial(k::INT)) FROM range(4, 21) AS r(k)), 6) AS over_3_5 FROM b WHERE home IS NOT NULL AND away IS NOT NULL""",
+)
+def card_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both teams' yellow cards per earlier match with a figure, and the cards market from them."""
+    k = F.col("fixture_id")
+    side = lambda team, at_home, yellow: F.struct(F.col(team).alias("team_id"), F.lit(at_home).alias("at_home"), yellow.alias("yellow"))
+    sides = F.array(side("home_id", True, F.when(k % 5 > 0, (k + F.col("home_id")) % 6)), side("away_id", False, F.when(k % 7 > 0, (k * 3 + F.col("away_id")) % 7)))
+    rows = played(matches(spark, sf_dir)).select("fixture_id", "ts", F.explode(sides).alias("s")).select("fixture_id", "ts", "s.*")
+    means = features.cards_per_match(rows)
+    both = means.groupBy("fixture_id").agg(F.max(F.when(F.col("at_home"), F.col("avg_cards"))).alias("home"), F.max(F.when(~F.col("at_home"), F.col("avg_cards"))).alias("away")).filter("home is not null and away is not null")
+    return both.select("fixture_id", F.round("home", 6).alias("home_cards"), F.round("away", 6).alias("away_cards"), F.round(model.cards_over(F.col("home"), F.col("away"), 3.5), 6).alias("over_3_5"))
+
+
 #: The series in another form: each term from its logarithm.
 ERF_SQL = """(CASE WHEN {x} = 0 THEN 0 WHEN abs({x}) > 6 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * exp(-{x} * {x})
   * list_sum([exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln(abs({x})) - lgamma(2 * n + 2)) FOR n IN range(0, 121)]) END)"""
