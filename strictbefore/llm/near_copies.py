@@ -19,8 +19,12 @@ are all compared, or all are linked with the leader.
 The shingle test reads the candidates' texts. It is first made of each row's nearest candidate (ties by hash, so that no row is everyone's);
 pairs whose ends are by then in one component need it no more.
 
-The candidates are found by drawn grids, so a link can be missed: the tests measure how many of a brute-force search's
-links the components join. No pair is linked that the texts don't bear out.
+The candidates are found by drawn grids, divided cells and a radius, so links can be missed: `near_pairs` and `candidates` find most, and leave families of near copies as few components.
+The rest is found exactly (``complete``), by a set-overlap join of shingles between components. All texts' shingles stand in one order: those that crowd the join last, else
+the longest first (long ones are seldom met by chance), then by hash. Texts of enough similarity share a shingle among the first few of each (prefix filter). How many they share there bounds
+how many they share at all; where that is enough the sets decide. A shingle whose texts of different components make over CROWD pairs goes to the end of the order, and the texts that had it
+among their first ones get more of their own instead, turn after turn; what then still has such shingles among its first ones is paired in full. So no link is lost between components, and
+none is made that the texts don't bear out.
 
 Defined cases: null, empty and blank texts are near to nothing. Rows are told apart by a key of their own, so ids may be
 null or repeat; a null id counts after all others. Repeated rows are near copies of each other. Extra columns play no part. An empty table
@@ -35,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strictbefore.llm.common import BROADCAST_ROWS, bounded_batches, drop_rows, fresh, keyed, materialise, trim
@@ -47,6 +51,8 @@ BANDS, CELL = 32, 12
 AXES, AXES_ROWS, ORDER = 12, 1 << 16, 3
 #: Axes by which a crowded cell is divided more, and then axes of the finer sketch, one number after the other; at the end all of both.
 MORE_AXES, FINER_AXES = (6,), (6, 16)
+#: Pairs of a shingle's texts beyond which it goes to the end of the order, turns of that, and texts of a shingle that are paired at a time.
+CROWD, TURNS, BLOCK = 500, 4, 256
 #: Words spread at a time.
 STEP = 1 << 14
 #: Odd multipliers of a 64-bit finaliser.
@@ -60,8 +66,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()  # bytes.split() splits at [\x20\x09-\x0D]
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles; a text of fewer words is one shingle."""
+def shingles_of(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct XXH64 of a text's shingles, ascending, and the lengths of these; a text of fewer words is one shingle."""
     words = words_of(text)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -69,7 +75,18 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     starts = (ends - lengths).tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)], "<u8"))
+    hashes, first = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)], "<u8"), return_index=True)
+    return hashes, (np.array(ends, np.int64) - np.array(starts[: len(ends)], np.int64))[first]
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, ascending."""
+    return shingles_of(text, shingle)[0]
+
+
+def first_of(size: int, similarity: float) -> int:
+    """How many first shingles of a text of ``size`` are compared: without them too few are left for a link."""
+    return size - math.ceil(size * similarity - 1e-9) + 1
 
 
 def spread(hashes: np.ndarray) -> np.ndarray | None:
@@ -239,6 +256,97 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (every - F.col("shared"))).select("a", "b")
 
 
+def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float, whole: bool = False) -> DataFrame:
+    """key, size, shingles of a table (key, text) of texts with words: the first shingles in the order, or all; ``size`` counts all."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, lists = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                hashes, lengths = shingles_of(text.as_py(), shingle)
+                if len(hashes):
+                    kept.append(i)
+                    sizes.append(len(hashes))
+                    most = len(hashes) if whole else first_of(len(hashes), similarity)
+                    lists.append(hashes[np.lexsort((hashes, -lengths))[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=[key, "size", "shingles"])
+        trim()
+
+    bounded_batches(texts.sparkSession)
+    return texts.mapInArrow(mapped, f"{key} {texts.schema[key].dataType.simpleString()}, size int, shingles array<long>")
+
+
+def sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
+def between(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """shingle, node, size, root: the rows of ``placed`` whose shingle is met in more than one of the links' components."""
+    roots = components(links)
+    rooted = placed.select("shingle", "node", "size").join(sent(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = Window.partitionBy("shingle")
+    seen = rooted.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own)).filter("least < most")
+    return materialise(seen.select("shingle", "node", "size", "root"), "between")
+
+
+def enough(met: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs of rows (a, n, b, m), one for every first shingle that texts a and b of n and m shingles share, that can be links.
+
+    Of the text whose first ones end first in the order, all else stands behind these; so beside the shared first ones, the texts share no more
+    than what lies behind the first ones of the larger.
+    """
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    behind = F.ceil(F.greatest("n", "m") * similarity - 1e-9) - 1
+    return counted.filter(F.col("k") + behind >= F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)).select("a", "b")
+
+
+def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, crowd: int = CROWD, turns: int = TURNS) -> DataFrame:
+    """``links``, and links that join all components between which there is a link. ``placed``: node, size, shingle of every text's first shingles."""
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "overlaps")
+        ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+        return materialise(alike(pairs, shingle_sets(texts_of(ends), shingle), similarity), "rest-links")
+
+    alike_sizes = (F.col("n") >= F.col("m") * similarity - 1e-9) & (F.col("m") >= F.col("n") * similarity - 1e-9)
+    current, last = placed, None
+    for turn in range(turns + 1):
+        shared = between(placed, links)
+        if shared.isEmpty():
+            break
+        # first of all with a shingle's leader, one partner a text: that makes one component of most families
+        leaders = shared.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "root"), "node").alias("at"))
+        led = shared.join(leaders, "shingle").filter(F.col("root") != F.col("at.root")).select(F.col("at.node").alias("a"), F.col("at.size").alias("n"), F.col("node").alias("b"), F.col("size").alias("m"))
+        one = enough(led.filter(alike_sizes), similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = links.unionByName(tested(one))
+        shared = between(shared, links)
+        sizes = shared.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        sizes = materialise(sizes.withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2), "shingle-sizes")
+        heavy = sizes.filter(F.col("pairs") > crowd).select("shingle")
+        if last is not None:
+            heavy = heavy.join(last, "shingle", "left_anti")
+        heavy = materialise(heavy if turn < turns else heavy.limit(0), "heavy")
+        moved = materialise(shared.join(heavy, "shingle", "left_semi").select("node").distinct(), "moved")
+        # texts that get other first shingles are compared by these, in the next turn
+        split = sizes.select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        staying = shared.join(moved, "node", "left_anti").join(split, "shingle")
+        left = staying.select("shingle", F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+        right = staying.select("shingle", F.col("node").alias("b"), F.col("size").alias("m"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        met = left.join(right.hint("merge"), ["shingle", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike_sizes)
+        links = links.unionByName(tested(enough(met, similarity)))
+        if moved.isEmpty():
+            break
+        last = heavy if last is None else last.unionByName(heavy)
+        each = ordered_shingles(texts_of(moved), "node", shingle, similarity, whole=True).select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
+        late = each.join(last.withColumn("late", F.lit(1)), "shingle", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("late", "at"))
+        first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+        new = materialise(late.withColumn("rank", rank).filter(F.col("rank") <= first).select("node", "size", "shingle"), "moved-shingles")
+        current = current.join(moved, "node", "left_anti").unionByName(new)
+        placed = current.join(new.select("shingle").distinct(), "shingle", "left_semi").select("node", "size", "shingle")
+    return links
+
+
 def near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """row, node, root of every row with a near copy; a component's root is its row of smallest id. ``row`` is docs' key column."""
     nodes = sketches(docs, row, id_col, text_col)
@@ -265,6 +373,11 @@ def near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str
     # a node without a link is a component of its own
     apart = joined.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
     links = first.unionByName(materialise(alike(apart, sets, similarity), "more-links"))
+    named = nodes.select(F.col("row").alias(own), F.col("node").alias(node))
+    texts = docs.select(docs[row].alias("row"), docs[text_col].cast("string").alias("text"))
+    firsts = ordered_shingles(texts, "row", shingle, similarity).join(sent(named, nodes.count()), F.col("row") == F.col(own)).select(F.col(node).alias("node"), "size", "shingles")
+    placed = materialise(firsts, "first-shingles").select("node", "size", F.explode("shingles").alias("shingle"))
+    links = complete(placed, links, texts_of, shingle, similarity)
     return components(links).join(nodes.select("node", "row"), "node").select("row", "node", "root")
 
 

@@ -193,3 +193,49 @@ def test_case_variants_and_repeats_of_few_words(spark):
     """A hundred texts that no sketch tells apart."""
     texts = {i: " ".join(("Aa" if (i >> k) & 1 else "aa") if k < 7 else "b" for k in range(40)) for i in range(100)} | {500: "aa b " * 20}
     assert joined(spark, texts)[0] == 100 * 99 // 2
+
+
+def test_no_link_is_lost(spark):
+    """Families in crowded cells, a footer that all texts share, short texts, and pairs whose sketches are far apart: all links, not most."""
+    rng = np.random.default_rng(14)
+    footer, texts = [f"f{i}" for i in range(16)], {}
+    for i in range(150):  # one edit in 60 words leaves 0.8 or less over, two of three
+        one = [f"w{x}" for x in rng.integers(0, 400, 50)]
+        texts[3 * i] = " ".join([*one, *footer])
+        texts[3 * i + 1] = " ".join([*edited(one, rng, 1), *footer])
+        texts[3 * i + 2] = " ".join([*edited(one, rng, 2), *footer])
+    for i in range(300):
+        one = [f"v{x}" for x in rng.integers(0, 12, 24)]
+        texts[1000 + 2 * i], texts[1001 + 2 * i] = " ".join(one), " ".join([*one, f"u{i}"][int(rng.integers(0, 3)) :])
+    for i in range(60):  # few distinct words, all changed at the ends
+        one = [f"a{i}"] * 3 + [f"b{i} c{i}"] * 20
+        texts[2000 + 2 * i], texts[2001 + 2 * i] = " ".join(one), " ".join([*one, f"p{i} q{i}"])
+    for options in ({}, {"radius": 0}):
+        frame = keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "row")
+        own = {r["doc_id"]: r["root"] for r in near_copies.near_copies(frame, "row", **options).join(frame, "row").select("doc_id", "root").collect()}
+        root, links = brute_near(texts)
+        assert len(links) > 300 and all(a in own and own[a] == own.get(b) for a, b in links)
+        assert set(own) == {x for link in links for x in link} and all(len({root[j] for j in own if own[j] == r}) == 1 for r in set(own.values()))
+
+
+def test_shingles_that_crowd_come_last(spark):
+    """Sections of a common stock in all texts: turns of moving, then pairs in full, against a search of all pairs."""
+    rng = np.random.default_rng(15)
+    stock = [[f"s{k}w{i}" for i in range(12)] for k in range(14)]
+    texts = {}
+    for i in range(240):
+        picked = [w for k in rng.choice(14, int(rng.integers(3, 12)), replace=False) for w in stock[k]]
+        texts[i] = " ".join([*picked, *(f"x{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 30))))])
+    for i in range(240, 300):
+        texts[i] = " ".join(edited(texts[i - 240].split(), rng, int(rng.integers(1, 3))))
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    firsts = near_copies.ordered_shingles(frame, "node", 5, 0.8)
+    placed = firsts.select("node", "size", F.explode("shingles").alias("shingle"))
+    root, links = brute_near(texts)
+    assert len(links) > 40
+    for crowd, turns in ((10, 3), (10, 0), (10**6, 3)):
+        found = near_copies.complete(placed, none, lambda some: frame.join(some, "node").select("node", "text"), 5, 0.8, crowd, turns)
+        own = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
+        assert set(own) == {x for link in links for x in link}, (crowd, turns)
+        assert all(own[a] == own[b] for a, b in links) and all(len({root[j] for j in own if own[j] == r}) == 1 for r in set(own.values()))
