@@ -7,8 +7,8 @@ The ratio is 2 M / (|a| + |b|), M the characters in matching blocks. Between two
 
 neighbouring pairs, counted with repeats, and neither is shorter than t / (2 - t) of the other. That is a set-overlap join: tokens are a text's pairs, the second
 occurrence of one being another token, in one order for all texts, the rarest first. Texts of enough overlap share a token among the first few of each (prefix
-filter); where such a token stands bounds what can follow (positional filter); then the overlap itself is counted, and the ratio computed for what is left. No
-pair that reaches the threshold is lost. ``least`` has to be over 2/3, below which the bound says nothing.
+filter); where such a token stands bounds what can follow (positional filter); then the overlap itself is counted, and the ratio computed for what is left. Texts so short that the bound
+is no pair at all meet by their characters. No pair that reaches the threshold is lost. ``least`` has to be over 2/3, below which the bound says nothing.
 """
 
 from __future__ import annotations
@@ -61,7 +61,13 @@ def similar(left: DataFrame, right: DataFrame, left_text: str, right_text: str,
     can_reach = F.least("at", "at2") + 1 + F.least(F.size("tokens") - F.col("at"), F.size("tokens2") - F.col("at2")) - 1 >= need
     met = one.join(other, [*keys, "token"]).filter(lengths & can_reach).select(*keys, "text", "text2", "n", "n2", "tokens", "tokens2").dropDuplicates([*keys, "text", "text2"])
     near = met.filter(F.size(F.array_intersect("tokens", "tokens2")) >= need).select(*keys, "text", "text2")
-    # equal texts need no pairs; texts too short to have to share one are equal or don't reach the ratio
+    # texts too short to have to share a pair of neighbours: their matching blocks are single characters, so they share a character
+    short = texts(left, left_text).withColumn("n", F.length("text"))
+    few = texts(right, right_text).select(*keys, F.col("text").alias("text2"), F.length("text").alias("n2"))
+    letters = lambda rows, c: rows.filter(F.length(c) * (2 / (2 - least)) <= 1 / (1.5 * least - 1) + 1e-6).withColumn("letter", F.explode(F.array_distinct(F.split(c, ""))))
+    brief = letters(short, "text").join(letters(few, "text2"), [*keys, "letter"]).filter(lengths & (need <= 0)).select(*keys, "text", "text2")
+    near = near.unionByName(brief)
+    # equal texts need neither
     same = texts(left, left_text).join(texts(right, right_text), [*keys, "text"]).select(*keys, "text", F.col("text").alias("text2"))
     scored = near.unionByName(same).distinct().withColumn("ratio", ratio(F.col("text"), F.col("text2"))).filter(F.col("ratio") >= least)
     return scored.withColumnsRenamed({"text": left_text, "text2": right_text})

@@ -67,3 +67,13 @@ def test_query_against_brute_force(spark):
     left, right = ({(r["c_nationkey"], r[c]) for r in side.collect()} for side, c in zip(named_sides(spark, sf), ("c_name", "s_name"), strict=True))
     found = {(r["c_nationkey"], r["c_name"], r["s_name"]): r["ratio"] for r in library.QUERIES["similar_names"](spark, sf).collect()}
     assert found == {(n, x, y): pytest.approx(plain(x, y)) for n, x in left for m, y in right if n == m and plain(x, y) >= 0.7} and found
+
+
+@pytest.mark.parametrize("least", [0.7, 0.8])
+def test_short_texts_without_a_common_pair(spark, least):
+    """Ratio 0.75 or more by single characters alone, beside all short texts of two letters."""
+    some = ["aaa", "ababa", "abc", "axbxc", "a", "ab", "ba", "aba", "aa", "bab", "abababab", "aaaa", "acacaca"]
+    left = spark.createDataFrame([(t,) for t in some], "name string")
+    found = {(r["name"], r["other"]) for r in similarity.similar(left, left.withColumnRenamed("name", "other"), "name", "other", least).collect()}
+    assert found == {(x, y) for x in some for y in some if plain(x, y) >= least}
+    assert least > 0.75 or ("aaa", "ababa") in found
