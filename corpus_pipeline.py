@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strictbefore.llm import bpe, exact_dedup, lang_id, mixing, near_copies
-from strictbefore.llm.common import materialise
+from strictbefore.llm.common import materialise, trim
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lang_id.keep_known(docs, lang_id.learn(docs))
+    net = lang_id.learn(docs)
+    trim()  # training is over, and what it took on the driver isn't needed any more
+    return lang_id.keep_known(docs, net)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,11 @@ The shingle test reads the candidates' texts. It is first made of each row's nea
 pairs whose ends are by then in one component need it no more.
 
 The candidates are found by drawn grids, divided cells and a radius, so links can be missed: `near_pairs` and `candidates` find most, and leave families of near copies as few components.
-The rest is found exactly (``complete``), by a set-overlap join of shingles between components. All texts' shingles stand in one order: those that crowd the join last, else
-the longest first (long ones are seldom met by chance), then by hash. Texts of enough similarity share a shingle among the first few of each (prefix filter). How many they share there bounds
-how many they share at all; where that is enough the sets decide. A shingle whose texts of different components make over CROWD pairs goes to the end of the order, and the texts that had it
+The rest is found exactly (``complete``), by a set-overlap join of shingles between components. All texts' shingles stand in one order: the most frequent ones last, else
+the longest first (long ones are seldom met by chance), then by hash. Frequencies are counted in all texts, of what repeats within a batch of them, and the OFTEN highest are sent to the workers; they only
+decide the order, and every order finds the same links. Texts of enough similarity share a shingle among the first few of each (prefix filter). How many they share there bounds
+how many they share at all; where that is enough the sets decide. Where pairs would be over FULL times the rows, families are first joined through one text a shingle.
+A shingle that isn't at the end of the order yet and whose texts of different components make over CROWD pairs goes there, and the texts that had it
 among their first ones get more of their own instead, turn after turn; what then still has such shingles among its first ones is paired in full. So no link is lost between components, and
 none is made that the texts don't bear out.
 
@@ -53,6 +55,8 @@ AXES, AXES_ROWS, ORDER = 12, 1 << 16, 3
 MORE_AXES, FINER_AXES = (6,), (6, 16)
 #: Pairs of a shingle's texts beyond which it goes to the end of the order, turns of that, and texts of a shingle that are paired at a time.
 CROWD, TURNS, BLOCK = 500, 4, 256
+#: Frequent shingles that stand last in the order from the start, and pairs a row up to which all are made without more ado.
+OFTEN, FULL = 1 << 17, 8
 #: Words spread at a time.
 STEP = 1 << 14
 #: Odd multipliers of a 64-bit finaliser.
@@ -256,8 +260,46 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (every - F.col("shared"))).select("a", "b")
 
 
-def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float, whole: bool = False) -> DataFrame:
-    """key, size, shingles of a table (key, text) of texts with words: the first shingles in the order, or all; ``size`` counts all."""
+def often(texts: DataFrame, shingle: int, most: int = OFTEN) -> DataFrame:
+    """shingle, n: frequent shingles of a column of texts, ``most`` at most; n: how many texts have it, of the batches in which more than one has."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.concatenate([shingle_hashes(x.as_py(), shingle) for x in batch.column(0)] or [np.zeros(0, "<u8")])
+            found, counts = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["shingle", "n"])
+        trim()
+
+    bounded_batches(texts.sparkSession)
+    found = materialise(texts.mapInArrow(mapped, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "repeated")
+    least, held = 1001, 0
+    for n, count in sorted(found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True):
+        held += count
+        if held > most and least < 1001:
+            break
+        least = n
+    kept = found.filter(F.col("n") >= least)
+    return materialise(kept.limit(most), "often") if held > most and least == 1000 else kept
+
+
+def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float, whole: bool = False, last: DataFrame | None = None) -> DataFrame:
+    """key, size, shingles of a table (key, text) of texts with words: the first shingles in the order, or all; ``size`` counts all.
+
+    ``last`` (shingle, n): shingles at the end of the order, by n.
+    """
+    shipped = None
+    if last is not None:
+        table = last.select("shingle", "n").toArrow()
+        known, weights = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        by_hash = np.argsort(known)
+        shipped = texts.sparkSession.sparkContext.broadcast((known[by_hash], weights[by_hash])) if len(known) else None
+
+    def late(hashes: np.ndarray) -> np.ndarray:
+        if shipped is None:
+            return np.zeros(len(hashes), np.int64)
+        known, weights = shipped.value
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, weights[at], 0)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +310,7 @@ def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float
                     kept.append(i)
                     sizes.append(len(hashes))
                     most = len(hashes) if whole else first_of(len(hashes), similarity)
-                    lists.append(hashes[np.lexsort((hashes, -lengths))[:most]].view(np.int64))
+                    lists.append(hashes[np.lexsort((hashes, -lengths, late(hashes)))[:most]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=[key, "size", "shingles"])
         trim()
 
@@ -280,15 +322,28 @@ def sent(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
 
 
-def between(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """shingle, node, size, root: the rows of ``placed`` whose shingle is met in more than one of the links' components."""
+def shared_by_texts(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose shingle more than one text has."""
+    own = Window.partitionBy("shingle")
+    seen = placed.select("shingle", "node", "size").withColumn("least", F.min("node").over(own)).withColumn("most", F.max("node").over(own)).filter("least < most")
+    return materialise(seen.select("shingle", "node", "size"), "shared-shingles")
+
+
+def between(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """shingle, node, size, root: the rows of ``shared`` whose shingle is met in more than one of the links' components."""
     roots = components(links)
-    rooted = placed.select("shingle", "node", "size").join(sent(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.select("shingle", "node", "size").join(sent(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = Window.partitionBy("shingle")
     seen = rooted.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own)).filter("least < most")
     return materialise(seen.select("shingle", "node", "size", "root"), "between")
 
 
+def pair_numbers(shared: DataFrame) -> DataFrame:
+    """shingle, n, pairs: how many rows of ``shared`` have a shingle, and how many pairs of different components they make."""
+    sizes = shared.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    return materialise(sizes.select("shingle", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")), "shingle-sizes")
+
+
 def enough(met: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs of rows (a, n, b, m), one for every first shingle that texts a and b of n and m shingles share, that can be links.
 
@@ -300,44 +355,48 @@ def enough(met: DataFrame, similarity: float) -> DataFrame:
     return counted.filter(F.col("k") + behind >= F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)).select("a", "b")
 
 
-def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, crowd: int = CROWD, turns: int = TURNS) -> DataFrame:
-    """``links``, and links that join all components between which there is a link. ``placed``: node, size, shingle of every text's first shingles."""
+def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, crowd: int = CROWD, turns: int = TURNS, ends: DataFrame | None = None) -> DataFrame:
+    """``links``, and links that join all components between which there is a link. ``placed``: node, size, shingle of every text's first shingles in the order that ends with ``ends``."""
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "overlaps")
-        ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
-        return materialise(alike(pairs, shingle_sets(texts_of(ends), shingle), similarity), "rest-links")
+        asked = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+        return materialise(alike(pairs, shingle_sets(texts_of(asked), shingle), similarity), "rest-links")
 
     alike_sizes = (F.col("n") >= F.col("m") * similarity - 1e-9) & (F.col("m") >= F.col("n") * similarity - 1e-9)
-    current, last = placed, None
+    current, last = placed, None if ends is None else ends.select("shingle")
     for turn in range(turns + 1):
-        shared = between(placed, links)
-        if shared.isEmpty():
+        shared = between(shared_by_texts(placed), links)
+        sizes = pair_numbers(shared)
+        rows, pairs, most = sizes.agg(F.sum("n"), F.sum("pairs"), F.max("pairs")).first()
+        if rows is None:
             break
-        # first of all with a shingle's leader, one partner a text: that makes one component of most families
-        leaders = shared.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "root"), "node").alias("at"))
-        led = shared.join(leaders, "shingle").filter(F.col("root") != F.col("at.root")).select(F.col("at.node").alias("a"), F.col("at.size").alias("n"), F.col("node").alias("b"), F.col("size").alias("m"))
-        one = enough(led.filter(alike_sizes), similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = links.unionByName(tested(one))
-        shared = between(shared, links)
-        sizes = shared.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        sizes = materialise(sizes.withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2), "shingle-sizes")
-        heavy = sizes.filter(F.col("pairs") > crowd).select("shingle")
-        if last is not None:
-            heavy = heavy.join(last, "shingle", "left_anti")
-        heavy = materialise(heavy if turn < turns else heavy.limit(0), "heavy")
-        moved = materialise(shared.join(heavy, "shingle", "left_semi").select("node").distinct(), "moved")
-        # texts that get other first shingles are compared by these, in the next turn
+        if pairs > FULL * rows:
+            # first of all with a shingle's leader, one partner a text: that makes one component of most families
+            leaders = shared.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "root"), "node").alias("at"))
+            led = shared.join(leaders, "shingle").filter(F.col("root") != F.col("at.root")).select(F.col("at.node").alias("a"), F.col("at.size").alias("n"), F.col("node").alias("b"), F.col("size").alias("m"))
+            one = enough(led.filter(alike_sizes), similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            links = links.unionByName(tested(one))
+            shared = between(shared, links)
+            sizes = pair_numbers(shared)
+        moved, staying = None, shared
+        if most > crowd and turn < turns:
+            heavy = sizes.filter(F.col("pairs") > crowd).select("shingle")
+            heavy = materialise(heavy if last is None else heavy.join(last, "shingle", "left_anti"), "heavy")
+            if not heavy.isEmpty():
+                # texts that get other first shingles are compared by these, in the next turn
+                moved = materialise(shared.join(heavy, "shingle", "left_semi").select("node").distinct(), "moved")
+                staying = shared.join(moved, "node", "left_anti")
         split = sizes.select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        staying = shared.join(moved, "node", "left_anti").join(split, "shingle")
+        staying = staying.join(split, "shingle")
         left = staying.select("shingle", F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
         right = staying.select("shingle", F.col("node").alias("b"), F.col("size").alias("m"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         met = left.join(right.hint("merge"), ["shingle", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike_sizes)
         links = links.unionByName(tested(enough(met, similarity)))
-        if moved.isEmpty():
+        if moved is None:
             break
         last = heavy if last is None else last.unionByName(heavy)
-        each = ordered_shingles(texts_of(moved), "node", shingle, similarity, whole=True).select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
+        each = ordered_shingles(texts_of(moved), "node", shingle, similarity, True, ends).select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
         late = each.join(last.withColumn("late", F.lit(1)), "shingle", "left").withColumn("late", F.coalesce("late", F.lit(0)))
         rank = F.row_number().over(Window.partitionBy("node").orderBy("late", "at"))
         first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
@@ -375,9 +434,10 @@ def near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str
     links = first.unionByName(materialise(alike(apart, sets, similarity), "more-links"))
     named = nodes.select(F.col("row").alias(own), F.col("node").alias(node))
     texts = docs.select(docs[row].alias("row"), docs[text_col].cast("string").alias("text"))
-    firsts = ordered_shingles(texts, "row", shingle, similarity).join(sent(named, nodes.count()), F.col("row") == F.col(own)).select(F.col(node).alias("node"), "size", "shingles")
+    ends = often(texts.select("text"), shingle)
+    firsts = ordered_shingles(texts, "row", shingle, similarity, last=ends).join(named.hint("merge"), F.col("row") == F.col(own)).select(F.col(node).alias("node"), "size", "shingles")
     placed = materialise(firsts, "first-shingles").select("node", "size", F.explode("shingles").alias("shingle"))
-    links = complete(placed, links, texts_of, shingle, similarity)
+    links = complete(placed, links, texts_of, shingle, similarity, ends=ends)
     return components(links).join(nodes.select("node", "row"), "node").select("row", "node", "root")
 
 

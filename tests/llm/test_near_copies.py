@@ -239,3 +239,31 @@ def test_shingles_that_crowd_come_last(spark):
         own = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
         assert set(own) == {x for link in links for x in link}, (crowd, turns)
         assert all(own[a] == own[b] for a, b in links) and all(len({root[j] for j in own if own[j] == r}) == 1 for r in set(own.values()))
+
+
+def test_frequent_shingles_stand_last(spark):
+    """A passage of long words in all texts and stock sections: nothing of them is among the first shingles, and all links are found whether the frequent ones fit the list or not."""
+    rng = np.random.default_rng(16)
+    passage, texts = [f"verylongwordofapassage{i}" for i in range(20)], {}
+    for i in range(120):
+        texts[2 * i] = " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 60)), *passage])
+        texts[2 * i + 1] = " ".join(edited(texts[2 * i].split(), rng, 1))
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string").repartition(3)
+    none = spark.createDataFrame([], "a long, b long")
+    root, links = brute_near(texts)
+    common = set(near_copies.shingle_hashes(" ".join(passage), 5).view(np.int64).tolist())
+    assert len(links) >= 100
+    for most in (1 << 17, 5):
+        last = near_copies.often(frame.select("text"), 5, most)
+        listed = {r["shingle"] for r in last.collect()}
+        firsts = near_copies.ordered_shingles(frame, "node", 5, 0.8, last=last)
+        if most > 5:
+            assert listed > common and not any(common & set(r["shingles"]) for r in firsts.collect())
+        else:
+            assert listed <= common
+        placed = firsts.select("node", "size", F.explode("shingles").alias("shingle"))
+        for crowd in (20, 500):
+            found = near_copies.complete(placed, none, lambda some: frame.join(some, "node").select("node", "text"), 5, 0.8, crowd, ends=last)
+            own = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
+            assert set(own) == {x for link in links for x in link} and all(own[a] == own[b] for a, b in links)
+            assert all(len({root[j] for j in own if own[j] == r}) == 1 for r in set(own.values()))
