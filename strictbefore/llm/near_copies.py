@@ -23,7 +23,9 @@ The candidates are found by drawn grids, divided cells and a radius, so links ca
 The rest is found exactly (``complete``), by a set-overlap join of shingles between components. All texts' shingles stand in one order: the most frequent ones last, else
 the longest first (long ones are seldom met by chance), then by hash. Frequencies are counted in all texts, of what repeats within a batch of them, and the OFTEN highest are sent to the workers; they only
 decide the order, and every order finds the same links. Texts of enough similarity share a shingle among the first few of each (prefix filter). How many they share there bounds
-how many they share at all; where that is enough the sets decide. Where pairs would be over FULL times the rows, families are first joined through one text a shingle.
+how many they share at all; where that is enough the sets decide. Two bounds are looked at before a pair is made, as most texts that meet do so by chance: how many of a text's first
+shingles any other text has among its own bounds what it shares with each (``reach``), and the texts' shingles hashed to PARITY bits, a bit for an odd number of them, differ in no more bits than
+the sets do in shingles. Shingles of the same texts are one group, and where two texts have the same groups one after the other, a pair is made at the first and the last of these only. Where pairs would be over FULL times the rows, families are first joined through one text a shingle.
 A shingle that isn't at the end of the order yet and whose texts of different components make over CROWD pairs goes there, and the texts that had it
 among their first ones get more of their own instead, turn after turn; what then still has such shingles among its first ones is paired in full. So no link is lost between components, and
 none is made that the texts don't bear out.
@@ -57,6 +59,8 @@ MORE_AXES, FINER_AXES = (6,), (6, 16)
 CROWD, TURNS, BLOCK = 500, 4, 256
 #: Frequent shingles that stand last in the order from the start, and pairs a row up to which all are made without more ado.
 OFTEN, FULL = 1 << 17, 8
+#: Longs of a text's parity bits.
+PARITY = 8
 #: Words spread at a time.
 STEP = 1 << 14
 #: Odd multipliers of a 64-bit finaliser.
@@ -64,6 +68,7 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
 NAMES, FINER = [f"s{k}" for k in range(WORDS)], [f"z{k}" for k in range(WORDS)]
+ODD = [f"o{k}" for k in range(PARITY)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -88,6 +93,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return shingles_of(text, shingle)[0]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY signed 64-bit words: which of their bits an odd number of the hashes fall on. Those of two sets differ in as many bits as the sets do in hashes, or in fewer."""
+    return np.packbits(np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1, bitorder="little").view("<i8")
+
+
 def first_of(size: int, similarity: float) -> int:
     """How many first shingles of a text of ``size`` are compared: without them too few are left for a link."""
     return size - math.ceil(size * similarity - 1e-9) + 1
@@ -283,7 +293,7 @@ def often(texts: DataFrame, shingle: int, most: int = OFTEN) -> DataFrame:
 
 
 def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float, whole: bool = False, last: DataFrame | None = None) -> DataFrame:
-    """key, size, shingles of a table (key, text) of texts with words: the first shingles in the order, or all; ``size`` counts all.
+    """key, size, shingles, parity of a table (key, text) of texts with words: the first shingles in the order, or all; ``size`` counts and ``parity`` covers all.
 
     ``last`` (shingle, n): shingles at the end of the order, by n.
     """
@@ -303,19 +313,21 @@ def ordered_shingles(texts: DataFrame, key: str, shingle: int, similarity: float
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, lists = [], [], []
+            kept, sizes, lists, odd = [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 hashes, lengths = shingles_of(text.as_py(), shingle)
                 if len(hashes):
                     kept.append(i)
                     sizes.append(len(hashes))
+                    odd.append(parity(hashes))
                     most = len(hashes) if whole else first_of(len(hashes), similarity)
                     lists.append(hashes[np.lexsort((hashes, -lengths, late(hashes)))[:most]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=[key, "size", "shingles"])
+            columns = [pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *columns], names=[key, "size", "shingles", "parity"])
         trim()
 
     bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(mapped, f"{key} {texts.schema[key].dataType.simpleString()}, size int, shingles array<long>")
+    return texts.mapInArrow(mapped, f"{key} {texts.schema[key].dataType.simpleString()}, size int, shingles array<long>, parity array<long>")
 
 
 def sent(table: DataFrame, rows: int) -> DataFrame:
@@ -329,13 +341,34 @@ def shared_by_texts(placed: DataFrame) -> DataFrame:
     return materialise(seen.select("shingle", "node", "size"), "shared-shingles")
 
 
+def reach(size: Column, met: Column, similarity: float) -> Column:
+    """The size of the largest text that can be a link of one of ``size``, if of the two its first shingles end first in the order, and other texts have ``met`` of these among theirs.
+
+    All that the other has of its first shingles are among the other's first ones then, so they share no more than ``met`` and what lies behind them.
+    """
+    return (met + F.ceil(size * similarity - 1e-9) - 1 + 1e-6) * ((1 + similarity) / similarity) - size
+
+
 def between(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """shingle, node, size, root: the rows of ``shared`` whose shingle is met in more than one of the links' components."""
+    """shingle, node, size, reach, root, front, same: the rows of ``shared`` whose shingle is met in more than one of the links' components, and by a text within reach or whose reach they are in.
+
+    Shingles of the same texts have one ``same``, a hash, and ``front``, the first of these.
+    """
     roots = components(links)
-    rooted = shared.select("shingle", "node", "size").join(sent(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.select("shingle", "node", "size", "reach").join(sent(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = Window.partitionBy("shingle")
-    seen = rooted.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own)).filter("least < most")
-    return materialise(seen.select("shingle", "node", "size", "root"), "between")
+    bounds = {"least": F.min("root"), "most": F.max("root"), "smallest": F.min("size"), "furthest": F.max("reach"), "front": F.min("node"), "held": F.count("*"), "mark": F.bit_xor(F.xxhash64("node"))}
+    seen = rooted.withColumns({name: c.over(own) for name, c in bounds.items()})
+    seen = seen.filter((F.col("least") < F.col("most")) & ((F.col("smallest") <= F.col("reach")) | (F.col("size") <= F.col("furthest"))))
+    return materialise(seen.select("shingle", "node", "size", "reach", "root", "front", F.xxhash64("front", "held", "mark").alias("same")), "between")
+
+
+def grouped(shared: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """The rows of ``shared`` with shingles of the same texts made one: same, front, node, size, reach, root, w (shingles), upto (a running sum of w by node), before and after (the node's ``same`` on either side), and parity bits."""
+    one = shared.groupBy("same", "front", "node").agg(F.count("*").alias("w"), *[F.first(c).alias(c) for c in ("size", "reach", "root")])
+    along = Window.partitionBy("node").orderBy("front", "same")
+    out = one.withColumns({"upto": F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag("same").over(along), "after": F.lead("same").over(along)})
+    return materialise(out if odd is None else out.join(odd.hint("merge"), "node"), "groups")
 
 
 def pair_numbers(shared: DataFrame) -> DataFrame:
@@ -345,37 +378,53 @@ def pair_numbers(shared: DataFrame) -> DataFrame:
 
 
 def enough(met: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs of rows (a, n, b, m), one for every first shingle that texts a and b of n and m shingles share, that can be links.
+    """The distinct pairs of rows (a, n, b, m, k) that can be links; k sums to the number of first shingles that texts a and b of n and m shingles share.
 
     Of the text whose first ones end first in the order, all else stands behind these; so beside the shared first ones, the texts share no more
     than what lies behind the first ones of the larger.
     """
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    counted = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     behind = F.ceil(F.greatest("n", "m") * similarity - 1e-9) - 1
     return counted.filter(F.col("k") + behind >= F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)).select("a", "b")
 
 
-def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, crowd: int = CROWD, turns: int = TURNS, ends: DataFrame | None = None) -> DataFrame:
-    """``links``, and links that join all components between which there is a link. ``placed``: node, size, shingle of every text's first shingles in the order that ends with ``ends``."""
+def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, crowd: int = CROWD, turns: int = TURNS, ends: DataFrame | None = None, odd: DataFrame | None = None) -> DataFrame:
+    """``links``, and links that join all components between which there is a link. ``placed``: node, size, shingle of every text's first shingles in the order that ends with ``ends``.
+
+    ``odd``: every node's parity bits, o0, o1, ...
+    """
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "overlaps")
         asked = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
         return materialise(alike(pairs, shingle_sets(texts_of(asked), shingle), similarity), "rest-links")
 
+    bits = [] if odd is None else ODD
+    side = lambda node, size: [F.col("node").alias(node), F.col("size").alias(size), *[F.col(c).alias(f"{node}_{c}") for c in ("root", "reach", "before", "after", *bits)]]
     alike_sizes = (F.col("n") >= F.col("m") * similarity - 1e-9) & (F.col("m") >= F.col("n") * similarity - 1e-9)
+    possible = (F.col("a_root") != F.col("b_root")) & alike_sizes & ((F.col("m") <= F.col("a_reach")) | (F.col("n") <= F.col("b_reach")))
+    if bits:
+        apart = sum((F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}"))) for o in bits), F.lit(0))
+        possible &= apart <= F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
+    # a stretch of groups that both texts have one after the other is met at its ends only
+    begins, ends_here = (F.coalesce(F.col(f"a_{c}") != F.col(f"b_{c}"), F.lit(True)) for c in ("before", "after"))
+    counted = F.when(ends_here, F.col("upto")).otherwise(0) - F.when(begins, F.col("upto") - F.col("w")).otherwise(0)
     current, last = placed, None if ends is None else ends.select("shingle")
     for turn in range(turns + 1):
-        shared = between(shared_by_texts(placed), links)
+        seen = shared_by_texts(placed)
+        # in later turns, what a text shares isn't all there
+        met = F.col("size") if turn else F.count("*").over(Window.partitionBy("node"))
+        shared = between(seen.withColumn("reach", reach(F.col("size"), met, similarity)), links)
         sizes = pair_numbers(shared)
-        rows, pairs, most = sizes.agg(F.sum("n"), F.sum("pairs"), F.max("pairs")).first()
+        rows, made, most = sizes.agg(F.sum("n"), F.sum("pairs"), F.max("pairs")).first()
         if rows is None:
             break
-        if pairs > FULL * rows:
+        if made > FULL * rows:
             # first of all with a shingle's leader, one partner a text: that makes one component of most families
-            leaders = shared.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "root"), "node").alias("at"))
-            led = shared.join(leaders, "shingle").filter(F.col("root") != F.col("at.root")).select(F.col("at.node").alias("a"), F.col("at.size").alias("n"), F.col("node").alias("b"), F.col("size").alias("m"))
-            one = enough(led.filter(alike_sizes), similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            groups = grouped(shared, odd)
+            leaders = groups.filter("node = front").select("same", *side("a", "n"))
+            led = groups.select("same", *side("b", "m"), F.col("w").alias("k")).join(leaders, "same").filter(possible)
+            one = enough(led, similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             links = links.unionByName(tested(one))
             shared = between(shared, links)
             sizes = pair_numbers(shared)
@@ -385,14 +434,14 @@ def complete(placed: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame]
             heavy = materialise(heavy if last is None else heavy.join(last, "shingle", "left_anti"), "heavy")
             if not heavy.isEmpty():
                 # texts that get other first shingles are compared by these, in the next turn
-                moved = materialise(shared.join(heavy, "shingle", "left_semi").select("node").distinct(), "moved")
+                moved = materialise(seen.join(heavy, "shingle", "left_semi").select("node").distinct(), "moved")
                 staying = shared.join(moved, "node", "left_anti")
-        split = sizes.select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        staying = staying.join(split, "shingle")
-        left = staying.select("shingle", F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-        right = staying.select("shingle", F.col("node").alias("b"), F.col("size").alias("m"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        met = left.join(right.hint("merge"), ["shingle", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike_sizes)
-        links = links.unionByName(tested(enough(met, similarity)))
+        staying = grouped(staying, odd)
+        staying = staying.join(staying.groupBy("same").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "same")
+        left = staying.select("same", "w", "upto", *side("a", "n"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+        right = staying.select("same", *side("b", "m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        pairs = left.join(right.hint("merge"), ["same", "block"]).filter((F.col("a") < F.col("b")) & possible & (begins | ends_here)).withColumn("k", counted)
+        links = links.unionByName(tested(enough(pairs, similarity)))
         if moved is None:
             break
         last = heavy if last is None else last.unionByName(heavy)
@@ -435,9 +484,11 @@ def near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str
     named = nodes.select(F.col("row").alias(own), F.col("node").alias(node))
     texts = docs.select(docs[row].alias("row"), docs[text_col].cast("string").alias("text"))
     ends = often(texts.select("text"), shingle)
-    firsts = ordered_shingles(texts, "row", shingle, similarity, last=ends).join(named.hint("merge"), F.col("row") == F.col(own)).select(F.col(node).alias("node"), "size", "shingles")
-    placed = materialise(firsts, "first-shingles").select("node", "size", F.explode("shingles").alias("shingle"))
-    links = complete(placed, links, texts_of, shingle, similarity, ends=ends)
+    firsts = ordered_shingles(texts, "row", shingle, similarity, last=ends).join(named.hint("merge"), F.col("row") == F.col(own)).select(F.col(node).alias("node"), "size", "shingles", "parity")
+    firsts = materialise(firsts, "first-shingles")
+    odd = firsts.select("node", *[F.get("parity", F.lit(k)).alias(o) for k, o in enumerate(ODD)])
+    placed = firsts.select("node", "size", F.explode("shingles").alias("shingle"))
+    links = complete(placed, links, texts_of, shingle, similarity, ends=ends, odd=odd)
     return components(links).join(nodes.select("node", "row"), "node").select("row", "node", "root")
 
 

@@ -267,3 +267,38 @@ def test_frequent_shingles_stand_last(spark):
             own = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
             assert set(own) == {x for link in links for x in link} and all(own[a] == own[b] for a, b in links)
             assert all(len({root[j] for j in own if own[j] == r}) == 1 for r in set(own.values()))
+
+
+def test_pairs_are_made_once_or_not_at_all(spark, monkeypatch):
+    """A passage among the first shingles of all texts: a pair isn't made for each shingle of it, with parity bits hardly any but links are made, and no link is lost."""
+    rng = np.random.default_rng(17)
+    passage, texts = [f"verylongwordofapassage{i}" for i in range(60)], {}
+    for i in range(40):
+        texts[i] = " ".join([*passage, *(f"w{rng.integers(10**6)}" for _ in range(40))])
+    for i in range(40, 48):
+        texts[i] = " ".join(edited(texts[i - 40].split(), rng, 1))
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string").coalesce(2)
+    none = spark.createDataFrame([], "a long, b long")
+    firsts = near_copies.ordered_shingles(frame, "node", 5, 0.8)
+    placed = firsts.select("node", "size", F.explode("shingles").alias("shingle"))
+    odd = firsts.select("node", *[F.get("parity", F.lit(k)).alias(o) for k, o in enumerate(near_copies.ODD)])
+    root, links = brute_near(texts)
+    assert len(links) >= 8
+    made, enough = [], near_copies.enough
+    monkeypatch.setattr(near_copies, "enough", lambda met, similarity: made.append(met.count()) or enough(met, similarity))
+    for options, most in (({}, 4 * 48 * 47 // 2), ({"odd": odd}, 8 * len(links))):
+        made.clear()
+        found = near_copies.complete(placed, none, lambda some: frame.join(some, "node").select("node", "text"), 5, 0.8, 10**6, 0, **options)
+        own = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
+        assert set(own) == {x for link in links for x in link} and all(own[a] == own[b] for a, b in links)
+        assert 0 < sum(made) <= most
+
+
+def test_parity_bits_of_any_sets():
+    """Parity bits differ in no more bits than the sets in hashes, of any size."""
+    rng = np.random.default_rng(18)
+    for n, d in ((3, 0), (40, 9), (400, 88), (5000, 700), (5000, 5000)):
+        whole = rng.integers(0, 1 << 63, n + d, dtype=np.uint64)
+        a, b = whole[:n], np.concatenate([whole[d // 2 : n], whole[n:]])
+        bits = np.unpackbits((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint8)).sum()
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (bits > 0) == (d > 0)
