@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,19 +184,39 @@ def platt(p: Column, a: Column, b: Column) -> Column:
     return 1 / (1 + F.exp(-(a * F.ln(safe / (1 - safe)) + b)))
 
 
+def power_terms(means: pa.Array, max_goals: int = MAX_GOALS) -> np.ndarray:
+    """Rows of a mean's powers from none to ``max_goals``, then exp(-mean), by the C library as in the SQL: the JVM's differ from it in the last place. Nulls count as NaN."""
+
+    def safe(f, *args: float) -> float:
+        try:
+            return f(*args)
+        except OverflowError:
+            return math.inf
+
+    values = means.to_numpy(zero_copy_only=False).astype("float64").tolist()
+    return np.array([[*(safe(math.pow, v, k) for k in range(max_goals + 1)), safe(math.exp, -v)] for v in values], dtype="float64").reshape(len(values), max_goals + 2)
+
+
 def scorelines(home: Column, away: Column, n: int, rho: float = RHO, max_goals: int = MAX_GOALS) -> Column:
     """array<struct<home, away, p>> of the n most probable scores, the lower one first of equal ones.
 
-    The two arrays of Poisson terms are bound once; the cells are made, summed and sorted as arrays.
+    Scores such as 1-3 and 2-2 can be equal but for rounding, which then says which is first. So each cell is multiplied out in the SQL's order: the home side's
+    power, exp and factorial, the away side's, the factor, and then the division by the sum. An Arrow function over whole batches, as the C library's powers are needed.
     """
-    terms = lambda mean: F.array(*[poisson(k, mean) for k in range(max_goals + 1)])
-    each = F.sequence(F.lit(0), F.lit(max_goals))
-
-    def cells(s: Column) -> Column:
-        factor = lambda x, y: F.when((x == 0) & (y == 0), tau(0, 0, s["m"], s["n"], rho)).when((x == 0) & (y == 1), tau(0, 1, s["m"], s["n"], rho)).when((x == 1) & (y == 0), tau(1, 0, s["m"], s["n"], rho)).when((x == 1) & (y == 1), tau(1, 1, s["m"], s["n"], rho)).otherwise(1.0)
-        return F.flatten(F.transform(each, lambda x: F.transform(each, lambda y: F.struct((-F.get(s["h"], x) * F.get(s["a"], y) * factor(x, y)).alias("minus"), x.alias("home"), y.alias("away")))))
-
-    bound = F.array(F.struct(terms(home).alias("h"), terms(away).alias("a"), home.alias("m"), away.alias("n")))
-    made = F.transform(bound, lambda s: cells(s))
-    best = lambda c: F.transform(F.array(F.aggregate(c, F.lit(0.0), lambda t, x: t + x["minus"])), lambda t: F.transform(F.slice(F.array_sort(c), 1, n), lambda x: F.struct(x["home"].alias("home"), x["away"].alias("away"), (x["minus"] / t).alias("p"))))
-    return F.get(F.flatten(F.transform(made, best)), F.lit(0))
+    each = range(max_goals + 1)
+
+    @F.arrow_udf("array<struct<home: int, away: int, p: double>>")
+    def best(h: pa.Array, a: pa.Array) -> pa.Array:
+        x, y = power_terms(h, max_goals), power_terms(a, max_goals)
+        m, o = x[:, 1], y[:, 1]
+        factor = {(0, 0): 1 - rho * m * o, (0, 1): 1 + rho * m, (1, 0): 1 + rho * o, (1, 1): 1 - rho}
+        with np.errstate(invalid="ignore", over="ignore"):
+            cells = np.stack([x[:, i] * x[:, -1] / math.factorial(i) * y[:, j] * y[:, -1] / math.factorial(j) * factor.get((i, j), 1.0) for i in each for j in each], axis=1)
+            p = cells / np.add.accumulate(cells, axis=1)[:, -1:]
+        first = np.argsort(-p, axis=1, kind="stable")[:, :n]
+        chosen = np.take_along_axis(p, first, axis=1).ravel()
+        void = np.asarray(h.is_null()) | np.asarray(a.is_null())
+        parts = [pa.array((first.ravel() // len(each)).astype("int32")), pa.array((first.ravel() % len(each)).astype("int32")), pa.array(chosen, mask=np.repeat(void, first.shape[1]))]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype="int32") * first.shape[1]), pa.StructArray.from_arrays(parts, ["home", "away", "p"]))
+
+    return best(home.cast("double"), away.cast("double"))
