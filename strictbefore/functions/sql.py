@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes them temporary functions of the session. The scalar ones and ``score_grid`` are SQL expressions, inlined and optimised
 with the query that calls them. ``ratings`` is a table function in Python, for what no expression says: an ordered fold over the rows of a
-partition, read one at a time, with one number a team in memory.
+partition, read one at a time, with one number a team in memory. ``power_terms`` is an Arrow function: the C library's powers, which the SQL has too.
 
     SELECT m.fixture_id, g.home, g.away, g.p FROM matches m, LATERAL score_grid(m.home_xg, m.away_xg) g
     SELECT * FROM ratings(TABLE(finished) PARTITION BY league_id, season ORDER BY ts, fixture_id)
@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from strictbefore.functions.decision import MAX_ODDS_HOURS
-from strictbefore.functions.model import AWAY_FACTOR, HOME_FACTOR, HOME_RATING, MARGIN_SD, MAX_GOALS, RHO, START_RATING
+from strictbefore.functions.model import AWAY_FACTOR, HOME_FACTOR, HOME_RATING, MARGIN_SD, MAX_GOALS, RHO, START_RATING, power_terms
 
 SCALARS = {
     "poisson_pmf(k INT, mean DOUBLE)": ("DOUBLE", "CASE WHEN k < 0 OR mean < 0 THEN 0D WHEN k = 0 THEN exp(-mean) ELSE exp(k * ln(mean) - mean - aggregate(sequence(1, k), 0D, (s, i) -> s + ln(i))) END"),
@@ -44,11 +45,11 @@ SCALARS = {
     "margin_win(margin DOUBLE)": ("DOUBLE", None),
 }
 
-#: The score grid's cells as an array, summing to one: made once, their sum bound once, then divided.
+#: The score grid's cells as an array, summing to one: the C library's powers bound once, cells made once, their sum bound once, then divided; in the order that ``model.scorelines`` has.
 CELLS = f"""
-    transform(array(flatten(transform(sequence(0, {MAX_GOALS}), x -> transform(sequence(0, {MAX_GOALS}), y -> named_struct('home', x, 'away', y, 'p',
-        pow(home_xg, x) * exp(-home_xg) / factorial(x) * pow(away_xg, y) * exp(-away_xg) / factorial(y)
-        * CASE WHEN x = 0 AND y = 0 THEN 1 - home_xg * away_xg * ({RHO}D) WHEN x = 0 AND y = 1 THEN 1 + home_xg * ({RHO}D) WHEN x = 1 AND y = 0 THEN 1 + away_xg * ({RHO}D) WHEN x = 1 AND y = 1 THEN 1 - ({RHO}D) ELSE 1D END))))),
+    transform(array(transform(array(struct(power_terms(home_xg) AS h, power_terms(away_xg) AS a)), t -> flatten(transform(sequence(0, {MAX_GOALS}), x -> transform(sequence(0, {MAX_GOALS}), y -> named_struct('home', x, 'away', y, 'p',
+        t.h[x] * t.h[{MAX_GOALS + 1}] / factorial(x) * t.a[y] * t.a[{MAX_GOALS + 1}] / factorial(y)
+        * CASE WHEN x = 0 AND y = 0 THEN 1 - ({RHO}D) * home_xg * away_xg WHEN x = 0 AND y = 1 THEN 1 + home_xg * ({RHO}D) WHEN x = 1 AND y = 0 THEN 1 + away_xg * ({RHO}D) WHEN x = 1 AND y = 1 THEN 1 - ({RHO}D) ELSE 1D END)))))[0]),
       cells -> transform(array(aggregate(cells, 0D, (s, c) -> s + c.p)), whole -> transform(cells, c -> named_struct('home', c.home, 'away', c.away, 'p', c.p / whole)))[0])[0]"""
 CELLS = f"IF(home_xg IS NULL OR away_xg IS NULL, NULL, {CELLS})"
 SCALARS["score_cells(home_xg DOUBLE, away_xg DOUBLE)"] = ("ARRAY<STRUCT<home: INT, away: INT, p: DOUBLE>>", CELLS)
@@ -81,9 +82,16 @@ def erf_sql(x: str) -> str:
     return f"CASE WHEN abs({x}) > 6 THEN sign({x}) ELSE 2 / sqrt(pi()) * exp(-({x}) * ({x})) * aggregate(sequence(1, 120), named_struct('term', {x}, 'sum', {x}), (a, n) -> {term}, a -> a.sum) END"
 
 
+def powers_of(means: pa.Array) -> pa.Array:
+    """``power_terms`` as an array a row."""
+    terms = power_terms(means)
+    return pa.ListArray.from_arrays(pa.array(range(0, terms.size + 1, terms.shape[1]), pa.int32()), pa.array(terms.ravel()))
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to the session's SQL; again does no harm. Their names."""
-    names = []
+    names = ["power_terms"]
+    spark.udf.register("power_terms", arrow_udf(powers_of, "array<double>"))
     for head, (kind, body) in SCALARS.items():
         if body is None:
             body = f"0.5D * (1 + {erf_sql(f'(margin / {MARGIN_SD}D / sqrt(2D))')})"

@@ -78,3 +78,9 @@ def test_scorelines_equal_but_for_rounding_are_in_the_order_of_the_sql(spark):
     # without a mean the cells come in order and have no probability
     void = rows.limit(1).select(model.scorelines(F.lit(None).cast("double"), F.col("away_xg"), 2).alias("s")).first()["s"]
     assert [tuple(c) for c in void] == [(0, 0, None), (0, 1, None)]
+
+
+def test_grid_cells_equal_but_for_rounding_are_in_the_order_of_the_sql(spark, names):
+    rows, want = nearly_tied(spark)
+    grid = spark.sql("SELECT fixture_id, g.home, g.away, row_number() OVER (PARTITION BY fixture_id ORDER BY p DESC, home, away) AS n FROM {rows}, LATERAL score_grid(home_xg, away_xg) g", rows=rows)
+    assert [tuple(r) for r in grid.filter("n <= 5").orderBy("fixture_id", "n").drop("n").collect()] == want
