@@ -77,3 +77,38 @@ def test_short_texts_without_a_common_pair(spark, least):
     found = {(r["name"], r["other"]) for r in similarity.similar(left, left.withColumnRenamed("name", "other"), "name", "other", least).collect()}
     assert found == {(x, y) for x in some for y in some if plain(x, y) >= least}
     assert least > 0.75 or ("aaa", "ababa") in found
+
+
+@pytest.mark.parametrize("least", [0.7, 0.9])
+@pytest.mark.parametrize("by_tokens", [False, True])
+def test_blocks_and_tokens_find_the_same(spark, monkeypatch, least, by_tokens):
+    """Several blocks a key, texts of up to 300 characters, one and no keys: what blocks compare and what tokens bring together."""
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    if by_tokens:
+        monkeypatch.setattr(similarity, "BLOCK_PAIRS", 0)
+        monkeypatch.setattr(similarity, "PER_ROW", 0)
+    rng = np.random.default_rng(5)
+    _, some = variants(rng, 60)
+    long = ["".join(rng.choice(list("abcdefghij é\U0001f600"), int(n))) for n in (63, 64, 65, 70, 120, 199, 260, 300)]
+    some += [x for t in long for x in (t, t[:7] + "q" + t[9:], t[5:], t + "zz")] + ["x", "xx", "a" * 64, "a" * 70]
+    rows = spark.createDataFrame([(i % 2, t) for i, t in enumerate(some)] + [(i % 2, t[::-1]) for i, t in enumerate(some)] + [(None, "null key")], "k int, name string")
+    other = spark.createDataFrame([(i % 2, t) for i, t in enumerate(some[::-1])] + [(None, "null key")], "k int, other string")
+    left, right = {tuple(r) for r in rows.collect()}, {tuple(r) for r in other.collect()}
+    found = {tuple(r) for r in similarity.similar(rows, other, "name", "other", least, ["k"]).collect()}
+    assert found == {(k, x, y, plain(x, y)) for k, x in left for m, y in right if k is not None and k == m and plain(x, y) >= least} and len(found) > 40
+    found = {tuple(r) for r in similarity.similar(rows, other, "name", "other", least).collect()}
+    assert found == {(x, y, plain(x, y)) for _, x in left for _, y in right if plain(x, y) >= least}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abcé ", min_size=1, max_size=70), min_size=1, max_size=6), st.lists(st.text("abcé ", min_size=1, max_size=70), min_size=1, max_size=6), st.sampled_from([0.67, 0.7, 0.85, 1.0]))
+def test_candidates_hold_all_pairs(a, b, least):
+    held = {(i, j) for one, other in similarity.candidates(a, b, least) for i, j in zip(one.tolist(), other.tolist(), strict=True)}
+    assert held >= {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if plain(x, y) >= least}
+
+
+def test_names_that_share_a_pair_of_characters_are_not_compared_one_by_one():
+    """A third of the names of ten characters share a pair of neighbours; the ratio is asked for few of all pairs."""
+    rng = np.random.default_rng(7)
+    a, b = (["".join(rng.choice(list("bdfgklmnprstvzao"), 8)) + end for _ in range(400)] for end in (" FC", " SC"))
+    assert sum(len(one) for one, _ in similarity.candidates(a, b, 0.7)) < 400 * 400 / 50
