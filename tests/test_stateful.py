@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -96,3 +97,76 @@ def test_live_markets_of_odd_scores(spark):
     assert got[3]["minutes_left"] == 1 and got[3]["btts"] == 1 and got[3]["over_1_5"] == pytest.approx(1) and got[3]["draw"] > 0.95
     assert got[4]["minutes_left"] == 45 and got[4]["away_win"] == pytest.approx(1) and got[4]["over_2_5"] == pytest.approx(0) and got[4]["btts"] == 0
     assert got[1]["home_to_come"] == pytest.approx(1.0) and got[1]["btts"] == pytest.approx((1 - 2.718281828**-1.0) * (1 - 2.718281828 ** (-2 / 3)))
+
+
+class Held:
+    """A state variable of one key, as a dictionary."""
+
+    def __init__(self):
+        self.d = {}
+        self.getValue, self.containsKey, self.updateValue = self.d.__getitem__, self.d.__contains__, self.d.__setitem__
+        self.removeKey, self.iterator = self.d.__delitem__, lambda: iter(list(self.d.items()))
+        self.get, self.exists, self.update, self.clear = lambda: self.d.get(0), lambda: 0 in self.d, lambda v: self.d.update({0: v}), self.d.clear
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+        self.registerTimer = self.timers.add
+
+    def getMapState(self, *_):  # noqa: N802
+        return Held()
+
+    getValueState = getMapState
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_are_merged_in_whole_instants(monkeypatch, seed):
+    """Small parts, an instant that fills several, nulls, instants of years 1600 and 3000; batches out of order, each with its watermark."""
+    monkeypatch.setattr(stateful, "PART", 7)
+    rng = np.random.default_rng(seed)
+    seen = []
+
+    class Seen(stateful.InOrder):
+        EVENT = "at long, id long, name string"
+
+        def apply(self, key, events):
+            rows = [tuple(r.values()) for r in events.to_pylist()]
+            assert not seen or seen[-1][0] < rows[0][0]  # an instant is never divided
+            seen.extend(rows)
+            return iter(())
+
+    far = [stateful.micros(dt.datetime(y, 1, 1)) for y in (1600, 3000)]
+    whole = [(int(a), int(i), n) for i, (a, n) in enumerate(zip(rng.integers(0, 400_000, 600), rng.choice(["x", None], 600), strict=True))]
+    whole += [(200_500, 1000 + i, None) for i in range(40)] + [(a, 2000, "far") for a in far]
+    whole = [whole[i] for i in rng.permutation(len(whole))]
+    handle, timer, kept = Handle(), type("T", (), {"getCurrentWatermarkInMs": lambda self: mark})(), []
+    run = Seen()
+    run.init(handle)
+    marks = [-10**10, 50, 50, 201, 300, 10**12, stateful.scaled(stateful.micros(dt.datetime(4000, 1, 1))) // 1000]
+    for k, mark in enumerate(marks):
+        batch = [e for e in whole[k * 100 : (k + 1) * 100] if stateful.scaled(e[0]) > 1000 * mark]  # Spark drops what is behind the watermark
+        kept += batch
+        if batch:
+            frames = [pd.DataFrame([(a, False, i or 0, i is None, n) for a, i, n in part], columns=["at", "no_at", "id", "no_id", "name"]) for part in (batch[:60], batch[60:]) if part]
+            assert list(run.handleInputRows(("k",), iter(frames), timer)) == []
+        for due in sorted(t for t in handle.timers if t <= mark):
+            assert list(run.handleExpiredTimer(("k",), timer, None)) == []
+            handle.timers.discard(due)
+        assert sorted(seen, key=str) == sorted((e for e in kept if stateful.scaled(e[0]) <= 1000 * mark), key=str)
+    assert [e[:2] for e in seen] == sorted(e[:2] for e in kept) and not run.waiting.d and not run.runs.d and len(kept) > 300
+
+
+def test_events_of_many_instants_wait_in_few_state_values(spark, tmp_path):
+    """500 instants of a key were 500 state values and timers; they are one part of a run. An id of null and one over 2^53 come out as they went in, and so does the year 3000."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    rows = [("a", at(m), 2**53 + 1 + 2 * m, False, None, None) for m in range(500)] + [("a", at(501), None, False, None, None), ("a", dt.datetime(3000, 1, 1), 7, False, None, None)]
+    feed(spark, folder, rows, EVENTS)
+    run = lambda: stateful.drained(stateful.cache_lookups(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder), "key", late="365000 days"), out, checkpoint)
+    assert run().count() == 0
+    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    assert read("waiting").count() == 1
+    short, checkpoint = str(tmp_path / "out2"), str(tmp_path / "checkpoint2")
+    feed(spark, folder, [("z", dt.datetime(9000, 1, 1), 0, True, None, None)], EVENTS)
+    got = stateful.drained(stateful.cache_lookups(spark.readStream.schema(EVENTS).parquet(folder), "key"), short, checkpoint)
+    assert sorted(r["id"] or 0 for r in got.collect()) == sorted(r[2] or 0 for r in rows)
