@@ -170,3 +170,19 @@ def test_events_of_many_instants_wait_in_few_state_values(spark, tmp_path):
     feed(spark, folder, [("z", dt.datetime(9000, 1, 1), 0, True, None, None)], EVENTS)
     got = stateful.drained(stateful.cache_lookups(spark.readStream.schema(EVENTS).parquet(folder), "key"), short, checkpoint)
     assert sorted(r["id"] or 0 for r in got.collect()) == sorted(r[2] or 0 for r in rows)
+
+
+def test_ratings_of_many_matches_are_read_and_written_once_a_team():
+    rows = [(i % 5, (i % 5 + 1 + i % 3) % 5, i % 4, (i // 2) % 3, i // 6, i) for i in range(600)]
+    run, handle = stateful.Ratings("league_id"), Handle()
+    run.init(handle)
+    calls = []
+    write = run.ratings.updateValue
+    run.ratings.updateValue = lambda k, v: (calls.append(k), write(k, v))
+    timer = type("T", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+    frame = pd.DataFrame([(1000 * at, i, h, a, hg, ag) for h, a, hg, ag, at, i in rows], columns=["at", "fixture_id", "home_id", "away_id", "home_goals", "away_goals"])
+    list(run.handleInputRows(("1",), iter([frame[::-1]]), timer))
+    got = pd.concat(run.handleExpiredTimer(("1",), timer, None))
+    want = fold(frame.rename(columns={"at": "ts"}).assign(league_id=1, season=1))
+    assert got[["fixture_id", "home_rating", "away_rating"]].astype("float64").to_numpy() == pytest.approx(want[["fixture_id", "home_rating", "away_rating"]].astype("float64").to_numpy())
+    assert sorted(calls) == [(t,) for t in range(5)] and not run.now
