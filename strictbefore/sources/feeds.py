@@ -115,14 +115,16 @@ def pages(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(f"response array<struct<{schema}>>").option("multiLine", True).json(pattern).select(F.explode("response").alias("r")).select("r.*")
 
 
-def paged(spark: SparkSession, path: str, item: str, keys: tuple[str, ...] = ("league", "season"), number: str = "id") -> tuple[DataFrame, DataFrame]:
+def paged(spark: SparkSession, path: str, item: str, keys: tuple[str, ...] = ("league", "season"), number: str = "id", lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """A paged listing's landed pages, one JSON document each with ``parameters``, ``paging`` and ``response``: (items, faults).
 
+    A file has one page, laid out in any way, or with ``lines`` any number of them, one a line, so that a long listing isn't as many files.
+
     Items come once by ``number``, of the lowest page, with ``complete``: whether their listing has all its pages and no fault. Faults have a row a
     fault: missing_paging; page_out_of_range; repeated_page; totals_differ; and missing_pages with the first and last page of a gap. The number of pages is the greatest total that a page states.
     """
     fields = ", ".join(f"{k}:string" for k in keys)
-    raw = spark.read.schema(f"parameters struct<{fields}>, paging struct<current:int,total:int>, response array<struct<{item}>>").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"parameters struct<{fields}>, paging struct<current:int,total:int>, response array<struct<{item}>>").option("multiLine", not lines).json(path)
     got = raw.select(*[F.col(f"parameters.{k}").alias(k) for k in keys], F.col("paging.current").alias("page"), F.col("paging.total").alias("total"), "response")
     bad = F.col("page").isNull() | F.col("total").isNull()
     w = Window.partitionBy(*keys)

@@ -86,3 +86,29 @@ def test_pages_that_are_wrong_or_missing(spark, tmp_path):
     got = {(r["league"], r["id"]): (r["complete"], r["page"]) for r in items.collect()}
     assert {k for k, v in got.items() if v[0]} == {("whole", 1), ("whole", 2), ("whole", 3), (None, 8)}
     assert items.count() == len(got) and got["differ", 1][1] == 1 and got["gaps", 40] == (False, 4)
+
+
+def test_pages_as_lines_of_few_files(spark, tmp_path):
+    """Many pages in one file, a line each, give what a file a page gives, faults and all; a broken line is a page without paging."""
+    page = lambda league, current, total, *ids: {"parameters": {"league": league, "season": "2024"}, "paging": {"current": current, "total": total}, "response": [{"id": i, "name": f"{league}{i}"} for i in ids]}
+    docs = [page("long", p, 60, 2 * p, 2 * p + 1) for p in range(1, 61) if p % 9] + [page("twice", 1, 1, 1)] * 2 + [page("whole", 1, 1, 5, 6), page("blank", None, None, 5)]
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir(), many.mkdir()
+    (one / "pages.json").write_text("\n".join(map(json.dumps, docs)) + "\n\n")
+    for i, d in enumerate(docs):
+        (many / f"{i}.json").write_text(json.dumps(d, indent=1))
+    got, want = ([sorted(map(str, rows.collect())) for rows in feeds.paged(spark, str(folder), "id:long,name:string", lines=folder == one)] for folder in (one, many))
+    assert got == want and len(got[0]) == 2 * 54 + 1 + 2 + 1 and len(got[1]) == 6 + 1 + 1
+    with (one / "pages.json").open("a") as out:
+        out.write("{broken\n")
+    faults = feeds.paged(spark, str(one), "id:long,name:string", lines=True)[1]
+    assert (None, "missing_paging") in {(r["league"], r["fault"]) for r in faults.collect()}
+
+
+def test_landed_pages_are_few_files(spark):
+    """They were a file a page."""
+    from strictbefore.plans import landed_queries
+
+    items, _ = landed_queries.landed_pages(spark, "/root/testdata/sf0.01")
+    files = [f for f in items.inputFiles() if "/pages-" in f]
+    assert len(files) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) < items.select("league", "season", "page").distinct().count()
