@@ -9,6 +9,7 @@ from strictbefore.functions.policy import strict_int
 from strictbefore.functions.text import clean_number, stable_id, uid_parts
 from strictbefore.functions.time import parse_utc
 from strictbefore.operators.reconcile import keep_first
+from strictbefore.sources.sinks import stored
 
 # Phases by number, marks of all-star games, the league's id, statistics by key, status names.
 PHASES = {1: "preseason", 2: "regular_season", 3: "postseason", 4: "all_star", 5: "play_in"}
@@ -128,7 +129,8 @@ def paged(spark: SparkSession, path: str, item: str, keys: tuple[str, ...] = ("l
     got = raw.select(*[F.col(f"parameters.{k}").alias(k) for k in keys], F.col("paging.current").alias("page"), F.col("paging.total").alias("total"), "response")
     bad = F.col("page").isNull() | F.col("total").isNull()
     w = Window.partitionBy(*keys)
-    slim = got.select(*keys, "page", "total", bad.alias("bad"))
+    # a row a page, kept: all faults are told from it, and the documents are parsed for it once
+    slim = stored(got.select(*keys, "page", "total", bad.alias("bad")), "page-numbers")
     known = slim.filter("not bad").withColumn("pages", F.max("total").over(w))
     inside = known.filter("page between 1 and pages")
     once = inside.groupBy(*keys, "page").agg(F.max("pages").alias("pages"), F.count("*").alias("n"))

@@ -105,10 +105,11 @@ def test_pages_as_lines_of_few_files(spark, tmp_path):
     assert (None, "missing_paging") in {(r["league"], r["fault"]) for r in faults.collect()}
 
 
-def test_landed_pages_are_few_files(spark):
-    """They were a file a page."""
+def test_landed_pages_are_few_files_and_parsed_once_for_their_faults(spark):
+    """They were a file a page, and each kind of fault read them all again."""
     from strictbefore.plans import landed_queries
 
-    items, _ = landed_queries.landed_pages(spark, "/root/testdata/sf0.01")
+    items, faults = landed_queries.landed_pages(spark, "/root/testdata/sf0.01")
     files = [f for f in items.inputFiles() if "/pages-" in f]
     assert len(files) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) < items.select("league", "season", "page").distinct().count()
+    assert not [f for f in faults.inputFiles() if "/pages-" in f]
